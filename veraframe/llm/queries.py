@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from veraframe.llm import exact_dedup, token_counts
+from veraframe.llm import bpe, exact_dedup, sharding, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op5_ring_sharding": sharding.op5_ring_sharding,
+    "op6_byte_bpe": bpe.op6_byte_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
