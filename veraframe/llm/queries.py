@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from veraframe.llm import bpe, exact_dedup, mixing, sharding, token_counts
+from veraframe.llm import bpe, exact_dedup, mixing, sharding, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op5_ring_sharding": sharding.op5_ring_sharding,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op8_mixing": mixing.op8_mixing,
+    "op9_warc": warc.op9_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
