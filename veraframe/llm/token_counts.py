@@ -101,8 +101,10 @@ def token_counts(docs: DataFrame, path: str, cache: str, key: str = "doc_id", te
     todo = keep_rows(keyed, misses.drop("row"), others, {"doc_id": "doc_id", "digest": "digest"})
     counted = count_tokens(todo, path).withColumn("tokenizer", F.lit(version))
     counted.write.mode("append").parquet(cache)
+    # Written first, so that the join has two plain sides and a digest that many rows share can be split.
+    counts = materialise(first.select("digest").join(read_cache(spark, cache, version), "digest"), "token-counts")
     return (
-        members.join(read_cache(spark, cache, version), "digest", "left")
+        members.join(counts, "digest", "left")
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("digest")).alias("content_digest"))
     )
 
