@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from veraframe.llm import bpe, exact_dedup, mixing, sharding, token_counts, warc
+from veraframe.llm import bpe, exact_dedup, language_id, mixing, sharding, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op3_language_id": language_id.op3_language_id,
     "op5_ring_sharding": sharding.op5_ring_sharding,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op8_mixing": mixing.op8_mixing,
