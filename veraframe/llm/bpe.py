@@ -15,13 +15,13 @@ come out repeated; other columns of the input are ignored.
 from __future__ import annotations
 
 import base64
-import struct
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veraframe.llm.common import materialise
+from veraframe.llm.common import materialise, small_batches
 
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 4_096
@@ -45,10 +45,9 @@ def encode_texts(rows: DataFrame, keys: list[str], text: str, path: str, pattern
 
     def run(batches):
         enc = encoding(path, pattern)
-        for b in batches:
-            ids = [enc.encode_ordinary(t) for t in b.column(len(keys)).to_pylist()]
-            packed = [struct.pack(f"<{len(i)}I", *i) for i in ids]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(map(len, ids), pa.int64()), pa.array(packed, pa.binary())], names=[*keys, "n_tokens", "ids"])
+        for b in small_batches(batches, len(keys)):
+            packed = [np.array(enc.encode_ordinary(t), "<u4").tobytes() for t in b.column(len(keys)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array([len(i) // 4 for i in packed], pa.int64()), pa.array(packed, pa.binary())], names=[*keys, "n_tokens", "ids"])
 
     picked = rows.select(*keys, text)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
@@ -114,8 +113,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: s
 
     def run(batches):
         enc = encoding(path, pattern)
-        for b in batches:
-            raw = [enc.decode_bytes(struct.unpack(f"<{len(i) // 4}I", i)) for i in b.column(at).to_pylist()]
+        for b in small_batches(batches, at):
+            raw = [enc.decode_bytes(np.frombuffer(i, "<u4").tolist()) for i in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(raw, pa.binary())], names=[*kept, out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != ids)

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +81,12 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in Arrow batches of about ``most`` bytes of text or binary in ``column``; a longer row stays whole."""
+    for b in batches:
+        part = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)) // most
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        for lo, hi in zip(starts, [*starts[1:], b.num_rows], strict=True):
+            yield b.slice(lo, hi - lo)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veraframe.llm.common import keep_rows, materialise, new_path
+from veraframe.llm.common import keep_rows, materialise, new_path, small_batches
 
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
 #: Characters given to the tokenizer at a time, which bounds what it holds.
@@ -68,7 +68,7 @@ def count_tokens(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         tok = _loaded(path)
-        for b in batches:
+        for b in small_batches(batches, 1):
             counts = [len(e) for part in slices(b.column(1).to_pylist()) for e in tok.encode_batch_fast(part, add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
