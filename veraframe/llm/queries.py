@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from veraframe.llm import bpe, exact_dedup, language_id, mixing, sharding, token_counts, warc
+from veraframe.llm import bpe, exact_dedup, html_extract, language_id, media_columns, mixing, sharding, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_language_id": language_id.op3_language_id,
+    "op4_media_columns": media_columns.op4_media_columns,
     "op5_ring_sharding": sharding.op5_ring_sharding,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_html_extraction": html_extract.op7_html_extraction,
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
