@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veraframe.sources.shared import materialise, new_path, shared_dir
+
+__all__ = ["BLANKS", "BLANK_CLASS", "BROADCAST_ROWS", "WORD_CLASS", "fresh", "is_small", "keep_rows", "materialise", "new_path", "same", "shared_dir", "small_batches"]
+
 #: White space of the text contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
@@ -21,32 +23,6 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a folder of its own; on a cluster that is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` (a written table) has at most ``rows`` rows."""
     return df.count() <= rows

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from veraframe.llm import bpe, exact_dedup, html_extract, language_id, media_columns, mixing, sharding, token_counts, warc
+from veraframe.llm import bpe, exact_dedup, html_extract, jaccard_join, language_id, media_columns, mixing, sharding, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_language_id": language_id.op3_language_id,
     "op4_media_columns": media_columns.op4_media_columns,
     "op5_ring_sharding": sharding.op5_ring_sharding,
