@@ -73,9 +73,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     sources = sources.withColumn("whole", whole).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
     sources = materialise(sources, "mix-targets").withColumnRenamed("source", "of")
 
-    # Buckets wholly in the sample, and the one in which it ends: at most BUCKETS rows a source.
-    earlier = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    state = cells.join(sources, F.col("source").eqNullSafe(F.col("of"))).withColumn("earlier", earlier)
+    # Buckets wholly in the sample, and the one in which it ends. Sums run over 256 buckets, and over groups of them.
+    coarse = F.floor(F.col("bucket") / 256)
+    groups = cells.groupBy("source", coarse.alias("coarse")).agg(F.sum("words").alias("words"))
+    groups = groups.select(F.col("source").alias("g_source"), F.col("coarse").alias("g_coarse"), F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("groups_before"))
+    fine = cells.withColumn("coarse", coarse).withColumn("within", F.coalesce(F.sum("words").over(Window.partitionBy("source", "coarse").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = fine.join(groups, F.col("source").eqNullSafe(F.col("g_source")) & (F.col("coarse") == F.col("g_coarse")))
+    placed = placed.select("source", "bucket", "words", (F.col("within") + F.col("groups_before")).alias("earlier"))
+    state = placed.join(sources, F.col("source").eqNullSafe(F.col("of")))
     state = state.withColumn("ends", (F.col("earlier") + F.col("words") > F.col("part")) & (F.col("earlier") <= F.col("part")))
     state = state.select("of", "bucket", "earlier", "ends", "source_size", "target", "whole", "part", (F.col("earlier") + F.col("words") <= F.col("part")).alias("in"))
     state = materialise(state, "mix-buckets").withColumnRenamed("bucket", "in_bucket")
