@@ -3,9 +3,10 @@
 Documents with one word sequence form a class; each class is shingled once, into 48-bit hashes. The global order of
 shingles is rare first: by document frequency, then by hash. A class's prefix are its first ``n - ceil(t n) + 1``
 shingles in that order; two classes with Jaccard similarity of at least ``t`` share a shingle of both prefixes. As only
-about the first ``1 - t`` of a class's shingles can be in its prefix, frequencies are only needed for a fixed fraction of
-all shingles: those with hashes below ``FRACTION`` stand before all others in the order, and a class that has too few of
-them brings all its shingles.
+about the first ``1 - t`` of a class's shingles can be in its prefix, a first pass needs frequencies only for a fixed
+fraction of all shingles: those with hashes below ``FRACTION`` stand before all others in its order, and a class that has
+too few of them brings all its shingles. It leaves the classes that share a prefix shingle with any other; most documents
+of a corpus end there. The join itself then orders all shingles of these classes.
 
 Frequencies: blocks of classes send their distinct hashes, packed, to hash buckets; a bucket adds up the frequencies and
 answers each block with the hashes that occur more than once. A hash costs a block one entry, however many documents
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veraframe.llm.common import BLANK_CLASS, fresh, keep_rows, materialise, same, small_batches
+from veraframe.llm.common import BLANK_CLASS, fresh, is_small, keep_rows, materialise, same, small_batches
 from veraframe.operators.graph import components
 
 FRACTION = 0.3
@@ -105,18 +106,18 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-LIMIT = int(FRACTION * 2**48)
+def sketch_classes(texts: DataFrame, k: int, num: int, den: int, limit: int) -> DataFrame:
+    """Written table of classes: c, doc_id, digest, block, n, brought (packed hashes) and bins; ``texts`` has doc_id, digest, words.
 
-
-def sketch_classes(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Written table of classes: c, doc_id, digest, block, n, brought (packed hashes) and bins; ``texts`` has doc_id, digest, words."""
+    A class brings its hashes below ``limit``, or all if those might not hold its prefix.
+    """
 
     def run(batches):
         task, block, held = TaskContext.get().partitionId() << 24, 0, 0
         for b in small_batches(batches, 2, 2_000_000):
             ns, brought, bins, blocks = [], [], [], []
             for h in shingle_sets([t.encode() for t in b.column(2).to_pylist()], k):
-                low = h[: np.searchsorted(h, np.uint64(LIMIT))]
+                low = h[: np.searchsorted(h, np.uint64(limit))]
                 some = low if len(low) >= 1.25 * prefix_length(len(h), num, den) + 2 else h
                 if held > BLOCK_HASHES:
                     block, held = block + 1, 0
@@ -171,8 +172,12 @@ def shared_hashes(classes: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInPandas(answer, "block long, hashes binary, df binary")
 
 
-def prefix_lists(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Written table of prefix shingles that others have too: h, c, n, pos and unique (share of shingles of frequency 1)."""
+def prefix_lists(classes: DataFrame, num: int, den: int, limit: int) -> DataFrame:
+    """Written table of prefix shingles that two classes or more have in their prefixes: h, c, n, pos and alone.
+
+    ``alone`` is the number of a class's brought shingles that no other class has; they stand first in its order. A
+    class with more of them than similarity allows can't link and is left out.
+    """
 
     def order(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -189,16 +194,19 @@ def prefix_lists(classes: DataFrame, num: int, den: int) -> DataFrame:
                 met = known[i] == h
                 freq = np.where(met, df[i], 1)
                 pos = np.empty(len(h), np.int64)
-                pos[np.lexsort((h, freq, h >= LIMIT))] = np.arange(len(h))
+                pos[np.lexsort((h, freq, h >= limit))] = np.arange(len(h))
                 keep = met & (pos < prefix_length(n, num, den))
-                if keep.any():
-                    parts.append((h[keep].astype(np.int64), np.full(keep.sum(), c), np.full(keep.sum(), n), pos[keep], np.full(keep.sum(), 1 - met.mean())))
+                alone = int((~met & (h < limit)).sum())  # others' shingles beyond it may not be known
+                if keep.any() and alone < prefix_length(n, num, den):
+                    parts.append((h[keep].astype(np.int64), np.full(keep.sum(), c), np.full(keep.sum(), n), pos[keep], np.full(keep.sum(), alone)))
         cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [[]] * 5
-        return pd.DataFrame(dict(zip(("h", "c", "n", "pos", "unique"), cols, strict=True)))
+        return pd.DataFrame(dict(zip(("h", "c", "n", "pos", "alone"), cols, strict=True)))
 
     left = classes.select("block", "c", "n", "brought").groupBy("block")
-    rows = left.cogroup(shared_hashes(classes).groupBy("block")).applyInPandas(order, "h long, c long, n long, pos long, unique double")
-    return materialise(rows, "jaccard-lists")
+    rows = left.cogroup(shared_hashes(classes).groupBy("block")).applyInPandas(order, "h long, c long, n long, pos long, alone long")
+    rows = materialise(rows, "jaccard-lists")
+    single = rows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m = 1").select("h")
+    return materialise(rows.join(single, "h", "left_anti"), "jaccard-met")
 
 
 def suffix_filter(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -230,14 +238,13 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def class_components(classes: DataFrame, texts_of, k: int, num: int, den: int) -> DataFrame:
-    """(c, comp) of all classes that share a prefix shingle; ``texts_of(classes)`` gives (c, words) of some classes."""
-    lists = prefix_lists(classes, num, den)
+def class_components(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(c, comp) of the classes that share a prefix shingle; ``classes`` bring all their hashes."""
+    lists = prefix_lists(classes, num, den, 2**48)
     spark = classes.sparkSession
-    alone = lists.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m = 1").select("h")
-    lists = materialise(lists.join(alone, "h", "left_anti"), "jaccard-met")
+    sets = classes.select("c", F.col("brought").alias("hashes"))
     labels = materialise(lists.select("c").distinct().withColumn("comp", F.col("c")), "jaccard-labels")
-    seen, sets, had, centres_a_list = spark.createDataFrame([], "a long, b long"), None, None, 1
+    seen, centres_a_list = spark.createDataFrame([], "a long, b long"), 1
     while True:
         active = materialise(lists.join(labels, "c"), "jaccard-active")
         live = active.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("h")
@@ -245,24 +252,17 @@ def class_components(classes: DataFrame, texts_of, k: int, num: int, den: int) -
         if active.isEmpty():
             return labels
         salt = F.pmod(F.xxhash64("c"), F.lit(centres_a_list))
-        best = F.min(F.struct("unique", "c", "n", "pos", "comp")).alias("best")
+        best = F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "c", "n", "pos", "alone", "comp")).alias("best")
         centres = active.groupBy("h", salt.alias("salt")).agg(best)
-        centres = materialise(centres.select("h", F.col("best.c").alias("cc"), F.col("best.n").alias("cn"), F.col("best.pos").alias("cpos"), F.col("best.comp").alias("ccomp")), "jaccard-centres")
+        centres = materialise(centres.select("h", *[F.col(f"best.{x}").alias(f"c{x}") for x in ("c", "n", "pos", "alone", "comp")]), "jaccard-centres")
         least = F.ceil(num * (F.col("n") + F.col("cn")) / (den + num))
+        # Of what stands before the shared shingle only shingles that others have can be in both.
+        before = F.least(F.col("pos") - F.col("alone"), F.col("cpos") - F.col("calone"))
         after = F.least(F.col("n") - F.col("pos"), F.col("cn") - F.col("cpos"))
-        fits = (
-            (F.col("comp") != F.col("ccomp"))
-            & (den * F.least("n", "cn") >= num * F.greatest("n", "cn"))
-            & (F.least("pos", "cpos") + after >= least)
-        )
+        fits = (F.col("comp") != F.col("ccomp")) & (den * F.least("n", "cn") >= num * F.greatest("n", "cn")) & (before + after >= least)
         met = active.join(centres, (active.h == centres.h) & fits).select(F.least("c", "cc").alias("a"), F.greatest("c", "cc").alias("b"))
         pairs = materialise(met.distinct().join(seen, ["a", "b"], "left_anti"), "jaccard-pairs")
         likely = materialise(suffix_filter(pairs, classes, num, den), "jaccard-likely")
-        needed = likely.select(F.col("a").alias("c")).union(likely.select("b")).distinct()
-        needed = materialise(needed if had is None else needed.join(had, "c", "left_anti"), "jaccard-needed")
-        new = full_sets(texts_of(needed), k)
-        sets = new if sets is None else sets.unionByName(new)
-        had = needed if had is None else had.unionByName(needed)
         links = materialise(verify(likely, sets, num, den), "jaccard-links")
         if not links.isEmpty():
             of = lambda x: labels.select(F.col("c").alias(x), F.col("comp").alias(f"comp_{x}"))
@@ -273,17 +273,6 @@ def class_components(classes: DataFrame, texts_of, k: int, num: int, den: int) -
         centres_a_list *= CENTRES
 
 
-def full_sets(texts: DataFrame, k: int) -> DataFrame:
-    """Written table (c, hashes) of texts (c, words)."""
-
-    def run(batches):
-        for b in small_batches(batches, 1, 2_000_000):
-            sets = shingle_sets([t.encode() for t in b.column(1).to_pylist()], k)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(h) for h in sets], pa.binary())], names=["c", "hashes"])
-
-    return materialise(texts.select("c", "words").mapInArrow(run, "c long, hashes binary"), "jaccard-sets")
-
-
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Written table with a row per document: doc_id, row, digest, n_shingles, component_id and class_id.
 
@@ -297,23 +286,24 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     reps = first.select("doc_id", "digest")
     spare = members.join(first.select("row"), "row", "left_anti").select("doc_id", "digest")
     spare = materialise(spare.join(reps, same(spare, reps, {"doc_id": "doc_id", "digest": "digest"}), "left_anti"), "jaccard-spare")
-    classes = sketch_classes(keep_rows(keyed, reps, spare, {"doc_id": "doc_id", "digest": "digest"}), k, num, den)
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        some = materialise(classes.select("c", "doc_id", "digest").join(wanted, "c"), "jaccard-wanted")
-        ids = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-        if some.count() <= 200_000:
-            picked = F.broadcast(some.select(F.col("doc_id").alias("id")).distinct())
-        else:
-            picked = some.select(F.col("doc_id").alias("id")).distinct()
-        near = ids.join(picked, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(word_sequence("text").alias("words"))
-        return near.withColumn("digest", F.unhex(F.sha2("words", 256))).join(some.select("c", "digest"), "digest").select("c", "words")
-
-    comps = class_components(classes, texts_of, k, num, den)
-    named = classes.select("c", "digest", "n", "doc_id").join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    named = materialise(named, "jaccard-named")
-    smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_class = named.join(smallest, "comp").groupBy("digest").agg(F.min("n").alias("n"), F.min("doc_id").alias("class_id"), F.min("component_id").alias("component_id"))
+    limit = int(FRACTION * 2**48)
+    classes = sketch_classes(keep_rows(keyed, reps, spare, {"doc_id": "doc_id", "digest": "digest"}), k, num, den, limit)
+    # First pass: which classes share any shingle of a prefix. Second pass: the join itself, on all shingles of those.
+    some = prefix_lists(classes, num, den, limit).select("c").distinct()
+    some = materialise(classes.select("c", "doc_id", "digest").join(some, "c", "left_semi").drop("c"), "jaccard-some")
+    ids = some.select(F.col("doc_id").alias("id")).distinct()
+    ids = F.broadcast(ids) if is_small(some) else ids
+    near = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    near = near.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("doc_id", word_sequence("text").alias("words"))
+    near = near.withColumn("digest", F.unhex(F.sha2("words", 256)))
+    near = near.join(some.select("digest").distinct(), "digest", "left_semi").select("doc_id", "digest", "words")
+    full = sketch_classes(near, k, num, den, 2**48)
+    comps = full.select("c", "digest", "doc_id").join(class_components(full, num, den), "c")
+    comps = materialise(comps, "jaccard-named")
+    smallest = comps.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    linked = comps.join(smallest, "comp").groupBy("digest").agg(F.min("component_id").alias("component_id"))
+    of_class = classes.groupBy("digest").agg(F.min("n").alias("n"), F.min("doc_id").alias("class_id"))
+    of_class = of_class.join(linked, "digest", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
     of_class = materialise(of_class, "jaccard-classes-named")
     out = members.join(of_class, "digest", "left")
     return materialise(
