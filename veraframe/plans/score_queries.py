@@ -8,31 +8,14 @@ from pyspark.sql import functions as F
 from veraframe.functions import scalars as S
 from veraframe.operators import decisions as D
 from veraframe.operators import metrics as M
-from veraframe.plans.fixtures import duck, view
+from veraframe.plans.registry import registry
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES, ORACLES, query = registry()
 
 STAGES = [D.Stage(4, 0.015, 0.8, 0.62, 0.55), D.Stage(8, 0.015, 0.7, 0.6, 0.5), D.Stage(16, 0.02, 0.6, 0.55, 0.45)]
 GATE = D.Gate(1.0, 1.0, 3.0, majority=0.5)
 
 
-def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
-def query(name: str, views: str = "", sql: str = ""):
-    """Registers a function of (get) where get(view) gives the view's DataFrame, with its DuckDB body."""
-
-    def wrap(fn):
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(lambda v: view(spark, sf_dir, v)))
-        if sql:
-            ORACLES[name] = duck(views, sql)
-        return fn
-
-    return wrap
-
-
 P = "1 / (1 + exp(-greatest(-60.0, least(60.0, logit))))"
 
 
