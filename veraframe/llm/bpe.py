@@ -121,10 +121,35 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: s
     return encoded.select(*kept, ids).mapInArrow(run, f"{kinds}, `{out}` binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, the latter from the decoded ids."""
-    encoded = encode(docs, path, pattern, key, text).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    return decode(encoded, path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+def round_trip_texts(rows: DataFrame, keys: list[str], text: str, path: str, pattern: str) -> DataFrame:
+    """``keys``, n_tokens, ids and the bytes decoded from them, in one pass through a Python worker."""
+    n = len(keys)
+
+    def run(batches):
+        enc = encoding(path, pattern)
+        for b in small_batches(batches, n, 2_000_000):
+            packed = [np.array(enc.encode_ordinary(t), "<u4").tobytes() for t in b.column(n).to_pylist()]
+            raw = [enc.decode_bytes(np.frombuffer(i, "<u4").tolist()) for i in packed]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([len(i) // 4 for i in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array(raw, pa.binary())], names=[*keys, "n_tokens", "ids", "decoded"])
+
+    picked = rows.select(*keys, text)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
+    return picked.mapInArrow(run, f"{kinds}, n_tokens long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, the latter from the decoded ids.
+
+    Pieces of a long text are decoded on their own; their ids and bytes are joined in order.
+    """
+    base = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    is_long = F.length("text") > chunk + overlap
+    short = round_trip_texts(base.filter(~is_long), ["doc_id"], "text", path, pattern)
+    pieces = round_trip_texts(stitched_pieces(base.filter(is_long), chunk, overlap, pattern), ["row", "doc_id", "piece"], "text", path, pattern)
+    in_order = lambda c: F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", F.hex(c).alias("v")))), lambda s: s.v), ""))
+    long = pieces.groupBy("row", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), in_order("ids").alias("ids"), in_order("decoded").alias("decoded"))
+    digests = ("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return short.select(*digests).unionByName(long.select(*digests))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,3 +66,4 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_
         starts = np.flatnonzero(np.diff(part, prepend=-1))
         for lo, hi in zip(starts, [*starts[1:], b.num_rows], strict=True):
             yield b.slice(lo, hi - lo)
+    pa.default_memory_pool().release_unused()  # an idle worker keeps nothing for the next task
