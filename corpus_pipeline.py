@@ -12,7 +12,6 @@ All stages but the last return the columns of documents. Rows that mixing repeat
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veraframe.llm import bpe, exact_dedup, jaccard_join, language_id, mixing
 from veraframe.llm.common import materialise
@@ -40,11 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode(docs, path, pattern).select("doc_id", "n_tokens", "ids")
-    return bpe.decode(encoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256")), path, pattern).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [("language_id", identify), ("exact_dedup", dedup_exact), ("near_dedup", dedup_near), ("mixing", mix), ("byte_bpe", encode)]
