@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veraframe.llm.boosted_trees import BoostedTrees, fit
-from veraframe.llm.common import small_batches
+from veraframe.llm.common import fresh, small_batches
 
 TRAIN_PAGES = 300
 
@@ -305,7 +305,8 @@ def extract_pages(pages: DataFrame, model: BoostedTrees | None, source: str = "h
     """``columns`` with text and n_chars (code points) of every page."""
     held = pages.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
     n = len(columns)
-    picked = pages.select(*columns, F.coalesce(F.col(source), F.lit("")).alias("html"))
+    kept = pages.select(*columns)
+    picked = pages.select(*columns, F.coalesce(F.col(source), F.lit("")).alias(fresh(kept, "source")))
     schema = T.StructType([*picked.schema.fields[:n], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
