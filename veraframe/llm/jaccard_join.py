@@ -252,14 +252,14 @@ def class_components(classes: DataFrame, num: int, den: int) -> DataFrame:
         if active.isEmpty():
             return labels
         salt = F.pmod(F.xxhash64("c"), F.lit(centres_a_list))
-        best = F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "c", "n", "pos", "alone", "comp")).alias("best")
+        best = F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "c", "n", "pos", "comp")).alias("best")
         centres = active.groupBy("h", salt.alias("salt")).agg(best)
-        centres = materialise(centres.select("h", *[F.col(f"best.{x}").alias(f"c{x}") for x in ("c", "n", "pos", "alone", "comp")]), "jaccard-centres")
+        centres = materialise(centres.select("h", *[F.col(f"best.{x}").alias(f"c{x}") for x in ("c", "n", "pos", "comp")]), "jaccard-centres")
         least = F.ceil(num * (F.col("n") + F.col("cn")) / (den + num))
-        # Of what stands before the shared shingle only shingles that others have can be in both.
-        before = F.least(F.col("pos") - F.col("alone"), F.col("cpos") - F.col("calone"))
+        # At the first shingle that a pair shares, nothing before it is in both. Every list is worked through, so the pair
+        # is met there, and in the other lists it may be passed over.
         after = F.least(F.col("n") - F.col("pos"), F.col("cn") - F.col("cpos"))
-        fits = (F.col("comp") != F.col("ccomp")) & (den * F.least("n", "cn") >= num * F.greatest("n", "cn")) & (before + after >= least)
+        fits = (F.col("comp") != F.col("ccomp")) & (den * F.least("n", "cn") >= num * F.greatest("n", "cn")) & (after >= least)
         met = active.join(centres, (active.h == centres.h) & fits).select(F.least("c", "cc").alias("a"), F.greatest("c", "cc").alias("b"))
         pairs = materialise(met.distinct().join(seen, ["a", "b"], "left_anti"), "jaccard-pairs")
         likely = materialise(suffix_filter(pairs, classes, num, den), "jaccard-likely")
