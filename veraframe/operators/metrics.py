@@ -102,8 +102,10 @@ def fit_temperature(df: DataFrame, y: str, logit: str, low: float = 0.05, high:
     table = df.select(F.col(y).alias("y"), F.col(logit).alias("z"))
     for _ in range(rounds):
         grid = [lo + i * (hi - lo) / (points - 1) for i in range(points)]
-        losses = table.agg(*[F.avg(nll(F.col("y"), sigmoid(F.col("z") / math.exp(t)))).alias(f"t{i}") for i, t in enumerate(grid)]).first()
-        best = min(range(points), key=lambda i: (losses[i] if losses[i] is not None else math.inf, i))
+        each = table.select("y", "z", F.explode(F.array(*map(F.lit, grid))).alias("t"))
+        sums = each.groupBy("t").agg(F.avg(nll(F.col("y"), sigmoid(F.col("z") / F.exp("t")))).alias("loss")).collect()  # a row a point
+        losses = {r.t: r.loss for r in sums}
+        best = min(range(points), key=lambda i: (losses.get(grid[i], math.inf), i))
         lo, hi = grid[max(0, best - 1)], grid[min(points - 1, best + 1)]
     return math.exp(grid[best])
 

@@ -9,7 +9,7 @@ from veraframe.plans.fixtures import duck, view
 
 
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(f"`{c}`", digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def registry() -> tuple[dict, dict, object]:
