@@ -36,7 +36,7 @@ WHERE slot < 16 AND NOT (user_id % 13 = 7 AND slot = 5) AND NOT (user_id % 17 =
     "families": """
 SELECT conv_id AS family_id, turn AS slot, role AS method, CASE WHEN turn = 0 THEN 'real' ELSE 'fake' END AS label,
        CASE WHEN turn > 0 AND conv_id % 2 = 0 THEN conv_id + 1 WHEN turn > 0 THEN conv_id - 1 END AS donor_family_id,
-       length(text) AS factor
+       CAST(length(text) AS BIGINT) AS factor
 FROM {conversations}""",
     "faces": """
 SELECT l_orderkey AS video_id, l_linenumber AS frame_index,
