@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veraframe.functions import extensions as X
 from veraframe.functions.scalars import unit_hash
 from veraframe.functions.scoring import score_frames
 from veraframe.operators import decisions as D
@@ -11,7 +12,7 @@ from veraframe.operators import fitting as C
 from veraframe.operators import manifests as M
 from veraframe.plans.media_queries import linear_scorer
 from veraframe.plans.registry import registry
-from veraframe.plans.score_queries import GATE_SQL, decisions_of, gated_of
+from veraframe.plans.score_queries import AUC, GATE_SQL, decisions_of, gated_of
 from veraframe.sources import manifest_files as S
 from veraframe.sources.shared import materialise, new_path
 
@@ -99,3 +100,19 @@ def _(get):
 def _(get):
     nested = get("log").select("event_id", F.struct("verdict", F.round("total_ms", 8).alias("ms")).alias("outcome"))
     return S.dotted(nested).select("event_id", "`outcome.verdict`", "`outcome.ms`")
+
+
+@query("x6_grouped_auroc", "scored", "SELECT method, auroc FROM (" + AUC.format(by="method,", part="PARTITION BY method", parts="method,", group="GROUP BY method") + ") a")
+def _(get):
+    return X.grouped_auroc(get("scored"), ["method"], "y", "logit")
+
+
+@query("x3_byte_logits", "docs", "SELECT doc_id, CAST(strlen(text) % 5 - strlen(text) % 7 AS DOUBLE) AS margin FROM docs")
+def _(get):
+    docs = get("docs").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return X.score_bytes(docs, ["doc_id"], "content", lambda bs: [(len(b) % 7, len(b) % 5) for b in bs]).select("doc_id", "margin")
+
+
+@query("x4_detections", "thumbs", ", e AS (SELECT vec_id, CAST(unnest(range(64)) AS INT) AS det, CAST(unnest(embedding) AS DOUBLE) AS confidence FROM thumbs) SELECT vec_id, det, round(confidence, 8) AS confidence FROM e WHERE confidence > 0.2")
+def _(get):
+    return X.detect(get("thumbs"), ["vec_id"], "embedding", lambda v: ((i, x) for i, x in enumerate(v) if x > 0.2))
