@@ -206,6 +206,7 @@ def prefix_lists(classes: DataFrame, num: int, den: int, limit: int) -> DataFram
     rows = left.cogroup(shared_hashes(classes).groupBy("block")).applyInPandas(order, "h long, c long, n long, pos long, alone long")
     rows = materialise(rows, "jaccard-lists")
     single = rows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m = 1").select("h")
+    single = materialise(single, "jaccard-single")  # written, so that the join has plain exchanges that can be split
     return materialise(rows.join(single, "h", "left_anti"), "jaccard-met")
 
 
