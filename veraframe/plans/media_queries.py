@@ -68,7 +68,7 @@ def _(get):
 
 @query("j11_gap_tracker")
 def _(get):
-    return T.link_tracks(get("faces").filter("det_key % 3 <> 0"), iou_min=0.4, max_gap=3, shift=0.0)
+    return T.link_tracks(get("faces"), iou_min=0.4, max_gap=3, shift=0.0)
 
 
 @query("k3_primary_track")
