@@ -6,9 +6,11 @@ cap. A round needs two sums over the sources only.
 
 Repetitions: a source with target ``t`` and size ``s`` repeats every document ``floor(t / s)`` times, and a seeded
 sample of its documents once more. Documents are put in the order of a seeded hash; the sample is the longest run of
-that order that does not pass the fractional words, then up to ``FILL_ROUNDS`` times the largest document that still
-fits. The order is cut through ``BUCKETS`` hash buckets per source: sizes are summed per bucket, so only the bucket in
-which the run ends is looked into row by row, and a source that holds most rows is never brought to one task.
+that order that does not pass the fractional words. Then comes, in rounds, the largest document that still fits, and
+from round ``FILL_ROUNDS`` on also the longest run of those that fit after it, until none fits: at least half of the gap
+closes in such a round, so there are at most as many as the gap has bits. The order is cut through ``BUCKETS`` hash buckets per source: sizes are summed per
+bucket, so only the bucket in which a run ends is looked into row by row, and a source that holds most rows is never
+brought to one task. The query op8 is held to its SQL, which ends after ``FILL_ROUNDS`` single documents.
 
 Defined cases: an empty table gives no rows; a null or empty text has size 0 and is taken 0 words; a null source is a
 source of its own, last in order; rows with the same id tie in the order and are told apart by size and text;
@@ -17,7 +19,9 @@ repeated rows are interchangeable; other columns are ignored by :func:`mix` and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veraframe.llm.common import WORD_CLASS, fresh, materialise
@@ -62,46 +66,93 @@ def sized(docs: DataFrame, key: str, text: str, source: str, seed: str = SEED) -
     )
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and repeats of every row, and tie (a hash of its text)."""
-    rows = materialise(sized(docs, key, text, source, seed).withColumn("row", F.monotonically_increasing_id()), "mix-rows")
-    bucket = F.floor(F.conv(F.substring("order", 1, 4), 16, 10).cast("long") * BUCKETS / 65_536)
-    cells = materialise(rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words")), "mix-cells")
-    sources = water_fill(cells.groupBy("source").agg(F.sum("words").alias("source_size")), max_epochs, weights)
-    whole = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))
-    whole = F.coalesce(F.when(F.col("source_size") > 0, whole), F.lit(0)).cast("long")
-    sources = sources.withColumn("whole", whole).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
-    sources = materialise(sources, "mix-targets").withColumnRenamed("source", "of")
+def bucket_of_order() -> Column:
+    return F.floor(F.conv(F.substring("order", 1, 4), 16, 10).cast("long") * BUCKETS / 65_536)
+
 
-    # Buckets wholly in the sample, and the one in which it ends. Sums run over 256 buckets, and over groups of them.
+def longest_run(rows: DataFrame, cells: DataFrame, limits: DataFrame) -> DataFrame:
+    """Written table of ``rows`` with limits' columns but ``of``, and extra: whether a row is in its source's run.
+
+    ``cells`` are the words of rows by source and bucket; ``limits`` has a row a source, with of and part.
+    """
+    # Buckets wholly in the run, and the one in which it ends. Sums run over 256 buckets, and over groups of them.
     coarse = F.floor(F.col("bucket") / 256)
     groups = cells.groupBy("source", coarse.alias("coarse")).agg(F.sum("words").alias("words"))
     groups = groups.select(F.col("source").alias("g_source"), F.col("coarse").alias("g_coarse"), F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("groups_before"))
     fine = cells.withColumn("coarse", coarse).withColumn("within", F.coalesce(F.sum("words").over(Window.partitionBy("source", "coarse").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = fine.join(groups, F.col("source").eqNullSafe(F.col("g_source")) & (F.col("coarse") == F.col("g_coarse")))
     placed = placed.select("source", "bucket", "words", (F.col("within") + F.col("groups_before")).alias("earlier"))
-    state = placed.join(sources, F.col("source").eqNullSafe(F.col("of")))
+    state = placed.join(limits, F.col("source").eqNullSafe(F.col("of")))
     state = state.withColumn("ends", (F.col("earlier") + F.col("words") > F.col("part")) & (F.col("earlier") <= F.col("part")))
-    state = state.select("of", "bucket", "earlier", "ends", "source_size", "target", "whole", "part", (F.col("earlier") + F.col("words") <= F.col("part")).alias("in"))
+    state = state.select(*limits.columns, "bucket", "earlier", "ends", (F.col("earlier") + F.col("words") <= F.col("part")).alias("in"))
     state = materialise(state, "mix-buckets").withColumnRenamed("bucket", "in_bucket")
-    joined = rows.withColumn("bucket", bucket).join(state, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in_bucket"))).drop("of", "in_bucket")
+    joined = rows.withColumn("bucket", bucket_of_order()).join(state, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in_bucket"))).drop("of", "in_bucket")
     joined = materialise(joined, "mix-joined")
 
     in_end = Window.partitionBy("source").orderBy("order", "doc_id", "size", "tie", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = joined.filter("ends").withColumn("extra", F.col("earlier") + F.sum("size").over(in_end) <= F.col("part"))
     rest = joined.filter("not ends").withColumn("extra", F.col("in"))
-    chosen = materialise(end.unionByName(rest).drop("earlier", "ends", "in", "bucket"), "mix-chosen")
-    for _ in range(FILL_ROUNDS):
-        # The largest document that still fits goes in; one row a source meets the rows again.
-        gaps = chosen.groupBy(F.col("source").alias("of")).agg((F.first("part") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("gap"))
-        # At most one row a source and, with it, its gap.
-        gaps = materialise(gaps, "mix-gaps")
-        open_rows = chosen.filter(~F.col("extra") & (F.col("size") > 0)).join(gaps, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") <= F.col("gap")))
-        best = materialise(open_rows.groupBy("of").agg(F.min(F.struct((-F.col("size")).alias("larger"), "order", "doc_id", "tie", "row")).alias("best")).select("of", F.col("best.row").alias("best_row")), "mix-fill")
+    return materialise(end.unionByName(rest).drop("earlier", "ends", "in", "bucket"), "mix-chosen")
+
+
+def largest(open_rows: DataFrame) -> DataFrame:
+    """of, row and size of each source's largest row, the first in order of those."""
+    best = F.min(F.struct((-F.col("size")).alias("larger"), "order", "doc_id", "tie", "row")).alias("best")
+    return materialise(open_rows.groupBy(F.col("source").alias("of")).agg(best).select("of", F.col("best.row").alias("best_row"), (-F.col("best.larger")).alias("best_size")), "mix-fill")
+
+
+def fill(chosen: DataFrame, rounds: int | None) -> DataFrame:
+    """``chosen`` with extra for the rows that fit the gap besides.
+
+    They are found in rounds until no row fits, or one row a source in each of ``rounds`` rounds. Without ``rounds``,
+    what the first ``FILL_ROUNDS`` rows leave open is closed by runs.
+    """
+    taken = F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))
+    gaps = materialise(chosen.groupBy(F.col("source").alias("of")).agg((F.first("part") - taken).alias("part")), "mix-gaps")  # one row a source
+    open_rows = chosen.filter(~F.col("extra") & (F.col("size") > 0)).select("doc_id", "source", "size", "order", "tie", "row")
+    picked = []
+    while rounds is None or len(picked) < rounds:
+        fits = F.col("source").eqNullSafe(F.col("of")) & (F.col("size") <= F.col("part"))
+        open_rows = materialise(open_rows.join(gaps, fits).drop("of", "part"), "mix-open")
+        best = largest(open_rows)
         if best.isEmpty():
             break
+        picks = best.select("best_row")
+        left = gaps.join(best.withColumnRenamed("of", "best_of"), F.col("of").eqNullSafe(F.col("best_of")))
+        gaps = materialise(left.select("of", (F.col("part") - F.col("best_size")).alias("part")), "mix-gaps")
         # The row number is unique, so this equi-join has no skew.
-        chosen = materialise(chosen.join(best.select("best_row"), F.col("row") == F.col("best_row"), "left").withColumn("extra", F.col("extra") | F.col("best_row").isNotNull()).drop("best_row"), "mix-chosen")
+        open_rows = open_rows.join(best.select(F.col("best_row").alias("row")), "row", "left_anti")
+        if rounds is None and len(picked) + 1 >= FILL_ROUNDS:
+            open_rows = materialise(open_rows.join(gaps, fits).drop("of", "part"), "mix-open")
+            run = longest_run(open_rows, words_by_bucket(open_rows), gaps)
+            picks = picks.union(run.filter("extra").select("row"))
+            used = run.groupBy(F.col("source").alias("of")).agg((F.first("part") - taken).alias("part"))
+            gaps, open_rows = materialise(used, "mix-gaps"), run.filter("not extra").drop("part", "extra")
+        picked.append(picks)
+    if not picked:
+        return chosen
+    added = functools.reduce(DataFrame.union, picked)
+    return materialise(chosen.join(added, F.col("row") == F.col("best_row"), "left").withColumn("extra", F.col("extra") | F.col("best_row").isNotNull()).drop("best_row"), "mix-chosen")
+
+
+def words_by_bucket(rows: DataFrame) -> DataFrame:
+    """Written table of the words by source and bucket of the order."""
+    return materialise(rows.groupBy("source", bucket_of_order().alias("bucket")).agg(F.sum("size").alias("words")), "mix-cells")
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = SEED, fill_rounds: int | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken and repeats of every row, and tie (a hash of its text).
+
+    With ``fill_rounds``, at most so many documents a source come after the run.
+    """
+    rows = materialise(sized(docs, key, text, source, seed).withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    cells = words_by_bucket(rows)
+    sources = water_fill(cells.groupBy("source").agg(F.sum("words").alias("source_size")), max_epochs, weights)
+    whole = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))
+    whole = F.coalesce(F.when(F.col("source_size") > 0, whole), F.lit(0)).cast("long")
+    sources = sources.withColumn("whole", whole).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
+    sources = materialise(sources, "mix-targets").withColumnRenamed("source", "of").select("of", "source_size", "target", "whole", "part")
+    chosen = fill(longest_run(rows, cells, sources), fill_rounds)
     repeats = F.col("whole") + F.when(F.col("extra") & (F.col("whole") < max_epochs), 1).otherwise(0)
     return chosen.withColumn("repeats", repeats).withColumn("taken", F.col("repeats") * F.col("size")).drop("whole", "part", "extra", "order", "row")
 
@@ -123,7 +174,7 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
+    return mix(docs, fill_rounds=FILL_ROUNDS).select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
 
 
 def oracle(max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = SEED) -> str:
