@@ -275,10 +275,11 @@ def class_components(classes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Written table with a row per document: doc_id, row, digest, n_shingles, component_id and class_id.
+    """Written table with a row per document: doc_id, row, digest, n_shingles, component_id, class_id and component.
 
     Two documents link when den * intersection >= num * union; component_id is the smallest id that links reach,
-    class_id the smallest id with the same word sequence.
+    class_id the smallest id with the same word sequence. Ids may be null or repeated, so neither tells components
+    apart; component does: the smallest digest that links reach, null for documents without words.
     """
     keyed = docs.select(F.col(key).alias("doc_id"), word_sequence(text).alias("words")).withColumn("digest", F.unhex(F.sha2("words", 256)))
     members = materialise(keyed.select("doc_id", "digest", (F.col("words") == "").alias("empty"), F.monotonically_increasing_id().alias("row")), "jaccard-members")
@@ -301,10 +302,10 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     full = sketch_classes(near, k, num, den, 2**48)
     comps = full.select("c", "digest", "doc_id").join(class_components(full, num, den), "c")
     comps = materialise(comps, "jaccard-named")
-    smallest = comps.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = comps.join(smallest, "comp").groupBy("digest").agg(F.min("component_id").alias("component_id"))
+    smallest = comps.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min("digest").alias("component"))
+    linked = comps.select("comp", "digest").join(smallest, "comp").groupBy("digest").agg(F.min("component_id").alias("component_id"), F.min("component").alias("component"))
     of_class = classes.groupBy("digest").agg(F.min("n").alias("n"), F.min("doc_id").alias("class_id"))
-    of_class = of_class.join(linked, "digest", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
+    of_class = of_class.join(linked, "digest", "left").withColumn("component_id", F.coalesce("component_id", "class_id")).withColumn("component", F.coalesce("component", "digest"))
     of_class = materialise(of_class, "jaccard-classes-named")
     out = members.join(of_class, "digest", "left")
     return materialise(
@@ -315,6 +316,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
             F.coalesce("n", F.lit(0)).alias("n_shingles"),
             F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
             F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+            "component",
         ),
         "jaccard-groups",
     )
@@ -324,7 +326,7 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     """One document of each component, that with the smallest id, with its own columns; documents without words all stay."""
     groups = near_groups(docs, key, text, k, num, den)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    firsts = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    firsts = groups.filter("n_shingles > 0").groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
     firsts = materialise(firsts.union(groups.filter("n_shingles = 0").select("row")), "near-first")
     keep = materialise(groups.join(firsts, "row", "left_semi").select("doc_id", "digest"), "near-keep")
     spare = materialise(groups.join(firsts, "row", "left_anti").select("doc_id", "digest"), "near-spare")
