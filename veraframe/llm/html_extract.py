@@ -39,10 +39,16 @@ from veraframe.llm.common import fresh, small_batches
 
 TRAIN_PAGES = 300
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr nobr".split())
+MATHML = "math mrow mi mo mn ms mtext mspace mfrac msqrt mroot msup msub msubsup mover munder munderover mmultiscripts mprescripts mstyle mpadded mphantom merror menclose mtable mtr mtd maction semantics annotation"
+INLINE = frozenset(f"{MATHML} a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr nobr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript svg iframe object canvas math head title textarea select".split())
 RAW = frozenset("script style textarea title".split())
+#: Nothing inside is shown. Without their end tag, only the start tag is passed over.
+HIDDEN = frozenset("svg template iframe select".split())
+#: What can stand in head; any other start tag, and text, ends it.
+IN_HEAD = RAW - {"textarea"} | frozenset("head base basefont bgsound link meta noscript template".split())
+#: These can stand within a paragraph.
+IN_P = frozenset("noscript object canvas".split())
 BOILER = frozenset("nav footer header aside form menu dialog button fieldset dir address".split())
 MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -82,14 +88,44 @@ class Page:
         return len(self.tag) - 1
 
 
+def raw_end(source: str, name: str, pos: int) -> int:
+    """Where the end tag of a raw element begins; -1 if there is none."""
+    end = re.compile(f"</{name}", re.I).search(source, pos)
+    return end.start() if end else -1
+
+
+def hidden_ends(source: str) -> dict[int, int]:
+    """Ends of the hidden elements that have an end tag, by the end of their start tag."""
+    out: dict[int, int] = {}
+    begun: dict[str, list[int]] = {name: [] for name in HIDDEN}
+    pos = 0
+    while found := _TAG.search(source, pos):
+        pos, name = found.end(), (found[2] or "").lower()
+        if name in HIDDEN:
+            if not found[1]:
+                if not found[3].endswith("/"):
+                    begun[name].append(pos)
+            elif begun[name]:
+                out[begun[name].pop()] = pos
+        elif name in RAW and not found[1] and not found[3].endswith("/"):
+            pos = raw_end(source, name, pos)
+            if pos < 0:
+                break
+    return out
+
+
 def parse(source: str) -> Page:
-    page, stack, links, block, silent = Page(), [0], 0, 0, ""
+    page, stack, links, block, head = Page(), [0], 0, 0, False
+    ends = None
     at = 0
 
     def text(lo: int, hi: int) -> None:
-        if hi > lo and not silent:
+        nonlocal head
+        if hi > lo:
             s = source[lo:hi]
-            page.segments.append((stack[-1], block, html.unescape(s) if "&" in s else s, links > 0))
+            head = head and not s.strip()
+            if not head:
+                page.segments.append((stack[-1], block, html.unescape(s) if "&" in s else s, links > 0))
 
     pos = 0
     while found := _TAG.search(source, pos):
@@ -99,19 +135,23 @@ def parse(source: str) -> Page:
         if not name:
             continue
         closing = bool(found[1])
-        if silent:
-            if closing and name == silent:
-                silent = ""
-            continue
-        if name in SILENT:
+        if head:
+            head = name not in ("head", "body", "html", "br") if closing else name in IN_HEAD
+            if head and name not in RAW and name not in HIDDEN or closing and name == "head":
+                continue
+        if name == "head":
+            head = not closing and not found[3].endswith("/")
+            block += 1
+        elif name in RAW or name in HIDDEN:
             if not closing and not found[3].endswith("/"):
                 if name in RAW:  # nothing inside is markup
-                    end = re.compile(f"</{name}", re.I).search(source, pos)
-                    at = pos = end.start() if end else len(source)
-                    if not end:
+                    at = pos = raw_end(source, name, pos)
+                    if pos < 0:
+                        at = len(source)
                         break
                 else:
-                    silent = name
+                    ends = hidden_ends(source) if ends is None else ends
+                    at = pos = ends.get(pos, pos)
             block += 1
         elif name in INLINE:
             if name == "a":
@@ -129,7 +169,7 @@ def parse(source: str) -> Page:
         else:
             block, links = block + 1, 0
             shut = CLOSES.get(name, ("p",))
-            if page.tag[stack[-1]] in shut or page.tag[stack[-1]] == "p":
+            if name not in IN_P and (page.tag[stack[-1]] in shut or page.tag[stack[-1]] == "p"):
                 stack.pop()
                 if len(stack) > 1 and page.tag[stack[-1]] in shut:
                     stack.pop()
