@@ -4,7 +4,9 @@ Training counts hashed byte trigrams of lower-cased letter runs per language, ov
 model has at most ``BUCKETS`` numbers a language. For a document, every word gets a likelihood under every language from
 its trigrams. Expectation-maximisation then estimates the share of each language among the document's words; the
 language set is chosen among the nested sets of the largest shares by likelihood less ``PENALTY * log(words)`` for each
-further language, and shares are estimated again within the chosen set. The prediction is the largest share.
+further language, and shares are estimated again within every set until they settle. Sets of all sizes are tried; a
+document leaves the search when a bound on the likelihood shows that no larger set can gain. The prediction is the
+largest share.
 
 Work is done on flat arrays over a slice of many documents at a time, so no document or batch is looped over by word.
 
@@ -26,8 +28,9 @@ from veraframe.llm.common import fresh, small_batches
 
 BUCKETS = 65_536
 EM_ROUNDS = 8
-MAX_LANGUAGES = 3
 PENALTY = 8.0
+#: EM ends for a document when a round adds less than this to its log-likelihood, a word.
+TOLERANCE = 1e-5
 SMOOTHING = 0.5
 #: Bytes of text that are worked on at a time.
 SLICE_BYTES = 2_000_000
@@ -105,7 +108,30 @@ def shares(likely: np.ndarray, doc: np.ndarray, starts: np.ndarray, prior: np.nd
         r = likely * prior[doc]
         r /= r.sum(1, keepdims=True)
         prior = np.add.reduceat(r, starts, axis=0) / n
-    return prior, np.add.reduceat(np.log((likely * prior[doc]).sum(1)), starts)
+    return prior, np.add.reduceat(np.log((likely * prior[doc]).sum(1)).astype(float), starts)
+
+
+def settled(likely: np.ndarray, doc: np.ndarray, live: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares and log-likelihoods of the documents ``live``, by EM until a round gains less than ``TOLERANCE`` a word."""
+    out, fit = prior[live], np.full(len(live), -np.inf)
+    todo = np.arange(len(live))
+    place = np.full(len(prior), -1)
+    while len(todo):
+        place[:] = -1
+        place[live[todo]] = np.arange(len(todo))
+        mine = place[doc]
+        rows, mine = likely[mine >= 0], mine[mine >= 0]
+        starts = np.flatnonzero(np.diff(mine, prepend=-1))
+        words = np.diff(np.append(starts, len(mine)))
+        going = np.ones(len(todo), bool)
+        # Documents that have settled leave when they are at least half of those at work, so that rows are seldom copied.
+        while 2 * going.sum() > len(todo):
+            pi, ll = shares(rows, mine, starts, out[todo], 1)
+            gains = ll - fit[todo]
+            out[todo[going]], fit[todo[going]] = pi[going], ll[going]
+            going &= gains >= TOLERANCE * words
+        todo = todo[going]
+    return out, fit
 
 
 def mixtures(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,15 +152,26 @@ def mixtures(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndar
     prior, _ = shares(likely, doc, starts, np.full((len(present), k), 1 / k, np.float32), EM_ROUNDS)
     order = np.argsort(-prior, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
-    alone = np.add.reduceat(np.log(likely), starts, axis=0)
+    alone = np.add.reduceat(np.log(likely), starts, axis=0, dtype=float)
     best, fit = np.eye(k, dtype=np.float32)[alone.argmax(1)], alone.max(1)
     count = np.ones(len(present), np.int64)
-    for size in range(2, min(k, MAX_LANGUAGES) + 1):
+    _, ll = shares(likely, doc, starts, prior, 0)
+    # No shares at all have a likelihood above this (log of a mean is at least the mean of logs).
+    mixed = (likely * prior[doc]).sum(1)
+    ratio = np.max([np.add.reduceat(likely[:, j] / mixed, starts, dtype=float) for j in range(k)], axis=0) / n
+    most = ll + n * np.log(np.maximum(1, ratio))
+    live = np.arange(len(present))
+    for size in range(2, k + 1):
+        cost = PENALTY * (size - 1) * np.log(n + 1)
+        live = live[most[live] - cost[live] > fit[live]]  # others can't gain by this set or a larger one
+        if not len(live):
+            break
         within = np.where(rank < size, np.maximum(prior, 1e-6), 0).astype(np.float32)
-        pi, ll = shares(likely, doc, starts, within / within.sum(1, keepdims=True), 2)
-        ll = ll - PENALTY * (size - 1) * np.log(n + 1)
-        better = ll > fit
-        best[better], fit[better], count[better] = pi[better], ll[better], size
+        pi, ll = settled(likely, doc, live, within / within.sum(1, keepdims=True))
+        ll = ll - cost[live]
+        better = ll > fit[live]
+        won = live[better]
+        best[won], fit[won], count[won] = pi[better], ll[better], size
     out[present], chosen[present] = best, count
     return out, chosen
 
