@@ -21,23 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veraframe.llm.common import materialise, small_batches
+from veraframe.llm.common import give_back, materialise, small_batches
 
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 4_096
 
-_LOADED: dict[tuple[str, str], object] = {}
-
-
 def encoding(path: str, pattern: str):
-    """The tiktoken encoding of a rank file, kept for the life of the worker process."""
-    if (path, pattern) not in _LOADED:
-        import tiktoken
+    """The tiktoken encoding of a rank file. It is loaded for a task and not kept, so that idle workers hold nothing."""
+    import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _LOADED[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _LOADED[path, pattern]
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def encode_texts(rows: DataFrame, keys: list[str], text: str, path: str, pattern: str) -> DataFrame:
@@ -48,6 +43,8 @@ def encode_texts(rows: DataFrame, keys: list[str], text: str, path: str, pattern
         for b in small_batches(batches, len(keys)):
             packed = [np.array(enc.encode_ordinary(t), "<u4").tobytes() for t in b.column(len(keys)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array([len(i) // 4 for i in packed], pa.int64()), pa.array(packed, pa.binary())], names=[*keys, "n_tokens", "ids"])
+        del enc
+        give_back()
 
     picked = rows.select(*keys, text)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
@@ -116,6 +113,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: s
         for b in small_batches(batches, at):
             raw = [enc.decode_bytes(np.frombuffer(i, "<u4").tolist()) for i in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(raw, pa.binary())], names=[*kept, out])
+        del enc
+        give_back()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != ids)
     return encoded.select(*kept, ids).mapInArrow(run, f"{kinds}, `{out}` binary")
@@ -131,6 +130,8 @@ def round_trip_texts(rows: DataFrame, keys: list[str], text: str, path: str, pat
             packed = [np.array(enc.encode_ordinary(t), "<u4").tobytes() for t in b.column(n).to_pylist()]
             raw = [enc.decode_bytes(np.frombuffer(i, "<u4").tolist()) for i in packed]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([len(i) // 4 for i in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array(raw, pa.binary())], names=[*keys, "n_tokens", "ids", "decoded"])
+        del enc
+        give_back()
 
     picked = rows.select(*keys, text)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])

@@ -1,7 +1,10 @@
-"""What the training-data operators share: the shared folder, written intermediate tables and size-checked joins."""
+"""What the training-data operators share: the shared folder, written intermediate tables and joins that leave wide rows in place."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,20 +15,16 @@ from pyspark.sql import functions as F
 
 from veraframe.sources.shared import materialise, new_path, shared_dir
 
-__all__ = ["BLANKS", "BLANK_CLASS", "BROADCAST_ROWS", "WORD_CLASS", "fresh", "is_small", "keep_rows", "materialise", "new_path", "same", "shared_dir", "small_batches"]
+__all__ = ["BLANKS", "BLANK_CLASS", "CELLS", "WORD_CLASS", "fresh", "give_back", "keep_rows", "materialise", "new_path", "same", "shared_dir", "small_batches", "told_apart"]
 
 #: White space of the text contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
-#: A join side is broadcast only when a count has shown that it has no more rows than this (some tens of bytes each).
-BROADCAST_ROWS = 200_000
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` (a written table) has at most ``rows`` rows."""
-    return df.count() <= rows
+#: Number of hash cells by which rows that may be met by a join are told from those that can't be. A table of cells is
+#: the only thing that these operators broadcast whose size depends on the input, and this is the most rows it has.
+CELLS = 1 << 19
 
 
 def same(left: DataFrame, right: DataFrame, columns: dict[str, str]) -> Column:
@@ -36,19 +35,31 @@ def same(left: DataFrame, right: DataFrame, columns: dict[str, str]) -> Column:
     return out
 
 
-def keep_rows(rows: DataFrame, keep: DataFrame, drop: DataFrame, columns: dict[str, str], limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of ``rows`` whose key is in ``keep``; ``drop`` holds the keys of all other rows.
+def cell_of(*columns: str | Column) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(CELLS)).cast("int")
+
+
+def told_apart(rows: DataFrame, some: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(rows that can have their key in ``some``, rows that can't), by a table of at most ``CELLS`` cells.
+
+    ``some`` is a narrow written table whose columns are the values of ``columns``; the keys name those of ``rows``. The
+    rows of the second part stay where they are. The more of the input ``some`` holds, the more rows are in the first
+    part; beyond about ``CELLS`` keys these are all rows, and the plan is that of a plain shuffled join.
+    """
+    cell = fresh(rows, "cell")
+    cells = F.broadcast(materialise(some.select(cell_of(*columns.values()).alias(cell)).distinct(), "cells"))
+    placed = rows.withColumn(cell, cell_of(*columns))
+    return placed.join(cells, cell, "left_semi").drop(cell), placed.join(cells, cell, "left_anti").drop(cell)
+
+
+def keep_rows(rows: DataFrame, keep: DataFrame, drop: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Rows of ``rows`` whose key is in ``keep``; ``drop`` holds the keys of all other rows. Both are narrow written tables.
 
-    Both key tables are narrow written tables. The smaller one is broadcast when a count shows that it is small, so
-    that wide rows stay where they are; else both sides are shuffled by the key (null-safe, skew is split by AQE).
+    Rows whose cell has no key of ``drop`` are kept where they are. All others are shuffled and joined by the key
+    (null-safe), at any size by the same plan.
     """
-    if is_small(drop, limit):
-        right, how = F.broadcast(drop), "left_anti"
-    elif is_small(keep, limit):
-        right, how = F.broadcast(keep), "left_semi"
-    else:
-        right, how = keep, "left_semi"
-    return rows.join(right, same(rows, right, columns), how)
+    mixed, calm = told_apart(rows, drop, columns)
+    return calm.unionByName(mixed.join(keep.hint("merge"), same(mixed, keep, columns), "left_semi"))
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -66,4 +77,12 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_
         starts = np.flatnonzero(np.diff(part, prepend=-1))
         for lo, hi in zip(starts, [*starts[1:], b.num_rows], strict=True):
             yield b.slice(lo, hi - lo)
-    pa.default_memory_pool().release_unused()  # an idle worker keeps nothing for the next task
+    give_back()
+
+
+def give_back() -> None:
+    """Return unused memory to the system, so that an idle worker keeps nothing for the next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

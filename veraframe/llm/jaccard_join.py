@@ -1,7 +1,8 @@
 """N-gram Jaccard join with rare-first prefix filtering.
 
-Documents with one word sequence form a class; each class is shingled once, into 48-bit hashes. The global order of
-shingles is rare first: by document frequency, then by hash. A class's prefix are its first ``n - ceil(t n) + 1``
+Documents with one word sequence form a class; each class is shingled once. Sets are counted by 64-bit hashes of their
+shingles, and candidates are found by 48 bits of these; what is reported as similar is compared by the words themselves.
+The global order of shingles is rare first: by document frequency, then by hash. A class's prefix are its first ``n - ceil(t n) + 1``
 shingles in that order; two classes with Jaccard similarity of at least ``t`` share a shingle of both prefixes. As only
 about the first ``1 - t`` of a class's shingles can be in its prefix, a first pass needs frequencies only for a fixed
 fraction of all shingles: those with hashes below ``FRACTION`` stand before all others in its order, and a class that has
@@ -17,8 +18,9 @@ multiplied out. In a round, a list's most central members (fewest unique shingle
 that are not yet known to be in the same component, and then leave the list; the number of centres grows from round to
 round. A list whose members are all in one component is done. A pair that several lists bring is looked at once, and
 never again in later rounds. So a group of near copies costs about one pair a member, while every link between different
-components is found. Pairs then pass the suffix filter (a lower bound of the Hamming distance from counts of hashes in
-64 ranges), and what is left is verified on the full sets.
+components is found. The suffix filter looks at what stands after a shared prefix shingle in the global order: every entry
+of a list carries the counts of its suffix's hashes in 32 ranges, their differences bound the Hamming distance of the two
+suffixes from below, and so the overlap from above. What is left is verified on the shingles themselves.
 
 Defined cases: an empty table gives no rows; null texts and texts without words have empty sets and are linked with
 nothing; with fewer than ``k`` words the whole sequence is the one shingle; copies share a class; rows that repeat come
@@ -27,6 +29,8 @@ out repeated; a null id is largest; other columns pass through :func:`drop_near_
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,13 +38,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veraframe.llm.common import BLANK_CLASS, fresh, is_small, keep_rows, materialise, same, small_batches
+from veraframe.llm.common import BLANK_CLASS, fresh, keep_rows, materialise, same, small_batches, told_apart
 from veraframe.operators.graph import components
 
 FRACTION = 0.3
 BLOCK_HASHES = 1_000_000
 BUCKET_HASHES = 2_000_000
-BINS = 64
+SUFFIX_WORDS = 4  # of eight one-byte counts: the ranges of the suffix filter
 CENTRES = 8  # times as many a list from round to round
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,7 +63,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
-    """Sorted distinct 48-bit hashes of every text's ``k``-word shingles; words are parted by single blanks."""
+    """Sorted distinct 64-bit hashes of every text's ``k``-word shingles; words are parted by single blanks."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     begins = 1 + np.concatenate(([0], np.cumsum(sizes)[:-1])) if texts else np.zeros(0, np.int64)
     buf = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
@@ -82,13 +86,13 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     full = np.zeros(max(0, len(words) - k + 1), np.uint64)
     for j in range(k):
         full += words[j : j + len(full)] * factors[j]
-    full = _mix(full) >> np.uint64(16)
+    full = _mix(full)
     present, word_at, counts = np.unique(owner, return_index=True, return_counts=True)
     for d, w, n in zip(present, word_at, counts, strict=True):
         if n >= k:
             out[d] = np.unique(full[w : w + n - k + 1])
         else:
-            out[d] = _mix((words[w : w + n] * factors[:n]).sum(keepdims=True) + np.uint64(n)) >> np.uint64(16)
+            out[d] = _mix((words[w : w + n] * factors[:n]).sum(keepdims=True) + np.uint64(n))
     return out
 
 
@@ -106,8 +110,8 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def sketch_classes(texts: DataFrame, k: int, num: int, den: int, limit: int) -> DataFrame:
-    """Written table of classes: c, doc_id, digest, block, n, brought (packed hashes) and bins; ``texts`` has doc_id, digest, words.
+def sketch_classes(texts: DataFrame, k: int, num: int, den: int, limit: int, keep_words: bool = False) -> DataFrame:
+    """Written table of classes: c, doc_id, digest, block, n and brought (packed hashes); ``texts`` has doc_id, digest, words.
 
     A class brings its hashes below ``limit``, or all if those might not hold its prefix.
     """
@@ -115,19 +119,20 @@ def sketch_classes(texts: DataFrame, k: int, num: int, den: int, limit: int) ->
     def run(batches):
         task, block, held = TaskContext.get().partitionId() << 24, 0, 0
         for b in small_batches(batches, 2, 2_000_000):
-            ns, brought, bins, blocks = [], [], [], []
+            ns, brought, blocks = [], [], []
             for h in shingle_sets([t.encode() for t in b.column(2).to_pylist()], k):
-                low = h[: np.searchsorted(h, np.uint64(limit))]
-                some = low if len(low) >= 1.25 * prefix_length(len(h), num, den) + 2 else h
+                short = np.unique(h >> np.uint64(16))
+                low = short[: np.searchsorted(short, np.uint64(limit))]
+                some = low if len(low) >= 1.25 * prefix_length(len(h), num, den) + 2 else short
                 if held > BLOCK_HASHES:
                     block, held = block + 1, 0
                 held += len(some)
                 ns.append(len(h)), brought.append(pack(some)), blocks.append(task + block)
-                bins.append(np.minimum(np.bincount((h >> np.uint64(42)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(blocks, pa.int64()), pa.array(ns, pa.int64()), pa.array(brought, pa.binary()), pa.array(bins, pa.binary())], names=["doc_id", "digest", "block", "n", "brought", "bins"])
+            columns = [b.column(0), b.column(1), pa.array(blocks, pa.int64()), pa.array(ns, pa.int64()), pa.array(brought, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns + [b.column(2)] * keep_words, names=["doc_id", "digest", "block", "n", "brought"] + ["words"] * keep_words)
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = texts.select("doc_id", "digest", "words").mapInArrow(run, f"doc_id {kind}, digest binary, block long, n long, brought binary, bins binary")
+    rows = texts.select("doc_id", "digest", "words").mapInArrow(run, f"doc_id {kind}, digest binary, block long, n long, brought binary" + ", words string" * keep_words)
     return materialise(rows.withColumn("c", F.monotonically_increasing_id()), "jaccard-classes")
 
 
@@ -172,11 +177,30 @@ def shared_hashes(classes: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInPandas(answer, "block long, hashes binary, df binary")
 
 
-def prefix_lists(classes: DataFrame, num: int, den: int, limit: int) -> DataFrame:
+def suffix_counts(ranges: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """For each position in ``upto``, how many later entries of ``ranges`` are in each range, at most 255: packed numbers."""
+    width = 8 * SUFFIX_WORDS
+    one = np.zeros((int(upto.max()) + 1, width), np.int32)
+    one[np.arange(len(one)), ranges[: len(one)]] = 1
+    after = np.bincount(ranges, minlength=width) - np.cumsum(one, axis=0)[upto]
+    return np.minimum(after, 255).astype(np.uint8).view("<i8")
+
+
+def suffix_distance(a: list[str], b: list[str]) -> Column:
+    """A lower bound of the Hamming distance of two suffixes, from their packed counts."""
+    count = lambda c, i: F.shiftright(c, 8 * i).bitwiseAND(255)
+    return functools.reduce(lambda x, y: x + y, [F.abs(count(x, i) - count(y, i)) for x, y in zip(a, b, strict=True) for i in range(8)])
+
+
+SUFFIX = [f"s{i}" for i in range(SUFFIX_WORDS)]
+
+
+def prefix_lists(classes: DataFrame, num: int, den: int, limit: int, suffixes: bool = False) -> DataFrame:
     """Written table of prefix shingles that two classes or more have in their prefixes: h, c, n, pos and alone.
 
     ``alone`` is the number of a class's brought shingles that no other class has; they stand first in its order. A
-    class with more of them than similarity allows can't link and is left out.
+    class with more of them than similarity allows can't link and is left out. With ``suffixes``, for classes that bring
+    all their hashes, there are also the counts of what follows in a class's order.
     """
 
     def order(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -193,57 +217,53 @@ def prefix_lists(classes: DataFrame, num: int, den: int, limit: int) -> DataFram
                 i = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 met = known[i] == h
                 freq = np.where(met, df[i], 1)
+                in_order = np.lexsort((h, freq, h >= limit))
                 pos = np.empty(len(h), np.int64)
-                pos[np.lexsort((h, freq, h >= limit))] = np.arange(len(h))
+                pos[in_order] = np.arange(len(h))
                 keep = met & (pos < prefix_length(n, num, den))
                 alone = int((~met & (h < limit)).sum())  # others' shingles beyond it may not be known
                 if keep.any() and alone < prefix_length(n, num, den):
-                    parts.append((h[keep].astype(np.int64), np.full(keep.sum(), c), np.full(keep.sum(), n), pos[keep], np.full(keep.sum(), alone)))
-        cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [[]] * 5
-        return pd.DataFrame(dict(zip(("h", "c", "n", "pos", "alone"), cols, strict=True)))
+                    after = suffix_counts((h[in_order] >> np.uint64(43)).astype(np.int64), pos[keep]).T if suffixes else ()
+                    parts.append((h[keep].astype(np.int64), np.full(keep.sum(), c), np.full(keep.sum(), n), pos[keep], np.full(keep.sum(), alone), *after))
+        names = ["h", "c", "n", "pos", "alone"] + SUFFIX * suffixes
+        cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [[]] * len(names)
+        return pd.DataFrame(dict(zip(names, cols, strict=True)))
 
     left = classes.select("block", "c", "n", "brought").groupBy("block")
-    rows = left.cogroup(shared_hashes(classes).groupBy("block")).applyInPandas(order, "h long, c long, n long, pos long, alone long")
-    rows = materialise(rows, "jaccard-lists")
+    schema = "h long, c long, n long, pos long, alone long" + "".join(f", {x} long" for x in SUFFIX * suffixes)
+    rows = materialise(left.cogroup(shared_hashes(classes).groupBy("block")).applyInPandas(order, schema), "jaccard-lists")
     single = rows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m = 1").select("h")
     single = materialise(single, "jaccard-single")  # written, so that the join has plain exchanges that can be split
     return materialise(rows.join(single, "h", "left_anti"), "jaccard-met")
 
 
-def suffix_filter(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """``pairs`` (a, b) whose sets may still overlap enough, by the counts of their hashes in BINS ranges."""
-    of = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins{x}"))
-
-    def run(batches):
-        for b in batches:
-            na, nb = b.column(2).to_numpy(), b.column(4).to_numpy()
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int32) for i in (3, 5))
-            least = -(-num * (na + nb) // (den + num))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(np.abs(x - y).sum(1) <= na + nb - 2 * least))
+def word_shingles(words: str, k: int) -> set[tuple[str, ...]]:
+    w = words.split(" ")
+    return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)}
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "binsa", "nb", "binsb").mapInArrow(run, "a long, b long")
 
-
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``pairs`` (a, b) with Jaccard similarity of at least num / den; ``sets`` has c and packed hashes."""
+def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``pairs`` (a, b) with Jaccard similarity of at least num / den, by the shingles themselves; ``texts`` has c and words."""
 
     def run(batches):
-        for b in small_batches(batches, 2, 8_000_000):
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                both = len(np.intersect1d(unpack(x), unpack(y), assume_unique=True))
-                keep.append(den * both >= num * (len(x) // 6 + len(y) // 6 - both))
+        for b in small_batches(batches, 2, 2_000_000):
+            keep, last, x = [], None, set()
+            for left, right in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if left != last:
+                    last, x = left, word_shingles(left, k)
+                y = word_shingles(right, k)
+                both = len(x & y)
+                keep.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    of = lambda x: sets.select(F.col("c").alias(x), F.col("hashes").alias(f"h{x}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+    of = lambda x: texts.select(F.col("c").alias(x), F.col("words").alias(f"words_{x}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long")
 
 
-def class_components(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(c, comp) of the classes that share a prefix shingle; ``classes`` bring all their hashes."""
-    lists = prefix_lists(classes, num, den, 2**48)
+def class_components(classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(c, comp) of the classes that share a prefix shingle; ``classes`` bring all their hashes and their words."""
+    lists = prefix_lists(classes, num, den, 2**48, suffixes=True)
     spark = classes.sparkSession
-    sets = classes.select("c", F.col("brought").alias("hashes"))
     labels = materialise(lists.select("c").distinct().withColumn("comp", F.col("c")), "jaccard-labels")
     seen, centres_a_list = spark.createDataFrame([], "a long, b long"), 1
     while True:
@@ -253,18 +273,19 @@ def class_components(classes: DataFrame, num: int, den: int) -> DataFrame:
         if active.isEmpty():
             return labels
         salt = F.pmod(F.xxhash64("c"), F.lit(centres_a_list))
-        best = F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "c", "n", "pos", "comp")).alias("best")
+        best = F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "c", "n", "pos", "comp", *SUFFIX)).alias("best")
         centres = active.groupBy("h", salt.alias("salt")).agg(best)
-        centres = materialise(centres.select("h", *[F.col(f"best.{x}").alias(f"c{x}") for x in ("c", "n", "pos", "comp")]), "jaccard-centres")
+        centres = materialise(centres.select("h", *[F.col(f"best.{x}").alias(f"c{x}") for x in ("c", "n", "pos", "comp", *SUFFIX)]), "jaccard-centres")
         least = F.ceil(num * (F.col("n") + F.col("cn")) / (den + num))
         # At the first shingle that a pair shares, nothing before it is in both. Every list is worked through, so the pair
         # is met there, and in the other lists it may be passed over.
         after = F.least(F.col("n") - F.col("pos"), F.col("cn") - F.col("cpos"))
-        fits = (F.col("comp") != F.col("ccomp")) & (den * F.least("n", "cn") >= num * F.greatest("n", "cn")) & (after >= least)
+        behind = F.col("n") - F.col("pos") + F.col("cn") - F.col("cpos") - 2  # of both suffixes
+        similar = behind - suffix_distance(SUFFIX, [f"c{x}" for x in SUFFIX]) >= 2 * (least - 1)
+        fits = (F.col("comp") != F.col("ccomp")) & (den * F.least("n", "cn") >= num * F.greatest("n", "cn")) & (after >= least) & similar
         met = active.join(centres, (active.h == centres.h) & fits).select(F.least("c", "cc").alias("a"), F.greatest("c", "cc").alias("b"))
         pairs = materialise(met.distinct().join(seen, ["a", "b"], "left_anti"), "jaccard-pairs")
-        likely = materialise(suffix_filter(pairs, classes, num, den), "jaccard-likely")
-        links = materialise(verify(likely, sets, num, den), "jaccard-links")
+        links = materialise(verify(pairs, classes.select("c", "words"), k, num, den), "jaccard-links")
         if not links.isEmpty():
             of = lambda x: labels.select(F.col("c").alias(x), F.col("comp").alias(f"comp_{x}"))
             joined = components(links.join(of("a"), "a").join(of("b"), "b"), "comp_a", "comp_b").select(F.col("node").alias("comp"), F.col("component").alias("then"))
@@ -293,14 +314,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     # First pass: which classes share any shingle of a prefix. Second pass: the join itself, on all shingles of those.
     some = prefix_lists(classes, num, den, limit).select("c").distinct()
     some = materialise(classes.select("c", "doc_id", "digest").join(some, "c", "left_semi").drop("c"), "jaccard-some")
-    ids = some.select(F.col("doc_id").alias("id")).distinct()
-    ids = F.broadcast(ids) if is_small(some) else ids
-    near = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    near = near.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("doc_id", word_sequence("text").alias("words"))
-    near = near.withColumn("digest", F.unhex(F.sha2("words", 256)))
-    near = near.join(some.select("digest").distinct(), "digest", "left_semi").select("doc_id", "digest", "words")
-    full = sketch_classes(near, k, num, den, 2**48)
-    comps = full.select("c", "digest", "doc_id").join(class_components(full, num, den), "c")
+    columns = {"doc_id": "doc_id", "digest": "digest"}
+    near, _ = told_apart(keyed, some, columns)
+    near = near.join(some.hint("merge"), same(near, some, columns), "left_semi")
+    full = sketch_classes(near, k, num, den, 2**48, keep_words=True)
+    comps = full.select("c", "digest", "doc_id").join(class_components(full, k, num, den), "c")
     comps = materialise(comps, "jaccard-named")
     smallest = comps.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min("digest").alias("component"))
     linked = comps.select("comp", "digest").join(smallest, "comp").groupBy("digest").agg(F.min("component_id").alias("component_id"), F.min("component").alias("component"))

@@ -8,23 +8,26 @@ further language, and shares are estimated again within every set until they set
 document leaves the search when a bound on the likelihood shows that no larger set can gain. The prediction is the
 largest share.
 
-Work is done on flat arrays over a slice of many documents at a time, so no document or batch is looped over by word.
+Work is done on flat arrays over a slice of many documents at a time, so no document or batch is looped over by word, and
+a worker holds the arrays of one slice (or of one document that is longer). Only the letters of a text go to Python.
 
 Defined cases: an empty table gives no rows; a text that is null or has no letter is ``und`` with score 0; if there is
 no labelled training document everything is ``und``; documents of any length are used whole; ties between languages go
 to the first by code point; repeated rows are predicted alike (each counts in training); other columns pass through
-:func:`identify` unchanged.
+:func:`identify` unchanged, but one that has the name of an output is replaced, as ``withColumn`` does.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veraframe.llm.common import fresh, small_batches
+from veraframe.llm.common import fresh, give_back, small_batches
 
 BUCKETS = 65_536
 EM_ROUNDS = 8
@@ -33,7 +36,7 @@ PENALTY = 8.0
 TOLERANCE = 1e-5
 SMOOTHING = 0.5
 #: Bytes of text that are worked on at a time.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 256_000
 UNKNOWN = "und"
 
 
@@ -49,10 +52,11 @@ def held_out(key: str) -> Column:
 def trigrams(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions of letters' bytes, hash bucket of the trigram around each); ``buf`` begins and ends with a blank."""
     at = np.flatnonzero(buf != 32)
-    a, b, c = (buf[at + d].astype(np.uint32) for d in (-1, 0, 1))
-    code = a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B) + c * np.uint32(0xC2B2AE35)
+    code = np.zeros(len(at), np.uint32)
+    for d, factor in ((-1, 0x9E3779B1), (0, 0x85EBCA6B), (1, 0xC2B2AE35)):
+        code += buf[at + d] * np.uint32(factor)
     code ^= code >> np.uint32(15)
-    return at, (code * np.uint32(0x2C1B3C6D) >> np.uint32(16)).astype(np.int64)
+    return at, (code * np.uint32(0x2C1B3C6D) >> np.uint32(16)).astype(np.int32)
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -176,36 +180,45 @@ def mixtures(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, chosen
 
 
-def identify(docs: DataFrame, names: list[str], table: np.ndarray, text: str = "text", pred: str = "lang_pred", score: str = "score", share: str = "shares") -> DataFrame:
-    """``docs`` with the predicted language, its share and the shares of all chosen languages (a map)."""
+FOUND = T.StructType([T.StructField("pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", T.MapType(T.StringType(), T.FloatType()))])
+
+
+def found_in(docs: DataFrame, names: list[str], table: np.ndarray, text: str, maps: bool = True) -> Column:
+    """Struct of the predicted language, its share and, with ``maps``, the shares of all chosen languages."""
     model = docs.sparkSession.sparkContext.broadcast((names, table))  # at most BUCKETS numbers a language
-    width, norm = len(docs.columns), fresh(docs, "letters")
-    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType()), T.StructField(share, T.MapType(T.StringType(), T.FloatType()))])
 
-    def run(batches):
+    @F.arrow_udf(returnType=FOUND)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         langs, weights = model.value
-        for b in small_batches(batches, width):
-            texts = [t.encode() for t in b.column(width).to_pylist()]
+        for b in batches:
+            texts = b.cast(pa.binary()).to_pylist()
             pi = np.zeros((len(texts), max(1, len(langs))), np.float32)
             if langs:
                 for lo, hi in byte_slices(texts):
                     pi[lo:hi] = mixtures(texts[lo:hi], weights)[0]
             top, known = pi.argmax(1), pi.sum(1) > 0
-            found = [langs[i] if ok else UNKNOWN for i, ok in zip(top, known, strict=True)]
-            maps = [[(langs[i], float(row[i])) for i in np.flatnonzero(row > 0)] for row in pi]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:width], pa.array(found, pa.string()), pa.array(np.clip(pi.max(1), 0, 1).astype(float), pa.float64()), pa.array(maps, pa.map_(pa.string(), pa.float32()))],
-                names=schema.names,
-            )
+            found = pa.array([langs[i] if ok else UNKNOWN for i, ok in zip(top, known, strict=True)], pa.string())
+            each = [[(langs[i], float(row[i])) for i in np.flatnonzero(row > 0)] for row in pi] if maps else [None] * len(pi)
+            score = pa.array(np.clip(pi.max(1), 0, 1).astype(float), pa.float64())
+            yield pa.StructArray.from_arrays([found, score, pa.array(each, pa.map_(pa.string(), pa.float32()))], names=FOUND.names)
+        give_back()
 
-    return docs.withColumn(norm, letters_only(text)).mapInArrow(run, schema)
+    return run.asNondeterministic()(letters_only(text))  # so that it is evaluated once
+
+
+def identify(docs: DataFrame, names: list[str], table: np.ndarray, text: str = "text", pred: str = "lang_pred", score: str = "score", share: str = "shares") -> DataFrame:
+    """``docs`` with the predicted language, its share and the shares of all chosen languages (a map)."""
+    out = fresh(docs, "found")
+    found = docs.withColumn(out, found_in(docs, names, table, text))
+    return found.withColumns({pred: F.col(f"{out}.pred"), score: F.col(f"{out}.score"), share: F.col(f"{out}.shares")}).drop(out)
 
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
     """Documents whose language is known and makes up at least ``least`` of their words, with their own columns."""
     names, table = train(docs.filter(~held_out(key)), text, lang)
-    pred, score, share = (fresh(docs, c) for c in ("lang_pred", "score", "shares"))
-    return identify(docs, names, table, text, pred, score, share).filter((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
+    out = fresh(docs, "found")
+    found = docs.withColumn(out, found_in(docs, names, table, text, maps=False))
+    return found.filter((F.col(f"{out}.pred") != UNKNOWN) & (F.col(f"{out}.score") >= least)).select(*docs.columns)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veraframe.llm.common import keep_rows, materialise, new_path, small_batches
+from veraframe.llm.common import give_back, keep_rows, materialise, new_path, small_batches
 
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
 #: Characters given to the tokenizer at a time, which bounds what it holds.
@@ -34,20 +34,15 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read() + b"\0tokenizers " + tokenizers.__version__.encode()).hexdigest()
 
 
-_LOADED: dict[str, object] = {}
+def loaded(path: str):
+    """The tokenizer. It is loaded for a task and not kept, so that idle workers hold nothing."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-
-def _loaded(path: str):
-    """The tokenizer of this worker process."""
-    if path not in _LOADED:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        _LOADED[path] = tok
-    return _LOADED[path]
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
 
 
 def slices(texts: list[str], chars: int = SLICE_CHARS):
@@ -67,10 +62,12 @@ def count_tokens(rows: DataFrame, path: str) -> DataFrame:
     """(digest, n_tokens) of rows (digest, text), encoded in Arrow batches."""
 
     def run(batches):
-        tok = _loaded(path)
+        tok = loaded(path)
         for b in small_batches(batches, 1):
             counts = [len(e) for part in slices(b.column(1).to_pylist()) for e in tok.encode_batch_fast(part, add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+        del tok
+        give_back()
 
     return rows.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long")
 
