@@ -32,7 +32,11 @@ _REF = re.compile(r"sha256:([0-9a-f]{64})")
 
 
 class _Sequence(HTMLParser):
-    """Collects (kind, text, ref, caption) in page order; a figure's caption goes to the references in it."""
+    """Collects [kind, text, ref, caption] in page order; a figure's caption goes to the references in it.
+
+    A caption ends with its figure, with a new figure or caption, or with the page; its figure's references get it then.
+    Outside a figure, figcaption is a block of text like any other, and so is the caption of a figure without references.
+    """
 
     BREAKS = frozenset("p div section article figure figcaption h1 h2 h3 h4 h5 h6 li ul ol table tr td br hr blockquote pre".split())
     MEDIA = frozenset("img video audio source embed".split())
@@ -43,7 +47,8 @@ class _Sequence(HTMLParser):
         self.items: list[list] = []
         self.words: list[str] = []
         self.caption: list[str] | None = None
-        self.figure, self.hidden = 0, 0
+        self.figure: int | None = None  # where the open figure's items begin
+        self.hidden = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
@@ -51,15 +56,27 @@ class _Sequence(HTMLParser):
         if text:
             self.items.append(["text", text, None, None])
 
+    def end_caption(self) -> None:
+        if self.caption is None:
+            return
+        text, self.caption = " ".join("".join(self.caption).split()), None
+        media = [item for item in self.items[self.figure :] if item[0] == "media"]
+        for item in media:
+            item[3] = text or item[3]
+        if text and not media:
+            self.items.append(["text", text, None, None])
+
     def handle_starttag(self, tag, attrs) -> None:
         if tag in self.BREAKS:
             self.flush()
         if tag in self.HIDDEN:
             self.hidden += 1
         elif tag == "figure":
+            self.end_caption()
             self.figure = len(self.items)
         elif tag == "figcaption":
-            self.caption = []
+            self.end_caption()
+            self.caption = [] if self.figure is not None else None
         elif tag in self.MEDIA:
             named = dict(attrs)
             found = _REF.search(named.get("src") or "")
@@ -70,50 +87,60 @@ class _Sequence(HTMLParser):
     def handle_endtag(self, tag) -> None:
         if tag in self.HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for item in self.items[self.figure :]:
-                if item[0] == "media":
-                    item[3] = text
-            self.caption = None
         if tag in self.BREAKS:
             self.flush()
+        if tag == "figure":
+            self.end_caption()
+            self.figure = None
+        elif tag == "figcaption":
+            self.end_caption()
 
     def handle_data(self, data) -> None:
         if not self.hidden:
             (self.words if self.caption is None else self.caption).append(data)
 
+    def close(self) -> None:
+        super().close()
+        self.end_caption()
+        self.flush()
 
-def parse_sequence(source: str, keep_text: bool = True) -> list[dict]:
+
+def parse_sequence(source: str) -> list[dict]:
     parser = _Sequence()
     parser.feed(source)
     parser.close()
-    parser.flush()
-    return [{"position": i, "kind": k, "text": t if keep_text else None, "ref": r, "caption": c} for i, (k, t, r, c) in enumerate(parser.items)]
+    return [{"position": i, "kind": k, "text": t, "ref": r, "caption": c} for i, (k, t, r, c) in enumerate(parser.items)]
 
 
-def sequences(docs: DataFrame, key: str, source: str, keep_text: bool = True) -> DataFrame:
-    """(key, items) of every HTML document; without ``keep_text`` text items only hold their place."""
+def sequences(docs: DataFrame, key: str, source: str) -> DataFrame:
+    """(key, items) of every HTML document."""
 
     def run(batches):
         for b in small_batches(batches, 1):
-            items = [parse_sequence(s, keep_text) for s in b.column(1).to_pylist()]
+            items = [parse_sequence(s) for s in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.list_(ITEM))], names=[key, "items"])
 
     rows = docs.select(key, F.coalesce(F.col(source), F.lit("")).alias(source))
     return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, items {ITEMS}")
 
 
-def resolve(items: DataFrame, store: DataFrame, key: str) -> DataFrame:
-    """``items`` (key, items) with each media reference's row of ``store`` (ref and others) in ``media``, in order.
+def resolve_references(items: DataFrame, store: DataFrame, key: str) -> DataFrame:
+    """(key, media): the references of each of ``items`` (key, items) with their rows of ``store``, in order of position.
 
-    ``media`` is an array of (position, caption, ref, found, payload facts), one for each reference.
+    ``media`` is an array of (position, caption, ref, found, payload facts), one for each reference; documents without
+    references have no row. References are few and narrow, whatever the texts around them.
     """
     facts = [c for c in store.columns if c != "ref"]
-    refs = items.select(key, F.explode("items").alias("item")).filter("item.kind = 'media'").select(key, "item.position", "item.caption", "item.ref")
+    refs = items.select(key, F.explode(F.filter("items", lambda i: i.kind == "media")).alias("item")).select(key, "item.position", "item.caption", "item.ref")
+    refs = materialise(refs, "media-references")  # so that a digest that many refer to can be split in the join
     joined = refs.join(store.withColumn("found", F.lit(True)), "ref", "left")
     one = F.struct("position", "caption", "ref", F.coalesce("found", F.lit(False)).alias("found"), *facts)
-    media = joined.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("media"))
+    return joined.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("media"))
+
+
+def resolve(items: DataFrame, store: DataFrame, key: str) -> DataFrame:
+    """``items`` (key, items) with :func:`resolve_references`' column ``media``, empty for documents without references."""
+    media = resolve_references(items, store, key)
     return items.join(media, key, "left").withColumn("media", F.coalesce("media", F.array().cast(media.schema["media"].dataType)))
 
 
@@ -178,10 +205,9 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """Every document's payload by its sequence: the caption is the unpadded length, the rest comes from the store."""
     facts = payload_facts(write_store(docs, text))
     pages = docs.select(F.struct(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("row")).alias("of"), as_page(text).alias("page"))
-    found = materialise(sequences(pages, "of", "page", keep_text=False), "media-sequences")
-    refs = found.select("of", F.filter("items", lambda i: i.kind == "media")[0].alias("item"))
-    # One reference a document, so it is joined as it stands; resolve() gathers several.
-    return refs.select(F.col("of.doc_id").alias("doc_id"), F.col("item.position").alias("position"), F.col("item.caption").cast("long").alias("n_bytes"), F.col("item.ref").alias("ref")).join(facts, "ref")
+    media = resolve_references(sequences(pages, "of", "page"), facts, "of")
+    one = media.select(F.col("of.doc_id").alias("doc_id"), F.element_at("media", 1).alias("m"))
+    return one.select("doc_id", "m.position", F.col("m.caption").cast("long").alias("n_bytes"), "m.ref", *[f"m.{c}" for c in facts.columns if c != "ref"])
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
