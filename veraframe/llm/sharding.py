@@ -1,7 +1,8 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
-The ring has ``CELLS`` equal cells; a document's id hashes to a cell, and each shard owns the cells up to each of its
-virtual nodes. Loads are summed per cell, so all further work is on a table whose size is fixed by ``CELLS`` whatever the
+The ring has ``CELLS`` equal cells; a document's id, size and CRC hash to a cell (so that neither null nor frequent ids
+share one), and each shard owns the cells up to each of its virtual nodes. More than ``TIE_ROWS`` rows that are equal in
+all three are numbered and take a cell for each such number of rows. Loads are summed per cell, so all further work is on a table whose size is fixed by ``CELLS`` whatever the
 input. In each round every unplaced cell asks the next virtual node clockwise whose shard is not full; a shard takes its
 largest askers that fit under ``(1 + slack) * mean``, and the rest goes on clockwise. Once rounds place little, a shard
 takes askers as long as it is below the bound, so a round that leaves cells over fills a shard: the rounds end, and no
@@ -9,8 +10,8 @@ shard ends above the bound by more than one cell. The few cells that overflow mo
 A row's slot is the number of rows in earlier cells of its shard plus its place within its cell.
 
 Only DataFrame functions are used. Defined cases: an empty table gives no rows; a null text has size ``ROW_BYTES``
-and the CRC of no bytes; rows with equal ids share a cell and so a shard, repeated rows get slots of their own (rows
-that tie completely are interchangeable); null ids share one cell; other columns of the input are ignored.
+and the CRC of no bytes; equal, repeated and null ids are spread like others, and repeated rows get slots of their own
+(rows that tie completely are interchangeable); other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ CELLS = 1 << CELL_BITS
 VIRTUAL_NODES = 256
 SLACK = 0.0
 ROW_BYTES = 16
+TIE_ROWS = 32
 
 
 def cell_of(*columns) -> F.Column:
@@ -87,6 +89,29 @@ def place(loads: DataFrame, shards: int, virtual_nodes: int = VIRTUAL_NODES, sla
     return reduce(DataFrame.unionByName, placed) if placed else loads.withColumns({"shard": F.lit(0), "turns": F.lit(0)})
 
 
+def with_cells(rows: DataFrame) -> DataFrame:
+    """``rows`` (written: doc_id, size, text_crc32) with their cells."""
+    tie = ["doc_id", "size", "text_crc32"]
+    part = F.spark_partition_id()
+    counts = rows.groupBy(*tie).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TIE_ROWS)
+    hot = materialise(counts.select(*[F.col(c).alias(f"hot_{c}") for c in tie]), "ring-ties")  # a row for at least TIE_ROWS rows
+    if hot.isEmpty():
+        return rows.withColumn("cell", cell_of(F.lit("key"), *tie))
+    of_tie = lambda df, names: reduce(lambda x, y: x & y, [df[c].eqNullSafe(hot[h]) for c, h in zip(names, hot.columns, strict=True)])
+    calm = rows.join(hot, of_tie(rows, tie), "left_anti").withColumn("cell", cell_of(F.lit("key"), *tie))
+    many = rows.join(hot, of_tie(rows, tie), "left_semi").withColumn("part", part)
+    many = materialise(many, "ring-tied")
+    # Numbered within a tie and partition, after the rows of earlier partitions: which row gets a number does not matter.
+    earlier = Window.partitionBy(*tie).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = many.groupBy(*tie, "part").agg(F.count(F.lit(1)).alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    offsets = offsets.select(*[F.col(c).alias(f"o_{c}") for c in [*tie, "part"]], "offset")
+    nth = F.row_number().over(Window.partitionBy(*tie, "part").orderBy("part")) - 1
+    placed = many.withColumn("nth", nth)
+    placed = placed.join(offsets, reduce(lambda x, y: x & y, [placed[c].eqNullSafe(offsets[f"o_{c}"]) for c in [*tie, "part"]]))
+    salt = F.floor((F.col("nth") + F.col("offset")) / TIE_ROWS)
+    return calm.unionByName(placed.withColumn("cell", cell_of(F.lit("key"), *tie, salt)).select(*calm.columns))
+
+
 def ring_shards(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", virtual_nodes: int = VIRTUAL_NODES, slack: float = SLACK) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot and turns of every row."""
     content = F.coalesce(F.col(text), F.lit(""))
@@ -94,9 +119,8 @@ def ring_shards(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "
         F.col(key).alias("doc_id"),
         (F.octet_length(content) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(content).alias("text_crc32"),
-        cell_of(F.lit("key"), F.col(key)).alias("cell"),
     )
-    rows = materialise(rows, "ring-rows")
+    rows = materialise(with_cells(materialise(rows, "ring-rows")), "ring-cells")
     placed = place(rows.groupBy("cell").agg(F.sum("size").alias("load"), F.count(F.lit(1)).alias("n")), shards, virtual_nodes, slack)
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = materialise(placed.select("cell", "shard", "turns", earlier.alias("offset")), "ring-placed")
