@@ -13,7 +13,8 @@ bucket, so only the bucket in which a run ends is looked into row by row, and a
 brought to one task. The query op8 is held to its SQL, which ends after ``FILL_ROUNDS`` single documents.
 
 Defined cases: an empty table gives no rows; a null or empty text has size 0 and is taken 0 words; a null source is a
-source of its own, last in order; rows with the same id tie in the order and are told apart by size and text;
+source of its own, last in order; rows with the same id tie in the order and are told apart by size and text; rows with
+a null id are put in order by their texts;
 repeated rows are interchangeable; other columns are ignored by :func:`mix` and passed through by :func:`mixed_documents`.
 """
 
@@ -56,7 +57,9 @@ def water_fill(sources: DataFrame, max_epochs: int, weights: tuple[int, ...]) ->
 
 def sized(docs: DataFrame, key: str, text: str, source: str, seed: str = SEED) -> DataFrame:
     """doc_id, source, size in words, and the seeded order of every row."""
-    order = F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 256)
+    # Rows without an id are put in order by their text, so that they do not all stand at one place.
+    known = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.coalesce(F.sha2(text, 256), F.lit(""))))
+    order = F.sha2(F.concat(F.lit(f"{seed}:"), known), 256)
     return docs.select(
         F.col(key).alias("doc_id"),
         F.col(source).cast("string").alias("source"),
@@ -162,14 +165,17 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     plan = mix(docs, key, text, source, max_epochs, weights).filter("taken > 0")
     # Rows that tie in id and text are one entry with the sum of their repetitions, kept by one of them.
     plan = materialise(plan.groupBy("doc_id", "tie").agg(F.sum("repeats").alias("repeats"), F.count(F.lit(1)).alias("rows")), "mix-plan")
-    tie, n = fresh(docs, "tie"), fresh(docs, "n_of_mix")
+    names = {}
+    for c in ("tie", "n_of_mix", "plan_id", "plan_tie", "plan_repeats", "plan_rows"):
+        names[c] = fresh(docs, c)
+    tie, n, repeats, rows = names["tie"], names["n_of_mix"], names["plan_repeats"], names["plan_rows"]
     tied = docs.withColumn(tie, F.xxhash64(text))
-    small = plan.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("repeats").alias("__repeats"), F.col("rows").alias("__rows"))
-    joined = tied.join(small, tied[key].eqNullSafe(small["__id"]) & tied[tie].eqNullSafe(small["__tie"]))
+    small = plan.select(F.col("doc_id").alias(names["plan_id"]), F.col("tie").alias(names["plan_tie"]), F.col("repeats").alias(repeats), F.col("rows").alias(rows))
+    joined = tied.join(small, tied[key].eqNullSafe(small[names["plan_id"]]) & tied[tie].eqNullSafe(small[names["plan_tie"]]))
     if not plan.filter("rows > 1").isEmpty():
-        single = joined.filter("__rows = 1")
-        joined = single.unionByName(joined.filter("__rows > 1").dropDuplicates([key, tie]))
-    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col("__repeats").cast("int")))).select(*docs.columns)
+        single = joined.filter(F.col(rows) == 1)
+        joined = single.unionByName(joined.filter(F.col(rows) > 1).dropDuplicates([key, tie]))
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(repeats).cast("int")))).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
