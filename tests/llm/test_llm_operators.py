@@ -51,7 +51,7 @@ def test_exact_groups(odd):
     groups = collections.defaultdict(list)
     for r in rows:
         groups[squeezed(r.text)].append((-len(r.text or ""), r.doc_id is None, r.doc_id or 0, r.doc_id))
-    got = exact_dedup.exact_groups(odd, fan_in=2).collect()
+    got = exact_dedup.exact_groups(odd, most_runs=2).collect()
     assert len(got) == len(rows) and sum(r.kept for r in got) == len(groups)
     keep = {hashlib.sha256(k.encode()).hexdigest(): (min(v)[3], len(v)) for k, v in groups.items()}
     assert all((r.keep_id, r.group_size) == keep[r.text_sha256] for r in got)
