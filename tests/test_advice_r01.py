@@ -1,6 +1,5 @@
 """Queries that once left rows out."""
 
-from veraframe.operators import tracking as T
 from veraframe.plans import catalog
 from veraframe.plans.fixtures import view
 
@@ -11,10 +10,3 @@ def test_gap_tracker_links_all_detections(spark):
     key = ("video_id", "frame_index", "det_key")
     got = catalog.QUERIES["j11_gap_tracker"](spark, SF).select(*key).collect()
     assert sorted(got) == sorted(view(spark, SF, "faces").select(*key).collect())
-
-
-def test_links_over_made_up_gaps(spark):
-    rows = [(1, f, 10.0, 10.0, 30.0, 30.0, 0.9, 100 + f) for f in (1, 2, 5, 9)]
-    faces = spark.createDataFrame(rows, "video_id long, frame_index int, x double, y double, w double, h double, confidence double, det_key long")
-    got = {r.frame_index: r.track for r in T.link_tracks(faces, iou_min=0.4, max_gap=3, shift=0.0).collect()}
-    assert got == {1: 0, 2: 0, 5: 0, 9: 1}

@@ -1,5 +1,6 @@
 """Operators that SQL does not express, and edge cases, against brute force."""
 
+import collections
 import math
 import random
 
@@ -10,9 +11,8 @@ from pyspark.sql import functions as F
 from veraframe.operators import decisions as D
 from veraframe.operators import manifests as M
 from veraframe.operators import metrics as S
-from veraframe.operators import tracking as T
 from veraframe.operators.graph import components
-from veraframe.operators.near_duplicates import hamming_pairs, leader_groups
+from veraframe.operators.near_duplicates import hamming_groups, hamming_pairs
 from veraframe.operators.ordering import running
 
 
@@ -92,14 +92,6 @@ def test_weighted_draws(spark):
     assert sum(counts.values()) == 2000 and abs(counts["b"] / 2000 - 0.75) < 0.05
 
 
-def test_tracks(spark):
-    rows = [(1, f, f * 10, 5.0 * f, 0.0, 20.0, 20.0, 0.9) for f in range(4)] + [(1, 1, 99, 300.0, 0.0, 20.0, 20.0, 0.5)]
-    df = spark.createDataFrame(rows, "video_id long, frame_index int, det_key long, x double, y double, w double, h double, confidence double")
-    tracked = T.link_tracks(df)
-    assert {r.det_key: r.track for r in tracked.collect()} == {0: 0, 10: 0, 20: 0, 30: 0, 99: 1}
-    assert T.primary_tracks(tracked).first().frames == 4
-
-
 def test_hamming_and_leaders(spark):
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(12)]
@@ -115,12 +107,14 @@ def test_hamming_and_leaders(spark):
         reps.setdefault(h, k)
     want = {(a, b): distance(x, y) for a, x in hashes for b, y in hashes if a < b and distance(x, y) <= 5 and ((reps[x] == a and reps[y] == b) or (x == y and reps[x] == a))}
     assert got == want
-    leaders = {r.key: r.leader for r in leader_groups(spark.createDataFrame(list(want), "a long, b long")).collect()}
-    near = {}
-    for a, b in want:
-        near.setdefault(b, set()).add(a)
-    expect = {}
-    for k in sorted(leaders):
-        first = [a for a in sorted(near.get(k, ())) if expect[a] == a]
-        expect[k] = first[0] if first else k
-    assert leaders == expect
+    groups = {r.key: r.leader for r in hamming_groups(spark.createDataFrame(hashes, "k long, h long"), "k", "h").collect()}
+    leader = {}
+    for k, h in hashes:
+        leader.setdefault(k, next((j for j, g in hashes if j < k and leader[j] == j and distance(g, h) <= 5), k))
+    sizes = collections.Counter(leader.values())
+    assert groups == {k: v for k, v in leader.items() if sizes[v] > 1}
+
+
+def test_copies_follow_their_first_key(spark):
+    got = {r.key: r.leader for r in hamming_groups(spark.createDataFrame([(0, 0), (1, 1), (5, 1), (9, -1)], "k long, h long"), "k", "h").collect()}
+    assert got == {0: 0, 1: 0, 5: 0}

@@ -49,12 +49,51 @@ def iou(x1, y1, w1, h1, x2, y2, w2, h2) -> Column:
     return F.when(union > 0, both / union).otherwise(F.lit(0.0))
 
 
-def display_safe(text: Column, most: int = 80) -> Column:
-    """Text for display: control and format characters and URL-like words go, space is collapsed, the rest is cut."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\p{Cc}\p{Cf}]", " ")
-    plain = F.trim(F.regexp_replace(plain, r"[   - 　]+", " "))
-    plain = F.array_join(F.filter(F.split(plain, " "), lambda w: ~w.rlike(r"(?i)(://|^www\.)")), " ")
-    return F.substring(plain, 1, most)
+def area(w: Column, h: Column) -> Column:
+    return F.greatest(F.lit(0.0), w) * F.greatest(F.lit(0.0), h)
+
+
+def expanded(x: Column, y: Column, w: Column, h: Column, margin: float) -> tuple[Column, Column, Column, Column]:
+    """The box with ``margin`` of its width and height added on each side."""
+    return x - w * margin, y - h * margin, w * (1 + 2 * margin), h * (1 + 2 * margin)
+
+
+def clipped(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> tuple[Column, Column, Column, Column]:
+    """The part of the box that lies in an image; a box outside has no width or height."""
+    within = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), most)
+    left, top = within(x, width), within(y, height)
+    return left, top, F.greatest(F.lit(0.0), within(x + w, width) - left), F.greatest(F.lit(0.0), within(y + h, height) - top)
+
+
+#: The buckets' names, the resolutions and heights that have names, and what looks like a URL.
+DURATIONS = ((10, "<10s"), (20, "10-20s"), (30, "20-30s"), (45, "30-45s"))
+LONGEST = ">=45s"
+RESOLUTIONS = ("1280x720", "640x480", "1920x1080", "854x480")
+HEIGHTS = (480, 720, 1080)
+URLISH = r"(?i)^[a-z][a-z0-9+.-]*:|^//|^www\."
+
+
+def duration_bucket(seconds: Column) -> Column:
+    """The bucket of a length in seconds; its upper bound belongs to the next. Null for a null or negative length."""
+    out = F.when(seconds.isNull() | (seconds < 0), None)
+    for bound, name in DURATIONS:
+        out = out.when(seconds < bound, name)
+    return out.otherwise(LONGEST)
+
+
+def resolution_bucket(width: Column, height: Column) -> Column:
+    size = F.concat(width.cast("string"), F.lit("x"), height.cast("string"))
+    return F.when(size.isin(*RESOLUTIONS), size).when(height.isin(*HEIGHTS), F.concat(F.lit("other-"), height.cast("string"), F.lit("p"))).otherwise("other")
+
+
+def display_safe(text: Column, most: int = 120) -> Column:
+    """Text for display, or null: control, format and other such characters go, space is collapsed, what is too long is cut.
+
+    A text that begins like a URL, and one of which nothing is left, is null.
+    """
+    plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"\p{C}", ""), r"\p{Z}+", " "))
+    cut = F.concat(F.substring(plain, 1, most), F.when(F.length(plain) > most, "…").otherwise(""))
+    return F.when((plain != "") & ~plain.rlike(URLISH), cut)
 
 
 def average_hash(grid: Column) -> Column:

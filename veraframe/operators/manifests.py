@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veraframe.functions.scalars import unit_hash
 from veraframe.operators.graph import components
 from veraframe.operators.ordering import running
+from veraframe.sources.shared import materialise
 
 #: The manifest's fields, those that must be there, and the closed vocabularies.
 SAMPLE_FIELDS = (
@@ -80,14 +81,22 @@ def split_leaks(samples: DataFrame) -> DataFrame:
 
 
 def leakage_groups(samples: DataFrame) -> DataFrame:
-    """(sample_id, group_key): components over shared source, shared identity, parent and pair; the smallest id is the key."""
-    star = lambda column: samples.filter(F.col(column).isNotNull() & (F.col(column) != "")).groupBy(column).agg(F.min("sample_id").alias("hub"))
-    edges = [samples.join(star(c), c).select(F.col("sample_id").alias("a"), F.col("hub").alias("b")) for c in ("source_id", "identity_id")]
-    ids = samples.select(F.col("sample_id").alias("b"))
-    for c in ("parent_sample_id", "paired_sample_id"):
-        edges.append(samples.filter(F.col(c).isNotNull()).select(F.col("sample_id").alias("a"), F.col(c).alias("b")).join(ids, "b", "left_semi").select("a", "b"))
-    found = components(reduce(DataFrame.union, edges))
-    return samples.select("sample_id").distinct().join(found, F.col("sample_id") == F.col("node"), "left").select("sample_id", F.coalesce("component", "sample_id").alias("group_key"))
+    """(sample_id, group_key): components over shared source, shared identity, parent and pair; the smallest id is the key.
+
+    Samples of one source are one node from the start, the smallest of their ids, so the graph is one of sources.
+    """
+    links = ("parent_sample_id", "paired_sample_id")
+    known = samples.select("sample_id", "source_id", "identity_id", *links)
+    hubs = known.filter("source_id IS NOT NULL AND source_id <> ''").groupBy("source_id").agg(F.min("sample_id").alias("hub"))
+    nodes = known.join(hubs, "source_id", "left").select("sample_id", F.coalesce("hub", "sample_id").alias("node"), "identity_id", *links)
+    nodes = materialise(nodes, "leakage-nodes")
+    named = nodes.filter("identity_id IS NOT NULL AND identity_id <> ''").select("node", "identity_id").distinct()
+    edges = [named.join(named.groupBy("identity_id").agg(F.min("node").alias("b")), "identity_id").select(F.col("node").alias("a"), "b")]
+    ids = nodes.select(F.col("sample_id").alias("ref"), F.col("node").alias("b"))
+    for c in links:
+        edges.append(nodes.filter(F.col(c).isNotNull()).select(F.col("node").alias("a"), F.col(c).alias("ref")).join(ids, "ref").select("a", "b"))
+    found = components(reduce(DataFrame.union, edges)).withColumnRenamed("component", "group")
+    return nodes.join(found, "node", "left").select("sample_id", F.coalesce("group", "node").alias("group_key")).distinct()
 
 
 def hash_split(groups: DataFrame, key: str, fractions: dict[str, float], seed: int) -> DataFrame:

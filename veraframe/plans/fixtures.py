@@ -24,25 +24,26 @@ FROM {orders}""",
 SELECT d.doc_id AS row_key, l.quality AS y, ln(1.0 + d.n_chars) - 6.5 AS logit, d.lang AS method
 FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
     "frames": """
-SELECT sample_id, slot, y, method, logit, q1, q2, q3 FROM (
-  SELECT user_id, concat('u', CAST(user_id AS STRING)) AS sample_id,
-         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS slot,
-         CAST(user_id % 2 AS INT) AS y,
-         CASE WHEN user_id % 2 = 0 THEN 'original' ELSE concat('m', CAST(user_id % 4 AS STRING)) END AS method,
-         ln(1.0 + abs(value)) - 3.0 + 0.8 * (2 * (user_id % 2) - 1) AS logit,
-         CAST(event_id % 11 AS DOUBLE) AS q1, CAST(event_id % 7 AS DOUBLE) AS q2, CAST(event_id % 5 AS DOUBLE) AS q3
-  FROM {events}) t
-WHERE slot < 16 AND NOT (user_id % 13 = 7 AND slot = 5) AND NOT (user_id % 17 = 3 AND slot = 4)""",
+SELECT concat('u', CAST(user_id AS STRING), '_', CAST(video AS STRING)) AS sample_id, slot, y, method, logit, q1, q2, q3 FROM (
+  SELECT user_id, CAST(floor(nth / 16) AS BIGINT) AS video, CAST(nth % 16 AS INT) AS slot, y, method, logit, q1, q2, q3 FROM (
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS nth,
+           CAST(user_id % 2 AS INT) AS y,
+           CASE WHEN user_id % 2 = 0 THEN 'original' ELSE concat('m', CAST(user_id % 4 AS STRING)) END AS method,
+           ln(1.0 + abs(value)) - 3.0 + 0.8 * (2 * (user_id % 2) - 1) AS logit,
+           CAST(event_id % 11 AS DOUBLE) AS q1, CAST(event_id % 7 AS DOUBLE) AS q2, CAST(event_id % 5 AS DOUBLE) AS q3
+    FROM {events}) e) t""",
     "families": """
 SELECT conv_id AS family_id, turn AS slot, role AS method, CASE WHEN turn = 0 THEN 'real' ELSE 'fake' END AS label,
        CASE WHEN turn > 0 AND conv_id % 2 = 0 THEN conv_id + 1 WHEN turn > 0 THEN conv_id - 1 END AS donor_family_id,
        CAST(length(text) AS BIGINT) AS factor
 FROM {conversations}""",
     "faces": """
-SELECT l_orderkey AS video_id, l_linenumber AS frame_index,
-       CAST(l_quantity AS DOUBLE) AS x, CAST(l_discount AS DOUBLE) * 100.0 AS y, 20.0 + CAST(l_tax AS DOUBLE) * 100.0 AS w, CAST(30.0 AS DOUBLE) AS h,
-       1.0 - CAST(l_discount AS DOUBLE) AS confidence, l_partkey AS det_key, l_suppkey AS det_key2
-FROM {lineitem}""",
+SELECT *, x + 0.3 * w + nod AS lx1, y + 0.35 * h AS ly1, x + 0.7 * w + nod AS lx2, y + 0.35 * h AS ly2, x + 0.5 * w + nod AS lx3, y + 0.6 * h + nod AS ly3,
+       x + 0.35 * w AS lx4, y + 0.8 * h AS ly4, x + 0.65 * w AS lx5, y + 0.8 * h AS ly5
+FROM (SELECT CAST(floor(l_orderkey / 8) AS BIGINT) AS video_id, CAST(l_linenumber + CASE WHEN l_partkey % 5 = 0 THEN 3 ELSE 0 END AS INT) AS frame_index,
+             30.0 * (l_orderkey % 8) + CAST(l_quantity AS DOUBLE) / 2.0 AS x, CAST(l_discount AS DOUBLE) * 100.0 AS y, 20.0 + CAST(l_tax AS DOUBLE) * 100.0 AS w, CAST(30.0 AS DOUBLE) AS h,
+             1.0 - CAST(l_discount AS DOUBLE) AS confidence, l_orderkey * 8 + l_linenumber AS det_key, l_suppkey AS det_key2, CAST(l_suppkey % 3 AS DOUBLE) AS nod
+      FROM {lineitem}) t""",
     "thumbs": "SELECT vec_id, embedding, label FROM {embeddings}",
     "media": """
 SELECT p_partkey AS media_id, CAST(p_size * 20 AS INT) AS frame_count, CAST(p_size * 0.8 AS DOUBLE) AS duration_s,
@@ -64,8 +65,9 @@ FROM {events}""",
     "pairs": """
 SELECT CAST(s_suppkey AS INT) AS a, CAST(s_suppkey + 1 AS INT) AS b,
        CASE WHEN s_suppkey % 10 < 7 THEN 'train' WHEN s_suppkey % 10 < 9 THEN 'val' ELSE 'test' END AS split
-FROM {supplier} WHERE s_suppkey % 2 = 0""",
-    "paths": "SELECT page_id, url AS path, length(html) AS bytes FROM {pages} WHERE page_id % 9 <> 0",
+FROM {supplier}""",
+    "paths": "SELECT page_id, url AS path, length(html) AS bytes FROM {pages}",
+    "paths_found": "SELECT page_id, url AS path, length(html) AS bytes FROM {pages} WHERE page_id % 9 <> 0",
     "expected_paths": "SELECT page_id, url AS path, CASE WHEN page_id % 2 = 0 THEN 'original' ELSE 'fake' END AS class FROM {pages}",
     "prov": "SELECT event_id AS asset_id, props AS manifest_json, event_type AS status_raw FROM {events}",
     "docs": "SELECT doc_id, text, source FROM {documents}",

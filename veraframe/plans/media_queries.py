@@ -33,12 +33,27 @@ def _(get):
     return f.join(nxt, ["video_id", "frame_index"]).select("video_id", "frame_index", S.iou("x", "y", "w", "h", "x2", "y2", "w2", "h2").alias("iou"))
 
 
-@query("f6_link_score", "faces", """SELECT a.video_id, a.frame_index, a.det_key, b.det_key AS next_key, round(sqrt(pow(a.x + a.w / 2 - b.x - b.w / 2, 2) + pow(a.y + a.h / 2 - b.y - b.h / 2, 2)), 8) AS shift, round(greatest(a.w * a.h, b.w * b.h) / least(a.w * a.h, b.w * b.h), 8) AS size_ratio
-FROM faces a JOIN faces b ON a.video_id = b.video_id AND b.frame_index = a.frame_index + 1""")
+@query("f5_box_geometry", "faces", """, e AS (SELECT det_key, x - w * 0.25 AS x, y - h * 0.25 AS y, w * 1.5 AS w, h * 1.5 AS h FROM faces), c AS (SELECT det_key, least(greatest(x, 0.0), 200.0) AS x1, least(greatest(y, 0.0), 30.0) AS y1, least(greatest(x + w, 0.0), 200.0) AS x2, least(greatest(y + h, 0.0), 30.0) AS y2 FROM e)
+SELECT det_key, round(x1, 8) AS x, round(y1, 8) AS y, round(greatest(x2 - x1, 0.0), 8) AS w, round(greatest(y2 - y1, 0.0), 8) AS h, round(greatest(x2 - x1, 0.0) * greatest(y2 - y1, 0.0), 8) AS area FROM c""")
 def _(get):
-    f = get("faces").select("video_id", "frame_index", "det_key", (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"), (F.col("w") * F.col("h")).alias("area"))
-    nxt = f.select("video_id", (F.col("frame_index") - 1).alias("frame_index"), F.col("det_key").alias("next_key"), *[F.col(c).alias(f"{c}2") for c in ("cx", "cy", "area")])
-    return f.join(nxt, ["video_id", "frame_index"]).select("video_id", "frame_index", "det_key", "next_key", F.hypot(F.col("cx") - F.col("cx2"), F.col("cy") - F.col("cy2")).alias("shift"), (F.greatest("area", "area2") / F.least("area", "area2")).alias("size_ratio"))
+    box = S.clipped(*S.expanded(*[F.col(c) for c in "xywh"], 0.25), F.lit(200.0), F.lit(30.0))
+    return get("faces").select("det_key", *[v.alias(c) for c, v in zip("xywh", box, strict=True)], S.area(box[2], box[3]).alias("area"))
+
+
+@query("f6_link_score", "faces", """, p AS (SELECT a.video_id, a.frame_index, a.det_key, b.det_key AS next_key, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w * a.h AS s, b.w * b.h AS t,
+  sqrt(pow(a.x + a.w / 2 - b.x - b.w / 2, 2) + pow(a.y + a.h / 2 - b.y - b.h / 2, 2)) / ((a.w + b.w) / 2) AS shift FROM faces a JOIN faces b ON a.video_id = b.video_id AND b.frame_index = a.frame_index + 1)
+SELECT video_id, frame_index, det_key, next_key, round(CASE WHEN i / (s + t - i) >= 0.3 THEN 1 + i / (s + t - i) WHEN shift <= 1 AND greatest(s, t) / least(s, t) <= 2.25 THEN 1 - shift / (1 + 1e-9) + 1e-6 ELSE 0 END, 8) AS score FROM p""")
+def _(get):
+    f = get("faces").select("video_id", "frame_index", "det_key", *"xywh")
+    nxt = f.select("video_id", (F.col("frame_index") - 1).alias("frame_index"), F.col("det_key").alias("next_key"), *[F.col(c).alias(f"{c}2") for c in "xywh"])
+    return f.join(nxt, ["video_id", "frame_index"]).select("video_id", "frame_index", "det_key", "next_key", T.link_score([F.col(c) for c in "xywh"], [F.col(f"{c}2") for c in "xywh"]).alias("score"))
+
+
+@query("f6_landmark_distance", "faces", "SELECT a.video_id, a.det_key, b.det_key AS next_key, round(" + " + ".join(f"sqrt(pow(a.lx{i} - b.lx{i}, 2) + pow(a.ly{i} - b.ly{i}, 2))" for i in range(1, 6)) + ", 8) AS distance FROM faces a JOIN faces b ON a.video_id = b.video_id AND b.frame_index = a.frame_index + 1")
+def _(get):
+    f = get("faces").select("video_id", "frame_index", "det_key", *T.LANDMARKS)
+    nxt = f.select("video_id", (F.col("frame_index") - 1).alias("frame_index"), F.col("det_key").alias("next_key"), *[F.col(c).alias(f"next_{c}") for c in T.LANDMARKS])
+    return f.join(nxt, ["video_id", "frame_index"]).select("video_id", "det_key", "next_key", T.landmark_distance(T.LANDMARKS, [f"next_{c}" for c in T.LANDMARKS]).alias("distance"))
 
 
 @query("p8_small_faces", "faces", "SELECT video_id, count(*) FILTER (least(w, h) >= 24) AS kept, bool_or(least(w, h) < 24) AS dropped FROM faces GROUP BY 1")
@@ -47,18 +62,25 @@ def _(get):
     return get("faces").groupBy("video_id").agg(F.count_if(~small).alias("kept"), F.bool_or(small).alias("dropped"))
 
 
-@query("w4_neighbour_gaps", "faces", "SELECT video_id, max(nxt - frame_index) AS max_gap FROM (SELECT video_id, frame_index, lead(frame_index) OVER (PARTITION BY video_id ORDER BY frame_index) AS nxt FROM faces WHERE det_key % 3 <> 0) t GROUP BY 1")
+@query("w4_neighbour_gaps", "faces", "SELECT video_id, max(nxt - frame_index) AS max_gap FROM (SELECT video_id, frame_index, lead(frame_index) OVER (PARTITION BY video_id ORDER BY frame_index) AS nxt FROM (SELECT DISTINCT video_id, frame_index FROM faces) f) t GROUP BY 1")
 def _(get):
     w = Window.partitionBy("video_id").orderBy("frame_index")
-    return get("faces").filter("det_key % 3 <> 0").withColumn("gap", F.lead("frame_index").over(w) - F.col("frame_index")).groupBy("video_id").agg(F.max("gap").alias("max_gap"))
+    return get("faces").select("video_id", "frame_index").distinct().withColumn("gap", F.lead("frame_index").over(w) - F.col("frame_index")).groupBy("video_id").agg(F.max("gap").alias("max_gap"))
 
 
-@query("j12_nearest_frame", "faces", """, k AS (SELECT video_id, frame_index FROM faces WHERE det_key % 3 <> 0), v AS (SELECT DISTINCT video_id, 4 AS at_pos FROM faces)
-SELECT v.video_id, at_pos, min_by(frame_index, struct_pack(d := abs(frame_index - at_pos), f := frame_index)) AS nearest FROM v LEFT JOIN k ON v.video_id = k.video_id GROUP BY ALL""")
+@query("j12_nearest_frame", "faces", """, v AS (SELECT DISTINCT video_id, unnest([2, 4, 9, 30]) AS at_pos FROM faces)
+SELECT v.video_id, at_pos, min_by(frame_index, struct_pack(d := abs(frame_index - at_pos), f := frame_index)) AS nearest FROM v LEFT JOIN faces k ON v.video_id = k.video_id GROUP BY ALL""")
 def _(get):
     f = get("faces")
-    wanted = f.select("video_id").distinct().withColumn("at_pos", F.lit(4))
-    return T.nearest_frame(wanted, f.filter("det_key % 3 <> 0"), at="at_pos")
+    wanted = f.select("video_id").distinct().withColumn("at_pos", F.explode(F.array(*map(F.lit, (2, 4, 9, 30)))))
+    return T.nearest_frame(wanted, f, at="at_pos")
+
+
+@query("j12_face_at")
+def _(get):
+    f = get("faces")
+    wanted = f.select("video_id", F.col("frame_index").alias("at")).distinct()
+    return T.face_at(wanted, f, T.link_tracks(f))
 
 
 @query("j10_face_links")
@@ -68,7 +90,12 @@ def _(get):
 
 @query("j11_gap_tracker")
 def _(get):
-    return T.link_tracks(get("faces"), iou_min=0.4, max_gap=3, shift=0.0)
+    return T.track_faces(get("faces"))
+
+
+@query("j11_track_report")
+def _(get):
+    return T.track_report(T.track_faces(get("faces")))
 
 
 @query("k3_primary_track")
@@ -76,18 +103,25 @@ def _(get):
     return T.primary_tracks(T.link_tracks(get("faces")))
 
 
-@query("d8_slot_resolution", "faces", """, b AS (SELECT DISTINCT video_id, frame_index AS f, det_key % 2 AS m FROM faces), mem AS (SELECT video_id, count(DISTINCT m) AS members FROM b GROUP BY 1), h AS (SELECT video_id, f, count(DISTINCT m) AS have FROM b GROUP BY ALL),
-t AS (SELECT video_id, members, s.slot, o.d, o.rank FROM mem, (VALUES (1), (3), (5), (7)) s(slot), (VALUES (0, 0), (-1, 1), (1, 2)) o(d, rank)), j AS (SELECT t.*, t.slot + t.d AS f, coalesce(have, 0) AS have FROM t LEFT JOIN h ON h.video_id = t.video_id AND h.f = t.slot + t.d),
-l AS (SELECT *, CASE WHEN have = members AND d = 0 THEN 0 WHEN have = members THEN 1 WHEN have > 0 THEN 2 ELSE 3 END AS level FROM j), r AS (SELECT *, row_number() OVER (PARTITION BY video_id, slot ORDER BY level, rank) AS k FROM l)
-SELECT video_id, slot, ['planned', 'joint', 'individual', 'failed'][level + 1] AS source, CASE WHEN level < 3 THEN f END AS at FROM r WHERE k = 1""".replace(" AS at FROM", ' AS "at" FROM'))
+#: Three planned frames of ten, with the offsets that half of the gaps, the video's ends and a reach of two allow.
+PLANNED, PLAN_COUNT = [1, 4, 8], 10
+TRIES = "(VALUES (0, 0, 1), (0, 1, 2), (0, 2, 0), (1, 0, 4), (1, 1, 5), (1, 2, 3), (2, 0, 8), (2, 1, 9), (2, 2, 7)) t(slot, rank, f)"
+
+
+@query("d8_slot_resolution", "faces", f""", v AS (SELECT DISTINCT video_id, det_key2 % 2 AS m, frame_index AS f FROM faces), mem AS (SELECT DISTINCT video_id, m FROM v), n AS (SELECT video_id, count(*) AS members FROM mem GROUP BY 1),
+h AS (SELECT v.video_id, m, slot, rank, t.f AS f FROM v JOIN {TRIES} ON t.f = v.f), j AS (SELECT h.video_id, slot, min(rank) AS rank, min_by(f, rank) AS f FROM (SELECT video_id, slot, rank, f, count(*) AS have FROM h GROUP BY ALL) h JOIN n ON n.video_id = h.video_id WHERE have = members GROUP BY ALL),
+o AS (SELECT video_id, m, slot, min_by(f, rank) AS f FROM h GROUP BY ALL), e AS (SELECT mem.video_id, mem.m, s.slot, j.rank, coalesce(j.f, o.f) AS f FROM mem CROSS JOIN (VALUES (0), (1), (2)) s(slot) LEFT JOIN j ON j.video_id = mem.video_id AND j.slot = s.slot LEFT JOIN o ON o.video_id = mem.video_id AND o.m = mem.m AND o.slot = s.slot)
+SELECT video_id, slot, CASE WHEN min(rank) = 0 THEN 'planned' WHEN min(rank) > 0 THEN 'joint' WHEN count(f) = count(*) THEN 'individual' ELSE 'failed' END AS mode, string_agg(m || ':' || coalesce(CAST(f AS VARCHAR), '-'), ',' ORDER BY m) AS frames FROM e GROUP BY video_id, slot""")
 def _(get):
-    return T.resolve_slots(get("faces"), [1, 3, 5, 7])
+    valid = get("faces").withColumn("member", F.col("det_key2") % 2)
+    shown = F.array_join(F.transform("frames", lambda x: F.concat(x.member.cast("string"), F.lit(":"), F.coalesce(x.frame.cast("string"), F.lit("-")))), ",")
+    return T.resolve_slots(valid, PLANNED, PLAN_COUNT).withColumn("frames", shown)
 
 
-@query("p4_media_buckets", "media", """SELECT media_id, CASE WHEN duration_s <= 3 THEN 'short' WHEN duration_s <= 8 THEN 'medium' WHEN duration_s <= 15 THEN 'long' ELSE 'very_long' END AS duration_bucket, CASE WHEN least(width, height) >= 720 THEN 'hd' WHEN least(width, height) >= 480 THEN 'sd' ELSE 'low' END AS resolution_bucket FROM media""")
+@query("p4_media_buckets", "media", """SELECT media_id, CASE WHEN duration_s >= 0 AND duration_s < 10 THEN '<10s' WHEN duration_s < 20 THEN '10-20s' WHEN duration_s < 30 THEN '20-30s' WHEN duration_s < 45 THEN '30-45s' ELSE '>=45s' END AS duration_bucket,
+CASE WHEN (width, height) IN ((1280, 720), (640, 480), (1920, 1080), (854, 480)) THEN width || 'x' || height WHEN height IN (480, 720, 1080) THEN 'other-' || height || 'p' ELSE 'other' END AS resolution_bucket FROM media""")
 def _(get):
-    d, r = F.col("duration_s"), F.least("width", "height")
-    return get("media").select("media_id", F.when(d <= 3, "short").when(d <= 8, "medium").when(d <= 15, "long").otherwise("very_long").alias("duration_bucket"), F.when(r >= 720, "hd").when(r >= 480, "sd").otherwise("low").alias("resolution_bucket"))
+    return get("media").select("media_id", S.duration_bucket(F.col("duration_s")).alias("duration_bucket"), S.resolution_bucket(F.col("width"), F.col("height")).alias("resolution_bucket"))
 
 
 @query("p5_frame_budget", "media", "SELECT media_id, CASE WHEN duration_s IS NULL THEN 1 WHEN duration_s <= 3 THEN 4 WHEN duration_s <= 15 AND duration_s <= 8 THEN 8 WHEN duration_s <= 15 THEN 8 ELSE 16 END AS budget FROM media")
@@ -145,7 +179,7 @@ def _(get):
 
 @query("j9_leader_groups")
 def _(get):
-    return D.leader_groups(D.hamming_pairs(hashes(get), "vec_id", "h", 5))
+    return D.hamming_groups(hashes(get), "vec_id", "h", 5)
 
 
 @query("l7_exact_duplicates", "docs", "SELECT sha256(text) AS checksum, count(*) AS n, min(doc_id) AS first_id FROM docs GROUP BY 1 HAVING count(*) > 1")
@@ -216,7 +250,8 @@ def _(get):
     return get("prov").groupBy(F.coalesce(F.try_element_at(table, F.col("status_raw")), F.lit("unsupported")).alias("status")).agg(n_rows())
 
 
-@query("f11_display_safe", "docs", r"""SELECT doc_id, substr(array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(text, '[\p{Cc}\p{Cf}]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: NOT regexp_matches(w, '(?i)(://|^www\.)')), ' '), 1, 80) AS shown FROM docs""")
+@query("f11_display_safe", "docs", r""", c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\p{C}', '', 'g'), '\p{Z}+', ' ', 'g')) AS t FROM docs)
+SELECT doc_id, CASE WHEN t <> '' AND NOT regexp_matches(t, '__URLISH__') THEN substr(t, 1, 120) || CASE WHEN length(t) > 120 THEN '…' ELSE '' END END AS shown FROM c""".replace("__URLISH__", S.URLISH))
 def _(get):
     return get("docs").select("doc_id", S.display_safe(F.col("text")).alias("shown"))
 

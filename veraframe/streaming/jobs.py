@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veraframe.operators.decisions import FAKE, FULL, REAL, UNCERTAIN, Stage
 from veraframe.operators.manifests import parse_manifest
+from veraframe.operators.tracking import LANDMARKS, OpenTracks
 
 DECISION = "sample_id string, verdict string, reason string, frames_used int"
 
@@ -71,29 +72,37 @@ def early_decisions(frames: DataFrame, stages: list[Stage], timeout_ms: int | No
     return frames.groupBy("sample_id").applyInPandasWithState(step, DECISION, "done boolean, slots array<int>, logits array<double>", "append", timeout)
 
 
+def timed(log: DataFrame, ts: str = "ts") -> DataFrame:
+    """``log`` with its time as a timestamp, which event time must be; one without a zone is taken in the session's."""
+    return log.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def verdict_monitor(log: DataFrame, late: str = "10 minutes", window: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Counts and latency by verdict in event-time windows; rows later than the watermark are dropped."""
     spans = F.window("ts", window, slide) if slide else F.window("ts", window)
-    grouped = log.withWatermark("ts", late).groupBy(spans.alias("w"), "verdict")
+    grouped = timed(log).withWatermark("ts", late).groupBy(spans.alias("w"), "verdict")
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.avg("total_ms").alias("mean_ms"), F.approx_percentile("total_ms", 0.95).alias("p95_ms")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "verdict", "n", "mean_ms", "p95_ms")
 
 
 def user_sessions(log: DataFrame, late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
     """Sessions of each user: their span and number of events."""
-    grouped = log.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
+    grouped = timed(log).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id")
     return grouped.agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def incremental_scores(frames: DataFrame, score, keys: list[str], out: str, checkpoint: str) -> StreamingQuery:
-    """Appends the scores of rows that ``out`` lacks; ``score`` maps a DataFrame to one with ``keys`` and the score."""
+    """Adds the scores of rows that ``out`` lacks; ``score`` maps a DataFrame to one with ``keys`` and the score.
+
+    A batch is a partition of its own, which a retry writes anew. Of what is stored only the keys are read.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(out)
         new = batch.dropDuplicates(keys)
         if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-            new = new.join(spark.read.parquet(out).select(*keys), keys, "left_anti")
-        score(new).write.mode("append").parquet(out)
+            new = new.join(spark.read.option("basePath", out).parquet(out).filter(F.col("batch") != epoch).select(*keys), keys, "left_anti")
+        score(new).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
     return frames.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -104,52 +113,53 @@ def run_log_tables(log: DataFrame, out: str, checkpoint: str, by: str = "split")
 
 
 def manifest_intake(lines: DataFrame, good: str, bad: str, checkpoint: str) -> StreamingQuery:
-    """Parses manifest lines as they come: samples go to one table, issues to another."""
+    """Parses manifest lines as they come: samples go to one table, issues to another.
+
+    A batch is a partition of its own in both, which a retry writes anew.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         parsed = parse_manifest(batch).persist()
-        parsed.filter("issue IS NULL").select("sample.*").write.mode("append").parquet(good)
-        parsed.filter("issue IS NOT NULL").select("value", "issue").write.mode("append").parquet(bad)
+        parsed.filter("issue IS NULL").select("sample.*").write.mode("overwrite").parquet(f"{good}/batch={epoch}")
+        parsed.filter("issue IS NOT NULL").select("value", "issue").write.mode("overwrite").parquet(f"{bad}/batch={epoch}")
         parsed.unpersist()
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class OnlineTracker(StatefulProcessor):
-    """Links a video's detections as frames come: the state is each track's last frame and box.
+    """Links a video's detections as frames come, by the rule of :func:`track_faces`.
 
-    A detection goes on with the track that it overlaps best, by ``iou_min`` at least and over ``max_gap`` frames at most.
+    The state is the open tracks' last rows, the next number and the last frame: tracks that have seen nothing for more
+    than ``max_gap`` frames leave it, and with ``ttl_ms`` that of a video without new frames expires. Detections of a
+    frame that is not after the last one are late: they come out without a track and change nothing.
     """
 
-    def __init__(self, iou_min: float = 0.3, max_gap: int = 3) -> None:
-        self.iou_min, self.max_gap = iou_min, max_gap
+    def __init__(self, iou_min: float = 0.3, max_gap: int = 2, ttl_ms: int | None = None) -> None:
+        self.iou_min, self.max_gap, self.ttl_ms = iou_min, max_gap, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tracks = handle.getValueState("tracks", "frames array<long>, boxes array<array<double>>")
+        self.state = handle.getValueState("tracks", "count int, seen long, tracks array<int>, frames array<long>, rows array<array<double>>", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        from veraframe.operators.tracking import _iou
-
-        frames, boxes = map(list, self.tracks.get()) if self.tracks.exists() else ([], [])
-        boxes, out = [list(b) for b in boxes], []
+        count, seen, tracks, frames, boxes = self.state.get() if self.state.exists() else (0, None, [], [], [])
+        last = {int(t): (key[0], int(f), None, None, *map(float, b)) for t, f, b in zip(tracks, frames, boxes, strict=True)}
+        linker, out = OpenTracks(self.iou_min, self.max_gap, last, count), []
         pdf = pd.concat(list(rows)).sort_values(["frame_index", "det_key"])
         for at, group in pdf.groupby("frame_index", sort=True):
-            dets = [(*(0, 0, 0), r.x, r.y, r.w, r.h) for r in group.itertuples()]
-            options = sorted((-_iou((0, 0, 0, *boxes[t]), d), t, i) for t in range(len(frames)) if 0 < at - frames[t] <= self.max_gap for i, d in enumerate(dets))
-            taken: dict[int, int] = {}
-            for o, t, i in options:
-                if -o >= self.iou_min and i not in taken and t not in taken.values():
-                    taken[i] = t
-            for i, (d, det) in enumerate(zip(dets, group["det_key"], strict=True)):
-                t = taken.get(i, len(frames))
-                frames[t : t + 1], boxes[t : t + 1] = [int(at)], [list(map(float, d[3:]))]
-                out.append((key[0], int(at), int(det), t))
-        self.tracks.update((frames, boxes))
-        yield pd.DataFrame(out, columns=["video_id", "frame_index", "det_key", "track"])
+            dets = list(group[["video_id", "frame_index", "det_key", "confidence", "x", "y", "w", "h", *LANDMARKS]].itertuples(index=False, name=None))
+            late = seen is not None and at <= seen
+            found = [None] * len(dets) if late else linker.link(dets)
+            seen = seen if late else int(at)
+            out += [(key[0], int(at), int(d[2]), t) for d, t in zip(dets, found, strict=True)]
+        held = list(linker.last.items())
+        self.state.update((linker.count, seen, [t for t, _ in held], [int(r[1]) for _, r in held], [[float(v) for v in r[4:]] for _, r in held]))
+        yield pd.DataFrame(out, columns=["video_id", "frame_index", "det_key", "track"]).astype({"track": "Int32"})
 
     def close(self) -> None:
         pass
 
 
-def online_tracks(faces: DataFrame, iou_min: float = 0.3, max_gap: int = 3) -> DataFrame:
-    return faces.groupBy("video_id").transformWithStateInPandas(OnlineTracker(iou_min, max_gap), "video_id long, frame_index int, det_key long, track int", "append", "none")
+def online_tracks(faces: DataFrame, iou_min: float = 0.3, max_gap: int = 2, ttl_ms: int | None = None) -> DataFrame:
+    tracker = OnlineTracker(iou_min, max_gap, ttl_ms)
+    return faces.groupBy("video_id").transformWithStateInPandas(tracker, "video_id long, frame_index int, det_key long, track int", "append", "none" if ttl_ms is None else "processingTime")
