@@ -170,11 +170,37 @@ def verdict_summary(decisions: DataFrame, y: str = "y", by: list[str] = []) -> D
     )
 
 
-def evidence(frames: DataFrame, most: int = 4, video: str = "sample_id", slot: str = "slot", logit: str = "logit", toward_fake: bool = True) -> DataFrame:
-    """Each video's ``most`` frames with the strongest signed logit, ties by slot, gathered in slot order."""
-    strength = F.col(logit).desc() if toward_fake else F.col(logit)
-    top = frames.withColumn("rank", F.row_number().over(Window.partitionBy(video).orderBy(strength, F.col(slot)))).filter(F.col("rank") <= most)
-    return top.groupBy(video).agg(F.array_sort(F.collect_list(F.struct(F.col(slot).alias("slot"), F.round(F.col(logit), 6).alias("logit")))).alias("evidence"))
+#: Why a verdict is uncertain, by the stop reason.
+UNCERTAINTY = {"both": "AMBIGUOUS_EVIDENCE", "empty": "ATYPICAL_INPUT"}
+TOO_FEW = "INSUFFICIENT_FACE_FRAMES"
+
+
+def uncertainty_code(reason: Column) -> Column:
+    """The code of an uncertain verdict's stop reason."""
+    code = F.when(reason.startswith("insufficient"), TOO_FEW)
+    for end, name in UNCERTAINTY.items():
+        code = code.when(reason == f"final_k{FULL}_uncertain_{end}", name)
+    return code.otherwise(UNCERTAINTY["both"])
+
+
+def timeline(frames: DataFrame, decisions: DataFrame, video: str = "sample_id", slot: str = "slot") -> DataFrame:
+    """The frames that a decision used, with the decision's verdict, final_stage and score of that stage."""
+    score = F.lit(None).cast("double")
+    for k in (int(c.removeprefix("score_")) for c in decisions.columns if c.startswith("score_")):
+        score = F.when(F.col("final_stage") == k, F.col(f"score_{k}")).otherwise(score)
+    used = decisions.filter("frames_used > 0").select(video, "verdict", "frames_used", score.alias("stage_score"))
+    return frames.join(used, video).filter(F.col(slot) % F.expr(f"{FULL} div greatest(frames_used, 1)") == 0)
+
+
+def evidence(frames: DataFrame, decisions: DataFrame, most: int = 4, video: str = "sample_id", slot: str = "slot", logit: str = "logit") -> DataFrame:
+    """(video, evidence, sign): the ``most`` used frames that speak most for the verdict, in slot order.
+
+    The sign is that of the verdict, or of the last stage's score where the verdict is uncertain; ties go by slot.
+    """
+    sign = F.when(F.col("verdict") == FAKE, 1).when(F.col("verdict") == REAL, -1).when(F.col("stage_score") >= 0, 1).otherwise(-1)
+    used = timeline(frames, decisions, video, slot).withColumn("sign", sign)
+    top = used.withColumn("rank", F.row_number().over(Window.partitionBy(video).orderBy(-F.col("sign") * F.col(logit), F.col(slot)))).filter(F.col("rank") <= most)
+    return top.groupBy(video).agg(F.array_sort(F.collect_list(F.struct(F.col(slot).alias("slot"), F.round(F.col(logit), 6).alias("logit")))).alias("evidence"), F.first("sign").alias("sign"))
 
 
 def best_epoch(log: DataFrame, run: str, epoch: str, metric: str, patience: int) -> DataFrame:

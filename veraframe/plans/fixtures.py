@@ -33,10 +33,20 @@ SELECT concat('u', CAST(user_id AS STRING), '_', CAST(video AS STRING)) AS sampl
            CAST(event_id % 11 AS DOUBLE) AS q1, CAST(event_id % 7 AS DOUBLE) AS q2, CAST(event_id % 5 AS DOUBLE) AS q3
     FROM {events}) e) t""",
     "families": """
-SELECT conv_id AS family_id, turn AS slot, role AS method, CASE WHEN turn = 0 THEN 'real' ELSE 'fake' END AS label,
-       CASE WHEN turn > 0 AND conv_id % 2 = 0 THEN conv_id + 1 WHEN turn > 0 THEN conv_id - 1 END AS donor_family_id,
-       CAST(length(text) AS BIGINT) AS factor
+SELECT conv_id AS family_id, turn, CAST(floor(turn / 2) AS INT) AS slot, CASE WHEN turn % 2 = 0 THEN 'original' ELSE concat('m', CAST(conv_id % 4 AS STRING)) END AS method,
+       CASE WHEN turn % 2 = 0 THEN 'real' ELSE 'fake' END AS label, CASE WHEN turn % 2 = 1 AND conv_id % 2 = 0 THEN conv_id + 1 WHEN turn % 2 = 1 THEN conv_id - 1 END AS donor_family_id,
+       CAST(floor(turn / 2) * 10 + CASE WHEN turn % 2 = 1 AND conv_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS frame_index, CAST(length(text) AS BIGINT) AS factor
 FROM {conversations}""",
+    "clips": """
+SELECT concat('c:', CAST(key AS STRING)) AS sample_id, CAST(t AS STRING) AS source_id, CAST(NULL AS STRING) AS identity_id,
+       CASE WHEN key % 113 = 17 THEN concat('clip', CAST(key AS STRING)) WHEN k = 0 THEN CAST(t AS STRING) ELSE concat(CAST(t AS STRING), '_', CAST(donor AS STRING)) END AS stem,
+       CASE WHEN k = 0 THEN 'real' ELSE 'fake' END AS label, CASE WHEN k = 0 THEN NULL WHEN key % 101 = 7 THEN 'm9' ELSE concat('m', CAST(k AS STRING)) END AS method,
+       CASE WHEN k = 0 OR key % 103 = 9 THEN NULL ELSE concat('c:', CAST(5 * t AS STRING)) END AS parent_sample_id, CASE WHEN k = 0 THEN NULL ELSE concat('c:', CAST(5 * donor AS STRING)) END AS paired_sample_id,
+       CASE WHEN key % 107 = 11 THEN 'test' WHEN floor(t / 2) % 10 < 8 THEN 'train' ELSE 'val' END AS official_split, CASE WHEN key % 109 = 13 THEN NULL ELSE concat('h', CAST(key AS STRING)) END AS checksum_sha256
+FROM (SELECT key, t, k, t + 1 - 2 * (t % 2) AS donor FROM (SELECT CAST(p_partkey AS BIGINT) AS key, CAST(floor(p_partkey / 5) AS BIGINT) AS t, p_partkey % 5 AS k FROM {part}) x) y""",
+    "clip_pairs": """
+SELECT CAST(2 * k AS STRING) AS a, CAST(2 * k + 1 AS STRING) AS b, CASE WHEN k % 10 < 8 THEN 'train' ELSE 'val' END AS split
+FROM (SELECT DISTINCT CAST(floor(p_partkey / 10) AS BIGINT) AS k FROM {part}) p""",
     "faces": """
 SELECT *, x + 0.3 * w + nod AS lx1, y + 0.35 * h AS ly1, x + 0.7 * w + nod AS lx2, y + 0.35 * h AS ly2, x + 0.5 * w + nod AS lx3, y + 0.6 * h + nod AS ly3,
        x + 0.35 * w AS lx4, y + 0.8 * h AS ly4, x + 0.65 * w AS lx5, y + 0.8 * h AS ly5
@@ -63,7 +73,7 @@ SELECT event_id, ts, user_id,
        value AS total_ms
 FROM {events}""",
     "pairs": """
-SELECT CAST(s_suppkey AS INT) AS a, CAST(s_suppkey + 1 AS INT) AS b,
+SELECT CAST(2 * s_suppkey AS INT) AS a, CAST(2 * s_suppkey + 1 AS INT) AS b,
        CASE WHEN s_suppkey % 10 < 7 THEN 'train' WHEN s_suppkey % 10 < 9 THEN 'val' ELSE 'test' END AS split
 FROM {supplier}""",
     "paths": "SELECT page_id, url AS path, length(html) AS bytes FROM {pages}",
@@ -93,4 +103,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def duck(names: str, body: str) -> str:
     """SQL for DuckDB: the named views as common table expressions, then ``body`` (which may go on with ``, x AS (...)``)."""
     ctes = ", ".join(f"{n} AS ({re.sub(r'\{(' + '|'.join(TABLES) + r')\}', lambda m: m[1], VIEWS[n])})" for n in names.split())
-    return f"WITH {ctes} {body}"
+    return f"WITH RECURSIVE {ctes} {body}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +45,9 @@ def _(get):
     return get("samples").groupBy("label", F.coalesce("method", F.lit("original")).alias("method")).agg(n_rows())
 
 
-@query("s14_content_digest_buckets", "samples", """, h AS (SELECT sha256(sample_id || ':' || source_id) AS h FROM samples) SELECT substr(h, 1, 1) AS bucket, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM h GROUP BY 1""")
+@query("s14_content_digest", "samples", """, h AS (SELECT sha256(sample_id || ':' || source_id) AS h, row_number() OVER (ORDER BY sample_id) - 1 AS n FROM samples), r AS (SELECT n // 4096 AS run, sha256(string_agg(h, '' ORDER BY n)) AS h FROM h GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY run)) AS digest FROM r""")
 def _(get):
-    h = get("samples").select(F.sha2(F.concat_ws(":", "sample_id", "source_id"), 256).alias("h"))
-    return h.groupBy(F.substring("h", 1, 1).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
+    return M.table_digest(get("samples"), ["sample_id", "source_id"], ["sample_id"])
 
 
 @query("s15_record_reuse_check", "samples", """, r AS (SELECT sample_id, CASE WHEN sample_id LIKE '%7' THEN 'x' ELSE source_id END AS source_id FROM samples WHERE sample_id NOT LIKE '%9')
@@ -62,19 +63,19 @@ def _(get):
     return M.link_reals(get("samples"))
 
 
-@query("j2_two_parent_lineage", "pairs", """, n AS (SELECT lpad(CAST(a AS STRING), 4, '0') AS id FROM pairs UNION SELECT lpad(CAST(b AS STRING), 4, '0') FROM pairs), f AS (SELECT lpad(CAST(a AS STRING), 4, '0') || '_' || lpad(CAST(b AS STRING), 4, '0') AS name FROM pairs UNION ALL SELECT lpad(CAST(b AS STRING), 4, '0') || '_' || lpad(CAST(a + 7 AS STRING), 4, '0') FROM pairs)
+@query("j2_two_parent_lineage", "pairs", """, n AS (SELECT CAST(a AS STRING) AS id FROM pairs UNION SELECT CAST(b AS STRING) FROM pairs), f AS (SELECT CAST(a AS STRING) || '_' || CAST(b AS STRING) AS name FROM pairs UNION ALL SELECT CAST(b AS STRING) || '_' || CAST(a + 7 AS STRING) FROM pairs)
 SELECT name, t.id AS target, s.id AS source FROM f LEFT JOIN n t ON t.id = split_part(name, '_', 1) LEFT JOIN n s ON s.id = split_part(name, '_', 2)""")
 def _(get):
     p = get("pairs")
-    pad = lambda c: F.lpad(c.cast("string"), 4, "0")
+    pad = lambda c: c.cast("string")
     ids = p.select(pad(F.col("a")).alias("id")).union(p.select(pad(F.col("b")))).distinct()
     names = p.select(F.concat_ws("_", pad(F.col("a")), pad(F.col("b"))).alias("name")).union(p.select(F.concat_ws("_", pad(F.col("b")), pad(F.col("a") + 7))))
     parts = names.withColumns({"t": F.regexp_extract("name", r"^(\d+)_(\d+)$", 1), "s": F.regexp_extract("name", r"^(\d+)_(\d+)$", 2)})
     return parts.join(ids.select(F.col("id").alias("target")), F.col("t") == F.col("target"), "left").join(ids.select(F.col("id").alias("source")), F.col("s") == F.col("source"), "left").select("name", "target", "source")
 
 
-BROKEN = """, i AS (SELECT sample_id AS ref FROM samples), br AS (SELECT 'broken_parent' AS code, sample_id, parent_sample_id AS ref FROM samples WHERE parent_sample_id IS NOT NULL AND parent_sample_id NOT IN (SELECT ref FROM i)
-UNION ALL SELECT 'broken_pair', sample_id, paired_sample_id FROM samples WHERE paired_sample_id IS NOT NULL AND paired_sample_id NOT IN (SELECT ref FROM i))"""
+BROKEN = """, i AS (SELECT sample_id AS ref FROM samples), br AS (SELECT 'broken_parent_reference' AS code, sample_id, parent_sample_id AS ref FROM samples WHERE parent_sample_id IS NOT NULL AND parent_sample_id NOT IN (SELECT ref FROM i)
+UNION ALL SELECT 'broken_pair_reference', sample_id, paired_sample_id FROM samples WHERE paired_sample_id IS NOT NULL AND paired_sample_id NOT IN (SELECT ref FROM i))"""
 
 
 @query("j3_broken_references", "samples", BROKEN + "SELECT * FROM br")
@@ -82,9 +83,9 @@ def _(get):
     return M.broken_references(get("samples"))
 
 
-@query("j4_missing_files", "expected_paths paths", "SELECT page_id, path FROM expected_paths e WHERE NOT EXISTS (SELECT 1 FROM paths p WHERE p.page_id = e.page_id)")
+@query("j4_missing_files", "expected_paths paths_found", "SELECT page_id, path FROM expected_paths e WHERE NOT EXISTS (SELECT 1 FROM paths_found p WHERE p.page_id = e.page_id)")
 def _(get):
-    return get("expected_paths").join(get("paths").select("page_id"), "page_id", "left_anti").select("page_id", "path")
+    return get("expected_paths").join(get("paths_found").select("page_id"), "page_id", "left_anti").select("page_id", "path")
 
 
 ACROSS = ", ac AS (SELECT s.sample_id, s.paired_sample_id AS pair, s.split, p.split AS pair_split FROM samples s JOIN samples p ON s.paired_sample_id = p.sample_id WHERE s.split <> p.split)"
@@ -95,7 +96,7 @@ def _(get):
     return M.pairs_across_splits(get("samples"))
 
 
-LEAKS = "".join(f", l{i} AS (SELECT '{code}' AS code, {c} AS key, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM samples WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(DISTINCT split) > 1)" for i, (c, code) in enumerate((("source_id", "source_leak"), ("identity_id", "identity_leak"), ("sample_id", "id_leak"))))
+LEAKS = "".join(f", l{i} AS (SELECT '{code}' AS code, {c} AS key, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM samples WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(DISTINCT split) > 1)" for i, (c, code) in enumerate((("source_id", "cross_split_source_leakage"), ("identity_id", "cross_split_identity_leakage"), ("sample_id", "cross_split_id"))))
 
 
 @query("l2_split_leaks", "samples", LEAKS + "SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2")
@@ -103,17 +104,24 @@ def _(get):
     return M.split_leaks(get("samples"))
 
 
-@query("l9_manifest_validation", "samples", BROKEN + ACROSS + LEAKS + ", a AS (SELECT code, sample_id AS key FROM br UNION ALL SELECT 'pair_across_splits', sample_id FROM ac UNION ALL SELECT code, key FROM l0 UNION ALL SELECT code, key FROM l1 UNION ALL SELECT code, key FROM l2) SELECT code, count(*) AS n, min(key) AS first_key FROM a GROUP BY code")
+#: The samples with some repeated, and a listing without some of their files.
+REPEATED = """, twice AS (SELECT * FROM samples UNION ALL SELECT * FROM samples WHERE sample_id LIKE '%77')"""
+
+
+@query("l9_manifest_validation", "samples", BROKEN.replace("FROM samples WHERE parent", "FROM twice WHERE parent").replace("FROM samples WHERE paired", "FROM twice WHERE paired").replace(", i AS", REPEATED + ", i AS", 1) + ACROSS + LEAKS + """, a AS (SELECT code, sample_id AS key FROM br UNION ALL SELECT 'real_fake_pair_leakage', sample_id FROM ac UNION ALL SELECT code, key FROM l0 UNION ALL SELECT code, key FROM l1 UNION ALL SELECT code, key FROM l2
+  UNION ALL SELECT 'duplicate_id', sample_id FROM samples WHERE sample_id LIKE '%77' UNION ALL SELECT 'missing_file', sample_id FROM twice WHERE sample_id LIKE '%13') SELECT code, count(*) AS n, min(key) AS first_key FROM a GROUP BY code""")
 def _(get):
-    s = get("samples")
-    issues = M.broken_references(s).select("code", F.col("sample_id").alias("key"))
-    issues = issues.unionByName(M.pairs_across_splits(s).select(F.lit("pair_across_splits").alias("code"), F.col("sample_id").alias("key"))).unionByName(M.split_leaks(s).select("code", "key"))
+    s = get("samples").withColumn("media_path", F.concat("sample_id", F.lit(".mp4")))
+    listing = s.filter(~F.col("sample_id").endswith("13")).select("media_path")
+    issues = M.semantic_issues(s.unionByName(s.filter(F.col("sample_id").endswith("77"))), listing)
     return issues.groupBy("code").agg(n_rows(), F.min("key").alias("first_key"))
 
 
-def grouped(body: str) -> str:
-    """DuckDB SQL over the leakage groups, whose edges are first brought down to one node a source."""
-    return GROUPS.replace("{samples}", VIEWS["samples"].replace("{orders}", "orders")) + body
+def grouped(body: str, of: str = "samples", more: str = "") -> str:
+    """DuckDB SQL over the leakage groups of a view, whose edges are first brought down to one node a source."""
+    table = re.sub(r"\{(\w+)\}", r"\1", VIEWS[of])
+    others = "".join(f"{v} AS ({re.sub(r'{(\w+)}', r'\1', VIEWS[v])}), " for v in more.split())
+    return GROUPS.replace("{samples}", table).replace("hub AS", others + "hub AS", 1) + body
 
 
 GROUPS = """WITH RECURSIVE samples AS ({samples}), hub AS (SELECT source_id, min(sample_id) AS h FROM samples GROUP BY 1), ihub AS (SELECT identity_id, min(sample_id) AS h FROM samples WHERE identity_id <> '' GROUP BY 1),
@@ -150,9 +158,9 @@ def _(get):
     return get("samples").select("sample_id", S.unit_hash(F.col("sample_id")).alias("u"))
 
 
-@query("l4_hash_split", "samples", f", u AS (SELECT sample_id, {UNIT.format(chr(39) + '42:' + chr(39) + ' || source_id')} AS u FROM samples) SELECT sample_id, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.7 + 0.15 THEN 'val' ELSE 'test' END AS split FROM u")
+@query("l4_hash_split")
 def _(get):
-    return M.hash_split(get("samples").select("sample_id", "source_id"), "source_id", {"train": 0.7, "val": 0.15, "test": 0.15}, 42).select("sample_id", "split")
+    return M.hash_split(M.leakage_groups(get("samples")), "group_key", {"train": 0.7, "val": 0.15, "test": 0.15}, 42).select("sample_id", "split")
 
 
 @query("a1_split_counts", "samples", "SELECT split, label, count(*) AS n FROM samples GROUP BY ALL")
@@ -171,10 +179,10 @@ def _(get):
     return M.class_balance_weights(get("samples")).select("sample_id", "weight")
 
 
-@query("u1_issue_union", "samples", BROKEN + ACROSS + "SELECT code, sample_id FROM br UNION ALL SELECT 'pair_across_splits', sample_id FROM ac")
+@query("u1_issue_union", "samples", BROKEN + ACROSS + "SELECT code, sample_id FROM br UNION ALL SELECT 'real_fake_pair_leakage', sample_id FROM ac")
 def _(get):
     s = get("samples")
-    return M.broken_references(s).select("code", "sample_id").unionByName(M.pairs_across_splits(s).select(F.lit("pair_across_splits").alias("code"), "sample_id"))
+    return M.broken_references(s).select("code", "sample_id").unionByName(M.pairs_across_splits(s).select(F.lit("real_fake_pair_leakage").alias("code"), "sample_id"))
 
 
 @query("u2_membership_difference", "samples", """, m AS (SELECT sample_id, CASE WHEN sample_id LIKE '%3' THEN 'val' ELSE split END AS split FROM samples WHERE sample_id NOT LIKE '%11')
@@ -191,9 +199,9 @@ def _(get):
     return f.filter("family_id % 2 = 0").intersect(f.filter("family_id % 2 = 1")).agg(F.count(F.lit(1)).alias("shared"))
 
 
-@query("u4_expected_names", "expected_paths paths", "SELECT path FROM expected_paths EXCEPT SELECT path FROM paths")
+@query("u4_expected_names", "expected_paths paths_found", "SELECT path FROM expected_paths EXCEPT SELECT path FROM paths_found")
 def _(get):
-    return get("expected_paths").select("path").subtract(get("paths").select("path"))
+    return get("expected_paths").select("path").subtract(get("paths_found").select("path"))
 
 
 @query("k4_first_problems", "samples", BROKEN + "SELECT code, sample_id, (SELECT count(*) FROM br) AS total FROM br ORDER BY code, sample_id LIMIT 50")
@@ -214,22 +222,39 @@ def _(get):
     return M.weighted_draws(M.class_balance_weights(s), "sample_id", F.col("weight"), 1000, 7, 1).groupBy("sample_id").agg(F.count(F.lit(1)).alias("draws"))
 
 
-@query("j7_matched_pairs", "families", ", r AS (SELECT family_id, factor AS rf FROM families WHERE label = 'real') SELECT f.family_id, slot, method, rf AS real_factor, factor = rf AS exact FROM families f LEFT JOIN r USING (family_id) WHERE label = 'fake'")
+@query("j7_matched_pairs", "families", ", r AS (SELECT family_id, slot, frame_index AS rx, factor AS rf FROM families WHERE label = 'real') SELECT f.family_id, f.slot, method, frame_index, rx AS real_frame_index, rf AS real_factor, frame_index = rx AS exact FROM families f LEFT JOIN r ON r.family_id = f.family_id AND r.slot = f.slot WHERE label = 'fake'")
 def _(get):
     return M.match_real_frames(get("families"))
 
 
-@query("j8_family_problems", "families", """SELECT family_id, 'original_count' AS code FROM families GROUP BY 1 HAVING count(*) FILTER (label = 'real') <> 1 UNION ALL SELECT family_id, 'no_derivatives' FROM families GROUP BY 1 HAVING count(*) FILTER (label = 'fake') = 0
-UNION ALL SELECT DISTINCT family_id, 'donor_absent' FROM families WHERE donor_family_id IS NOT NULL AND donor_family_id NOT IN (SELECT family_id FROM families)""")
+METHODS = ("m1", "m2", "m3", "m4")
+#: Families from the rules: reals (the last sample of a target), fakes by target, what is wrong with each.
+ASSEMBLY = """, gm AS (SELECT sample_id, group_key FROM src JOIN g ON src.h = g.node), n AS (SELECT s.*, gm.group_key, CASE WHEN label = 'real' THEN stem WHEN regexp_matches(stem, '^[0-9]+_[0-9]+$') THEN split_part(stem, '_', 1) END AS target,
+  CASE WHEN label = 'fake' AND regexp_matches(stem, '^[0-9]+_[0-9]+$') THEN split_part(stem, '_', 2) END AS source FROM samples s JOIN gm USING (sample_id)),
+re AS (SELECT DISTINCT ON (target) * FROM n WHERE label = 'real' ORDER BY target, sample_id DESC), rn AS (SELECT target, count(*) AS c FROM n WHERE label = 'real' GROUP BY 1), fk AS (SELECT * FROM n WHERE label = 'fake' AND target IS NOT NULL),
+ft AS (SELECT target, string_agg(coalesce(method, ''), ',' ORDER BY coalesce(method, '')) AS ms FROM fk GROUP BY 1), st AS (SELECT coalesce(re.target, ft.target) AS target, CASE WHEN re.target IS NULL THEN 'original_missing' WHEN coalesce(ms, '') <> 'm1,m2,m3,m4' THEN 'methods_differ' END AS code FROM re FULL JOIN ft ON re.target = ft.target),
+b AS (SELECT fk.*, re.sample_id AS rid, re.official_split AS rs, re.group_key AS rg, d.sample_id AS did, d.official_split AS ds, d.group_key AS dg FROM fk JOIN st ON st.target = fk.target AND st.code IS NULL JOIN re ON re.target = fk.target LEFT JOIN re d ON d.target = fk.source),
+mem AS (SELECT target AS family_id, sample_id, method, official_split AS split, did AS donor, group_key AS leakage_group, checksum_sha256 FROM b WHERE did IS NOT NULL UNION ALL SELECT re.target, sample_id, NULL, official_split, NULL, group_key, checksum_sha256 FROM re JOIN st ON st.target = re.target AND st.code IS NULL),
+pr AS (SELECT 'not_a_fake_name' AS code, sample_id AS key FROM n WHERE label = 'fake' AND target IS NULL UNION ALL SELECT 'duplicate_original', target FROM rn WHERE c > 1 UNION ALL SELECT code, target FROM st WHERE code IS NOT NULL UNION ALL SELECT 'donor_missing', sample_id FROM b WHERE did IS NULL
+  UNION ALL SELECT 'lineage_differs', sample_id FROM b WHERE did IS NOT NULL AND (parent_sample_id IS DISTINCT FROM rid OR paired_sample_id IS DISTINCT FROM did) UNION ALL SELECT 'splits_differ', sample_id FROM b WHERE did IS NOT NULL AND NOT (official_split = rs AND rs = ds)
+  UNION ALL SELECT 'groups_differ', sample_id FROM b WHERE did IS NOT NULL AND NOT (group_key = rg AND rg = dg) UNION ALL SELECT DISTINCT 'checksum_missing', family_id FROM mem WHERE coalesce(checksum_sha256, '') = '')"""
+
+
+@query("j8_family_problems")
+def _(get):
+    return M.family_members(get("clips"), METHODS)[1]
+
+
+@query("j8_family_members")
 def _(get):
-    return M.family_problems(get("families"))
+    return M.family_members(get("clips"), METHODS)[0]
 
 
-@query("j16_matched_differences", "families", ", r AS (SELECT family_id, factor AS rf FROM families WHERE label = 'real'), d AS (SELECT method, CAST(factor - rf AS DOUBLE) AS d FROM families JOIN r USING (family_id) WHERE label = 'fake') SELECT method, count(*) AS n, round(avg(d), 8) AS mean, round(avg(d) - 1.96 * stddev_samp(d) / sqrt(count(*)), 8) AS low, round(avg(d) + 1.96 * stddev_samp(d) / sqrt(count(*)), 8) AS high FROM d GROUP BY method")
+@query("j16_matched_differences", "families", ", r AS (SELECT family_id, slot, factor AS rf FROM families WHERE label = 'real'), d AS (SELECT method, CAST(factor - rf AS DOUBLE) AS d FROM families JOIN r USING (family_id, slot) WHERE label = 'fake') SELECT method, count(*) AS n, round(avg(d), 8) AS mean, round(avg(d) - 1.96 * stddev_samp(d) / sqrt(count(*)), 8) AS low, round(avg(d) + 1.96 * stddev_samp(d) / sqrt(count(*)), 8) AS high FROM d GROUP BY method")
 def _(get):
     f = get("families")
-    reals = f.filter("label = 'real'").select("family_id", F.col("factor").alias("rf"))
-    return mean_ci(f.filter("label = 'fake'").join(reals, "family_id").select("method", (F.col("factor") - F.col("rf")).cast("double").alias("d")), "d", ["method"])
+    reals = f.filter("label = 'real'").select("family_id", "slot", F.col("factor").alias("rf"))
+    return mean_ci(f.filter("label = 'fake'").join(reals, ["family_id", "slot"]).select("method", (F.col("factor") - F.col("rf")).cast("double").alias("d")), "d", ["method"])
 
 
 @query("j18_split_membership", "families", """, c AS (SELECT family_id, CASE WHEN family_id % 10 < 8 THEN 'train' ELSE 'val' END AS split, donor_family_id FROM families)
@@ -245,31 +270,47 @@ def _(get):
     return get("families").groupBy("family_id").agg(n_rows(), F.count_if(F.col("factor") >= 200).alias("long_turns"), F.avg("factor").alias("mean_factor"))
 
 
-@query("a6_quarantine_siblings", "families", """, q AS (SELECT family_id, slot FROM families WHERE factor < 100) SELECT q.family_id, q.slot, coalesce(string_agg(CAST(f.slot AS VARCHAR), ',' ORDER BY f.slot), '') AS siblings FROM q LEFT JOIN families f ON f.family_id = q.family_id AND f.slot <> q.slot GROUP BY q.family_id, q.slot""")
+@query("a6_quarantine_siblings", "families", """, q AS (SELECT family_id, turn FROM families WHERE factor < 100) SELECT q.family_id, q.turn, coalesce(string_agg(CAST(f.turn AS VARCHAR), ',' ORDER BY f.turn), '') AS siblings FROM q LEFT JOIN families f ON f.family_id = q.family_id AND f.turn <> q.turn GROUP BY q.family_id, q.turn""")
 def _(get):
     f = get("families")
-    slots = f.groupBy("family_id").agg(F.collect_list("slot").alias("slots"))
-    bad = f.filter("factor < 100").select("family_id", "slot").join(slots, "family_id")
-    rest = F.array_sort(F.array_except("slots", F.array("slot")))
-    return bad.select("family_id", "slot", F.array_join(F.transform(rest, lambda x: x.cast("string")), ",").alias("siblings"))
+    turns = f.groupBy("family_id").agg(F.collect_list("turn").alias("turns"))
+    bad = f.filter("factor < 100").select("family_id", "turn").join(turns, "family_id")
+    rest = F.array_sort(F.array_except("turns", F.array("turn")))
+    return bad.select("family_id", "turn", F.array_join(F.transform(rest, lambda x: x.cast("string")), ",").alias("siblings"))
+
+
+DONORS = """, ids AS (SELECT DISTINCT family_id AS f FROM families), ed AS (SELECT DISTINCT family_id AS a, donor_family_id AS b FROM families WHERE donor_family_id IN (SELECT f FROM ids)), e2 AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
+rc AS (SELECT f AS node, f AS seen FROM ids UNION SELECT rc.node, e2.b FROM rc JOIN e2 ON rc.seen = e2.a), comp AS (SELECT node AS family_id, min(seen) AS component FROM rc GROUP BY 1)"""
+#: Components in the order of their hashes, cut by half-even rounded counts.
+CUTS = DONORS + """, o AS (SELECT component, row_number() OVER (ORDER BY sha256('42:' || CAST(component AS VARCHAR))) AS nth, count(*) OVER () AS n FROM (SELECT DISTINCT component FROM comp) c),
+part AS (SELECT family_id, comp.component, CASE WHEN nth <= n - CAST(round_even(0.1 * n, 0) AS BIGINT) * 2 THEN 'train' WHEN nth <= n - CAST(round_even(0.1 * n, 0) AS BIGINT) THEN 'temperature' ELSE 'conformal' END AS partition FROM comp JOIN o ON o.component = comp.component)"""
+
+
+def partitions_of(get) -> DataFrame:
+    comps = M.donor_components(get("families"))
+    parts = M.exact_partition(comps.select("component").distinct(), "component", (0.8, 0.1, 0.1), ("train", "temperature", "conformal"), 42)
+    return comps.join(parts, "component").select("family_id", "component", "partition")
 
 
-@query("l3_donor_components")
+@query("l3_donor_components", "families", DONORS + " SELECT family_id, component FROM comp")
 def _(get):
     return M.donor_components(get("families"))
 
 
-@query("p7_partition_members")
+@query("l5_exact_partition", "families", CUTS + " SELECT family_id, component, partition FROM part")
 def _(get):
-    comps = M.donor_components(get("families"))
-    parts = M.exact_partition(comps.select("component").distinct(), "component", (0.8, 0.1, 0.1), ("train", "temperature", "conformal"), 42)
-    return comps.join(parts, "component").filter("partition = 'conformal'").select("family_id", "component")
+    return partitions_of(get)
 
 
-@query("l5_exact_partition", "families", """, k AS (SELECT DISTINCT family_id FROM families), o AS (SELECT family_id, row_number() OVER (ORDER BY sha256('42:' || CAST(family_id AS VARCHAR))) AS nth, count(*) OVER () AS n FROM k)
-SELECT family_id, CASE WHEN nth <= n - CAST(round_even(0.1 * n, 0) AS BIGINT) * 2 THEN 'train' WHEN nth <= n - CAST(round_even(0.1 * n, 0) AS BIGINT) THEN 'temperature' ELSE 'conformal' END AS partition FROM o""")
+@query("l5_partition_counts", "families", CUTS + " SELECT partition, count(*) AS frames, count(*) FILTER (label = 'real') AS originals, count(DISTINCT f.family_id) AS families, count(DISTINCT component) AS components FROM families f JOIN part ON part.family_id = f.family_id GROUP BY partition")
 def _(get):
-    return M.exact_partition(get("families").select("family_id").distinct(), "family_id", (0.8, 0.1, 0.1), ("train", "temperature", "conformal"), 42)
+    rows = get("families").join(partitions_of(get), "family_id")
+    return rows.groupBy("partition").agg(F.count(F.lit(1)).alias("frames"), F.count_if(F.col("label") == "real").alias("originals"), F.count_distinct("family_id").alias("families"), F.count_distinct("component").alias("components"))
+
+
+@query("p7_partition_members", "families", CUTS + " SELECT f.family_id, turn FROM families f JOIN part ON part.family_id = f.family_id WHERE partition = 'conformal'")
+def _(get):
+    return M.partition_rows(get("families"), partitions_of(get), "conformal").select("family_id", "turn")
 
 
 @query("l6_challenge_pool", "families", """, h AS (SELECT DISTINCT family_id, sha256('pool:' || CAST(family_id AS VARCHAR)) AS h FROM families), b AS (SELECT family_id, substr(h, 15, 2) || substr(h, 13, 2) || substr(h, 11, 2) || substr(h, 9, 2) || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS le FROM h)
@@ -287,18 +328,41 @@ def _(get):
     return M.reconcile_pairs(p, found)
 
 
-@query("j14_official_split", "pairs", ", i AS (SELECT a AS id, split FROM pairs UNION ALL SELECT b, split FROM pairs) SELECT id, min(split) AS split FROM i GROUP BY id HAVING count(DISTINCT split) = 1")
+@query("j13_pair_problems", "pairs", """, l AS (SELECT a, b, split FROM pairs WHERE a % 5 <> 0 UNION ALL SELECT b, a, 'val' FROM pairs WHERE a % 7 = 0 UNION ALL SELECT a, a + 3, 'test' FROM pairs WHERE a % 11 = 0), k AS (SELECT least(a, b) || '-' || greatest(a, b) AS key, split FROM l), o AS (SELECT DISTINCT least(a, b) || '-' || greatest(a, b) AS key FROM pairs),
+i AS (SELECT a AS id, split FROM l UNION ALL SELECT b, split FROM l), oi AS (SELECT a AS id FROM pairs UNION SELECT b FROM pairs)
+SELECT 'pair_listed_twice' AS code, key FROM k GROUP BY key HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'pair_not_official', key FROM k WHERE key NOT IN (SELECT key FROM o) UNION ALL SELECT 'pair_in_no_split', key FROM o WHERE key NOT IN (SELECT key FROM k)
+UNION ALL SELECT 'id_in_two_splits', CAST(id AS VARCHAR) FROM i GROUP BY id HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'id_in_no_split', CAST(id AS VARCHAR) FROM oi WHERE id NOT IN (SELECT id FROM i)""")
 def _(get):
     p = get("pairs")
-    ids = p.select(F.col("a").alias("id"), "split").union(p.select("b", "split")).groupBy("id").agg(F.collect_set("split").alias("s"))
-    return ids.filter(F.size("s") == 1).select("id", F.get("s", F.lit(0)).alias("split"))
+    listed = p.filter("a % 5 <> 0").union(p.filter("a % 7 = 0").select("b", "a", F.lit("val"))).union(p.filter("a % 11 = 0").select("a", F.col("a") + 3, F.lit("test")))
+    return M.pair_problems(listed, p)
+
+
+#: Splits of clips from the rules: the originals' splits, references and leakage groups.
+ASSIGN = """, gm AS (SELECT sample_id, group_key FROM src JOIN g ON src.h = g.node), n AS (SELECT s.*, gm.group_key, CASE WHEN label = 'real' THEN stem WHEN regexp_matches(stem, '^[0-9]+_[0-9]+$') THEN split_part(stem, '_', 1) END AS target,
+  CASE WHEN label = 'fake' AND regexp_matches(stem, '^[0-9]+_[0-9]+$') THEN split_part(stem, '_', 2) END AS source FROM samples s JOIN gm USING (sample_id)), i AS (SELECT a AS id, split FROM clip_pairs UNION SELECT b, split FROM clip_pairs),
+z AS (SELECT n.*, t.split AS ts, o.split AS os FROM n LEFT JOIN i t ON t.id = target LEFT JOIN i o ON o.id = source), c AS (SELECT *, CASE WHEN label = 'fake' AND target IS NULL THEN 'not_a_fake_name' WHEN ts IS NULL OR (label = 'fake' AND os IS NULL) THEN 'no_split' WHEN label = 'fake' AND ts <> os THEN 'originals_differ' END AS code FROM z),
+y AS (SELECT *, CASE WHEN code IS NULL THEN ts END AS split FROM c), rf AS (SELECT sample_id, split, parent_sample_id AS ref FROM y UNION ALL SELECT sample_id, split, paired_sample_id FROM y)"""
+
+
+@query("j14_split_problems")
+def _(get):
+    return M.split_assignment(get("clips"), get("clip_pairs"))[1]
+
+
+@query("j14_split_assignment")
+def _(get):
+    return M.split_assignment(get("clips"), get("clip_pairs"))[0]
 
 
-@query("s8_pair_list_shape", "pairs", "SELECT a, b, a <> b AND length(lpad(CAST(a AS STRING), 3, '0')) = 3 AS valid FROM pairs")
+@query("s8_pair_list_shape", "pairs", r"""SELECT a, b, CASE WHEN NOT regexp_matches(x, '^[0-9]{3}$') OR NOT regexp_matches(y, '^[0-9]{3}$') THEN 'not_two_ids' WHEN x = y THEN 'pair_with_itself' END AS issue FROM (SELECT a, b, CASE WHEN a % 35 = 0 THEN 'x' ELSE '' END || CASE WHEN a < 1000 THEN lpad(CAST(a AS STRING), 3, '0') ELSE CAST(a AS STRING) END AS x,
+  CASE WHEN a % 25 = 0 AND a < 1000 THEN lpad(CAST(a AS STRING), 3, '0') WHEN b < 1000 THEN lpad(CAST(b AS STRING), 3, '0') ELSE CAST(b AS STRING) END AS y FROM pairs) t""")
 def _(get):
-    pad = lambda c: F.lpad(F.col(c).cast("string"), 3, "0")
-    lists = get("pairs").select("a", "b", F.to_json(F.array(pad("a"), pad("b"))).alias("json")).withColumn("ids", F.from_json("json", "array<string>"))
-    return lists.select("a", "b", ((F.size("ids") == 2) & F.get("ids", F.lit(0)).rlike("^[0-9]{3}$") & (F.get("ids", F.lit(0)) != F.get("ids", F.lit(1)))).alias("valid"))
+    name = lambda c: F.when(F.col(c) < 1000, F.lpad(F.col(c).cast("string"), 3, "0")).otherwise(F.col(c).cast("string"))
+    x = F.concat(F.when(F.col("a") % 35 == 0, "x").otherwise(""), name("a"))
+    y = F.when((F.col("a") % 25 == 0) & (F.col("a") < 1000), name("a")).otherwise(name("b"))
+    lists = get("pairs").select("a", "b", F.to_json(F.array(x, y)).alias("json"))
+    return M.pair_shape(lists.withColumn("pair", F.from_json("json", "array<string>"))).select("a", "b", "issue")
 
 
 @query("s7_official_test_list", "paths", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM paths")
@@ -309,10 +373,10 @@ def _(get):
     return p.join(listed, "page_id", "left").select("page_id", F.when(F.col("listed"), "test").otherwise("train").alias("split"))
 
 
-@query("j15_acquisition_report", "expected_paths paths", """, f AS (SELECT page_id, bytes FROM paths UNION ALL SELECT -page_id - 1, 0 FROM paths WHERE page_id % 50 = 1) SELECT class, count(e.page_id) AS expected, count(f.page_id) AS found, count(*) FILTER (f.page_id IS NULL) AS missing, count(*) FILTER (e.page_id IS NULL) AS unexpected,
+@query("j15_acquisition_report", "expected_paths paths_found", """, f AS (SELECT page_id, bytes FROM paths_found UNION ALL SELECT -page_id - 1, 0 FROM paths_found WHERE page_id % 50 = 1) SELECT class, count(e.page_id) AS expected, count(f.page_id) AS found, count(*) FILTER (f.page_id IS NULL) AS missing, count(*) FILTER (e.page_id IS NULL) AS unexpected,
   count(*) FILTER (bytes = 0) AS zero_byte, min(bytes) AS min_bytes, max(bytes) AS max_bytes FROM expected_paths e FULL JOIN f ON e.page_id = f.page_id GROUP BY class""")
 def _(get):
-    p = get("paths").select("page_id", F.col("bytes").cast("long").alias("bytes"))
+    p = get("paths_found").select("page_id", F.col("bytes").cast("long").alias("bytes"))
     found = p.unionByName(p.filter("page_id % 50 = 1").select((-F.col("page_id") - 1).alias("page_id"), F.lit(0).cast("long").alias("bytes")))
     return M.acquisition_report(get("expected_paths"), found, "page_id", "class", "bytes")
 
@@ -344,3 +408,15 @@ def _(get):
 ORACLES["l1_leakage_groups"] = grouped(" SELECT sample_id, group_key FROM src JOIN g ON src.h = g.node")
 ORACLES["a21_group_sizes"] = grouped(", c AS (SELECT group_key, count(*) AS size FROM src JOIN g ON src.h = g.node GROUP BY 1) SELECT size, count(*) AS groups FROM c GROUP BY size")
 ORACLES["j19_lineage_in_one_group"] = grouped(", m AS (SELECT sample_id, group_key FROM src JOIN g ON src.h = g.node) SELECT s.sample_id, a.group_key = b.group_key AS same_group FROM samples s JOIN m a ON s.sample_id = a.sample_id JOIN m b ON s.parent_sample_id = b.sample_id")
+UNIT_OF_GROUP = UNIT.format("'42:' || group_key")
+ORACLES["l4_hash_split"] = grouped(f", m AS (SELECT sample_id, group_key, {UNIT_OF_GROUP} AS u FROM src JOIN g ON src.h = g.node) SELECT sample_id, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.7 + 0.15 THEN 'val' ELSE 'test' END AS split FROM m")
+ORACLES["j8_family_problems"] = grouped(ASSEMBLY + " SELECT code, key FROM pr", "clips")
+ORACLES["j8_family_members"] = grouped(ASSEMBLY + " SELECT family_id, sample_id, method, split, donor, leakage_group FROM mem", "clips")
+ORACLES["j14_split_assignment"] = grouped(ASSIGN + " SELECT sample_id, split FROM y WHERE code IS NULL", "clips", "clip_pairs")
+ORACLES["j14_split_problems"] = grouped(
+    ASSIGN
+    + """ SELECT code, sample_id AS key FROM y WHERE code IS NOT NULL UNION ALL SELECT 'reference_in_other_split', rf.sample_id FROM rf JOIN y ON y.sample_id = rf.ref WHERE rf.split IS NOT NULL AND y.split IS DISTINCT FROM rf.split
+UNION ALL SELECT 'group_spans_splits', group_key FROM y GROUP BY group_key HAVING count(DISTINCT split) <> 1 OR count(*) FILTER (split IS NULL) > 0""",
+    "clips",
+    "clip_pairs",
+)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veraframe.functions import scalars as S
 from veraframe.operators import decisions as D
+from veraframe.operators.manifests import only_splits
 from veraframe.operators import metrics as M
 from veraframe.plans.registry import registry
 
@@ -295,9 +296,11 @@ def _(get):
     return d.join(line, "sample_id", "left").select("sample_id", "verdict", F.round("p_fake", 6).alias("p_fake"), F.round("confidence", 6).alias("confidence"), F.coalesce(text, F.lit("")).alias("timeline"))
 
 
-@query("d7_evidence_frames", "frames", """, r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY logit DESC, slot) AS k FROM frames) SELECT sample_id, string_agg(CAST(slot AS VARCHAR), ',' ORDER BY slot) AS slots FROM r WHERE k <= 4 GROUP BY sample_id""")
+@query("d7_evidence_frames", "frames", DECIDE_SQL + """, e AS (SELECT f.sample_id, f.slot, f.logit, CASE WHEN verdict = 'likely_manipulated' THEN 1 WHEN verdict = 'likely_real' THEN -1
+  WHEN CASE d.frames_used WHEN 4 THEN score_4 WHEN 8 THEN score_8 WHEN 16 THEN score_16 END >= 0 THEN 1 ELSE -1 END AS sign FROM frames f JOIN decisions d USING (sample_id) WHERE d.frames_used > 0 AND f.slot % (16 // greatest(d.frames_used, 1)) = 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY -sign * logit, slot) AS k FROM e) SELECT sample_id, sign, string_agg(CAST(slot AS VARCHAR), ',' ORDER BY slot) AS slots FROM top WHERE k <= 4 GROUP BY sample_id, sign""")
 def _(get):
-    return D.evidence(get("frames")).select("sample_id", F.array_join(F.transform("evidence", lambda e: e.slot.cast("string")), ",").alias("slots"))
+    return D.evidence(get("frames"), decisions_of(get)).select("sample_id", "sign", F.array_join(F.transform("evidence", lambda e: e.slot.cast("string")), ",").alias("slots"))
 
 
 @query("p9_frame_flags", "frames", "SELECT sample_id, slot, q1 < 1.0 AS low_sharpness, q2 < 1.0 AS low_resolution, q3 > 3.0 AS high_compression FROM frames")
@@ -409,20 +412,19 @@ def _(get):
 
 @query("p2_protected_split_guard", "frames", "SELECT sample_id, slot FROM frames")
 def _(get):
-    sealed = F.when(F.col("method").isin("sealed"), F.raise_error(F.lit("a row of a sealed split was asked for")).cast("boolean")).otherwise(F.lit(True))
-    return get("frames").filter(sealed).select("sample_id", "slot")
+    split = F.when(F.col("y") == 0, "train").otherwise("val")
+    return only_splits(get("frames").withColumn("split", split), ["train", "val"]).select("sample_id", "slot")
 
 
-@query("p10_uncertain_reason", "frames", DECIDE_SQL + "SELECT sample_id, CASE WHEN reason LIKE 'insufficient%' THEN 'INSUFFICIENT_FRAMES' WHEN reason LIKE '%both' THEN 'AMBIGUOUS' WHEN reason LIKE '%empty' THEN 'OUT_OF_DISTRIBUTION' END AS code FROM decisions WHERE verdict = 'uncertain'")
+@query("p10_uncertain_reason", "frames", DECIDE_SQL + "SELECT sample_id, CASE WHEN reason LIKE 'insufficient%' THEN 'INSUFFICIENT_FACE_FRAMES' WHEN reason = 'final_k16_uncertain_empty' THEN 'ATYPICAL_INPUT' ELSE 'AMBIGUOUS_EVIDENCE' END AS code FROM decisions WHERE verdict = 'uncertain'")
 def _(get):
-    code = F.when(F.col("reason").startswith("insufficient"), "INSUFFICIENT_FRAMES").when(F.col("reason").endswith("both"), "AMBIGUOUS").when(F.col("reason").endswith("empty"), "OUT_OF_DISTRIBUTION")
-    return decisions_of(get).filter(F.col("verdict") == D.UNCERTAIN).select("sample_id", code.alias("code"))
+    return decisions_of(get).filter(F.col("verdict") == D.UNCERTAIN).select("sample_id", D.uncertainty_code(F.col("reason")).alias("code"))
 
 
-@query("j20_side_table_lookup", "frames prov", "SELECT asset_id, CAST(json_extract_string(manifest_json, '$.k') AS INT) AS k FROM prov WHERE concat('u', CAST(asset_id AS STRING)) IN (SELECT sample_id FROM frames)")
+@query("j20_side_table_lookup", "frames prov", "SELECT asset_id, CAST(json_extract_string(manifest_json, '$.k') AS INT) AS k FROM prov WHERE concat('u', CAST(asset_id AS STRING), '_0') IN (SELECT sample_id FROM frames)")
 def _(get):
     ids = get("frames").select("sample_id").distinct()
-    kept = get("prov").join(ids, F.concat(F.lit("u"), F.col("asset_id").cast("string")) == F.col("sample_id"), "left_semi")
+    kept = get("prov").join(ids, F.concat(F.lit("u"), F.col("asset_id").cast("string"), F.lit("_0")) == F.col("sample_id"), "left_semi")
     return kept.select("asset_id", F.from_json("manifest_json", "k int").getField("k").alias("k"))
 
 
