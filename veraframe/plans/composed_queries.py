@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veraframe.functions import extensions as X
+from veraframe.functions import signals as SG
 from veraframe.functions.scalars import unit_hash
 from veraframe.functions.scoring import score_frames
 from veraframe.operators import decisions as D
 from veraframe.operators import fitting as C
+from veraframe.operators import landmarks as L
 from veraframe.operators import manifests as M
 from veraframe.plans.media_queries import linear_scorer
 from veraframe.plans.registry import registry
 from veraframe.plans.score_queries import AUC, GATE_SQL, decisions_of, gated_of
+from veraframe.sources import datasets as ds
 from veraframe.sources import manifest_files as S
 from veraframe.sources.shared import materialise, new_path
 
@@ -116,3 +119,67 @@ def _(get):
 @query("x4_detections", "thumbs", ", e AS (SELECT vec_id, CAST(unnest(range(64)) AS INT) AS det, CAST(unnest(embedding) AS DOUBLE) AS confidence FROM thumbs) SELECT vec_id, det, round(confidence, 8) AS confidence FROM e WHERE confidence > 0.2")
 def _(get):
     return X.detect(get("thumbs"), ["vec_id"], "embedding", lambda v: ((i, x) for i, x in enumerate(v) if x > 0.2))
+
+
+CI = "count(*) AS n, round(avg({v}), 8) AS mean, round(avg({v}) - 1.96 * stddev_samp({v}) / sqrt(count(*)), 8) AS low, round(avg({v}) + 1.96 * stddev_samp({v}) / sqrt(count(*)), 8) AS high"
+
+
+@query("j17_landmark_check", "marks", """, p AS (SELECT f.method, CASE WHEN f.source_width = r.source_width THEN 'same' ELSE 'changed' END AS width, (f.lx2 - f.lx1) / (r.lx2 - r.lx1) AS a, (f.lx1 + f.lx2) / 2 - (r.lx1 + r.lx2) / 2 + (r.source_width - f.source_width) / 2 AS b, f.source_width / r.source_width AS c
+  FROM marks f JOIN marks r ON f.family_id = r.family_id AND f.slot = r.slot AND f.frame_index = r.frame_index WHERE f.label = 'fake' AND r.label = 'real' AND r.lx2 > r.lx1), m AS (SELECT method, width, 'interocular_ratio' AS measure, a AS v FROM p UNION ALL SELECT method, width, 'eye_mid_shift', b FROM p UNION ALL SELECT method, width, 'squeeze_predicted_ratio', c FROM p)
+SELECT method, width, measure, """ + CI.format(v="v") + " FROM m GROUP BY ALL")
+def _(get):
+    return L.landmark_check(get("marks"))
+
+
+GEOMETRY = """, g AS (SELECT family_id, label, avg((lx2 - lx1) / ((ly4 + ly5) / 2 - (ly1 + ly2) / 2)) AS width_height_ratio, avg((lx5 - lx4) / (lx2 - lx1)) AS mouth_to_eye_width, avg((lx3 - (lx1 + lx2) / 2) / (lx2 - lx1)) AS nose_x_offset, avg(w / h) AS detector_box_aspect, """ + ", ".join(
+    f"avg(l{c}{i} - {v!r}) AS residual_{name}_{c}" for i, (name, p) in enumerate(zip(L.POINTS, L.template(), strict=True), 1) for c, v in zip("xy", p, strict=True)
+) + " FROM marks GROUP BY ALL)"
+GEOMETRY_NAMES = ["width_height_ratio", "mouth_to_eye_width", "nose_x_offset", "detector_box_aspect"]
+
+
+@query("f8_geometry_features", "marks", GEOMETRY + " SELECT family_id, label, " + ", ".join(f"round({c}, 6) AS {c}" for c in [*GEOMETRY_NAMES, *(f"residual_{p}_{c}" for p in L.POINTS for c in "xy")]) + " FROM g")
+def _(get):
+    out = L.geometry_features(get("marks"), ["family_id", "label"], L.template())
+    return out.select("family_id", "label", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+
+
+@query("f8_geometry_differences", "marks", GEOMETRY + ", d AS (" + " UNION ALL ".join(f"SELECT f.family_id % 4 AS method, '{c}' AS feature, f.{c} - r.{c} AS v FROM g f JOIN g r ON f.family_id = r.family_id WHERE f.label = 'fake' AND r.label = 'real'" for c in GEOMETRY_NAMES) + ") SELECT method, feature, " + CI.format(v="v") + " FROM d GROUP BY ALL")
+def _(get):
+    feats = L.geometry_features(get("marks"), ["family_id", "label"], L.template()).withColumn("method", F.col("family_id") % 4)
+    return L.paired_differences(feats, "family_id", "label", ["method"], GEOMETRY_NAMES)
+
+
+@query("s6_known_dataset", "clip_files", """, b AS (SELECT 'faceforensics++:' || path AS sample_id, path, regexp_extract(path, '([^/]+)\\.mp4$', 1) AS stem, CASE WHEN path LIKE 'original%' THEN 'real' ELSE 'fake' END AS label, CASE WHEN path LIKE 'original%' THEN NULL ELSE split_part(path, '/', 2) END AS method, split_part(path, '/', 3) AS level FROM clip_files WHERE path NOT LIKE 'other/%'),
+n AS (SELECT *, CASE WHEN label = 'fake' AND stem LIKE '%\\_%' ESCAPE '\\' THEN split_part(stem, '_', 1) END AS t, CASE WHEN label = 'fake' AND stem LIKE '%\\_%' ESCAPE '\\' THEN split_part(stem, '_', 2) END AS d FROM b)
+SELECT n.sample_id, n.label, coalesce(t, n.stem) AS source_id, n.method AS generator_method, CASE WHEN n.method IN ('Deepfakes', 'FaceSwap') THEN 'face-swap' WHEN n.method IS NOT NULL THEN 'reenactment' END AS manipulation_family, n.level AS compression_level, x.sample_id AS parent_sample_id, y.sample_id AS paired_sample_id
+FROM n LEFT JOIN b x ON x.label = 'real' AND x.stem = t AND x.level = n.level LEFT JOIN b y ON y.label = 'real' AND y.stem = d AND y.level = n.level""")
+def _(get):
+    files = get("clip_files").withColumn("checksum_sha256", F.lit(None).cast("string"))
+    return ds.folder_samples(files, ds.dataset_spec("faceforensics++", "v1")).select("sample_id", "label", "source_id", "generator_method", "manipulation_family", "compression_level", "parent_sample_id", "paired_sample_id")
+
+
+@query("s4_sidecar_files", "sidecar", """SELECT 'side:' || path AS sample_id, CASE label WHEN '1' THEN 'fake' ELSE 'real' END AS label, regexp_extract(path, '([^/]+)\\.mp4$', 1) AS source_id, 'side:' || original AS parent_sample_id FROM sidecar WHERE label IN ('0', '1')""")
+def _(get):
+    rows = get("sidecar")
+    out = new_path(rows.sparkSession, "sidecar")
+    rows.write.json(out)
+    spec = ds.generic_spec("side", "1", parent="original")
+    return ds.sidecar_samples(ds.read_sidecar(rows.sparkSession, out, "jsonl"), spec).select("sample_id", "label", "source_id", "parent_sample_id")
+
+
+def enlarged_signals(grey):
+    """The signals of a picture of 8 x 8 squares of 28 pixels."""
+    return SG.signals_hybrid(grey.repeat(28, axis=0).repeat(28, axis=1))
+
+
+@query("x2_frame_signals")
+def _(get):
+    small = get("thumbs").select("vec_id", SG.as_grey(F.col("embedding")).alias("pixels"))
+    return SG.frame_signals(small, "pixels", 8, ["vec_id"], SG.SIGNALS_V2, enlarged_signals)
+
+
+@query("x5_stress_matrix")
+def _(get):
+    small = get("thumbs").select("vec_id", SG.as_grey(F.col("embedding")).alias("pixels"))
+    mean = F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v) / 64
+    return SG.stress_matrix(small, "pixels", 8, ["vec_id"]).groupBy("condition", "severity").agg(F.count(F.lit(1)).alias("n"), F.avg(mean).alias("mean_grey"))

@@ -54,6 +54,14 @@ FROM (SELECT CAST(floor(l_orderkey / 8) AS BIGINT) AS video_id, CAST(l_linenumbe
              30.0 * (l_orderkey % 8) + CAST(l_quantity AS DOUBLE) / 2.0 AS x, CAST(l_discount AS DOUBLE) * 100.0 AS y, 20.0 + CAST(l_tax AS DOUBLE) * 100.0 AS w, CAST(30.0 AS DOUBLE) AS h,
              1.0 - CAST(l_discount AS DOUBLE) AS confidence, l_orderkey * 8 + l_linenumber AS det_key, l_suppkey AS det_key2, CAST(l_suppkey % 3 AS DOUBLE) AS nod
       FROM {lineitem}) t""",
+    "marks": """
+SELECT family_id, slot, CAST(slot * 10 + CASE WHEN label = 'fake' AND pk % 3 = 0 THEN 1 ELSE 0 END AS INT) AS frame_index, label, CASE WHEN label = 'real' THEN 'original' ELSE concat('m', CAST(family_id % 4 AS STRING)) END AS method,
+       CASE WHEN label = 'fake' AND family_id % 2 = 0 THEN 480 ELSE 640 END AS source_width, 60.0 + q AS lx1, 80.0 + tax AS ly1, 160.0 - q / 2 + tax AS lx2, 81.0 AS ly2, 112.0 + tax AS lx3, 120.0 - q / 5 AS ly3, 80.0 AS lx4, 150.0 + q / 9 AS ly4, 145.0 + q / 7 AS lx5, 151.0 AS ly5, 90.0 + q AS w, 110.0 + tax AS h
+FROM (SELECT l_orderkey AS family_id, CAST(floor((l_linenumber - 1) / 2) AS INT) AS slot, CASE WHEN l_linenumber % 2 = 1 THEN 'real' ELSE 'fake' END AS label, l_partkey AS pk, CAST(l_quantity AS DOUBLE) AS q, CAST(l_tax AS DOUBLE) * 100.0 AS tax FROM {lineitem}) t""",
+    "clip_files": """
+SELECT CASE WHEN k = 5 THEN concat('other/', CAST(key AS STRING), '.mp4') WHEN k = 0 THEN concat('original_sequences/youtube/', level, '/videos/', CAST(t AS STRING), '.mp4')
+            ELSE concat('manipulated_sequences/', CASE k WHEN 1 THEN 'Deepfakes' WHEN 2 THEN 'Face2Face' WHEN 3 THEN 'FaceSwap' ELSE 'NeuralTextures' END, '/', level, '/videos/', CAST(t AS STRING), CASE WHEN key % 19 = 3 THEN 'x' ELSE concat('_', CAST(donor AS STRING)) END, '.mp4') END AS path
+FROM (SELECT key, t, k, t + 1 - 2 * (t % 2) AS donor, CASE WHEN t % 7 < 5 THEN 'c23' ELSE 'raw' END AS level FROM (SELECT CAST(p_partkey AS BIGINT) AS key, CAST(floor(p_partkey / 6) AS BIGINT) AS t, p_partkey % 6 AS k FROM {part}) x) y""",
     "thumbs": "SELECT vec_id, embedding, label FROM {embeddings}",
     "media": """
 SELECT p_partkey AS media_id, CAST(p_size * 20 AS INT) AS frame_count, CAST(p_size * 0.8 AS DOUBLE) AS duration_s,
