@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veraframe.operators.metrics import auroc
+from veraframe.sources.shared import materialise
+
 
 def _auroc(y: pd.Series, score: pd.Series) -> float | None:
     ranks, positive = score.rank(method="average"), y == 1
@@ -16,9 +20,15 @@ def _auroc(y: pd.Series, score: pd.Series) -> float | None:
     return float((ranks[positive].sum() - n_pos * (n_pos + 1) / 2) / (n_pos * n_neg)) if n_pos and n_neg else None
 
 
-def grouped_auroc(df: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
-    """(by, auroc) with one Python call a group: for small groups; ``metrics.auroc`` has no bound on a group."""
-    return df.groupBy(*by).agg(F.pandas_udf(_auroc, "double")(F.col(y), F.col(score)).alias("auroc"))
+def grouped_auroc(df: DataFrame, by: list[str], y: str, score: str, most: int = 100_000) -> DataFrame:
+    """(by, auroc) with one Python call for a group of at most ``most`` rows; larger ones go by sums over the cluster."""
+    sizes = materialise(df.groupBy(*[F.col(c).alias(f"of_{c}") for c in by]).agg((F.count(F.lit(1)) > most).alias("large")), "group-sizes")
+    here = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by])
+    sized = df.select(*by, y, score).join(sizes, here).drop(*[f"of_{c}" for c in by])
+    small = sized.filter("not large").groupBy(*by).agg(F.pandas_udf(_auroc, "double")(F.col(y), F.col(score)).alias("auroc"))
+    if sizes.filter("large").isEmpty():
+        return small
+    return small.unionByName(auroc(sized.filter("large"), y, score, by).select(*by, "auroc"))
 
 
 def score_bytes(rows: DataFrame, keys: list[str], content: str, fn: Callable[[list[bytes]], np.ndarray]) -> DataFrame:

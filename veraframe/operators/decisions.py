@@ -203,16 +203,18 @@ def evidence(frames: DataFrame, decisions: DataFrame, most: int = 4, video: str
     return top.groupBy(video).agg(F.array_sort(F.collect_list(F.struct(F.col(slot).alias("slot"), F.round(F.col(logit), 6).alias("logit")))).alias("evidence"), F.first("sign").alias("sign"))
 
 
-def best_epoch(log: DataFrame, run: str, epoch: str, metric: str, patience: int) -> DataFrame:
+def best_epoch(log: DataFrame, run: str, epoch: str, metric: str, patience: int, loss: str | None = None) -> DataFrame:
     """(run, best_epoch, best_metric, stopped_at): the best epoch seen before ``patience`` epochs brought nothing better.
 
-    ``stopped_at`` is the epoch at which patience ran out, or null.
+    Among epochs of one metric the one with the smaller ``loss`` is better, then the earlier. ``stopped_at`` is the epoch
+    at which patience ran out, or null.
     """
-    upto = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = log.select(run, epoch, metric).withColumn("best", F.max(metric).over(upto))
-    is_best = (F.col(metric) == F.col("best")) & (F.coalesce(F.lag("best").over(Window.partitionBy(run).orderBy(epoch)) < F.col(metric), F.lit(True)))
-    seen = seen.withColumn("best_at", F.max(F.when(is_best, F.col(epoch))).over(upto))
-    seen = seen.withColumn("since", F.col(epoch) - F.col("best_at"))
+    value = F.struct(F.col(metric).alias("metric"), (-F.col(loss) if loss else F.lit(0)).alias("gain"))
+    by_run = Window.partitionBy(run).orderBy(epoch)
+    upto = by_run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = log.select(run, epoch, value.alias("value")).withColumn("best", F.max("value").over(upto))
+    is_best = F.coalesce(F.lag("best").over(by_run) < F.col("value"), F.lit(True))
+    seen = seen.withColumn("best_at", F.max(F.when(is_best, F.col(epoch))).over(upto)).withColumn("since", F.col(epoch) - F.col("best_at"))
     stop = seen.groupBy(run).agg(F.min(F.when(F.col("since") >= patience, F.col(epoch))).alias("stopped_at"))
     live = seen.join(stop, run).filter(F.col("stopped_at").isNull() | (F.col(epoch) <= F.col("stopped_at")))
-    return live.groupBy(run).agg(F.max("best_at").alias("best_epoch"), F.max("best").alias("best_metric"), F.first("stopped_at").alias("stopped_at"))
+    return live.groupBy(run).agg(F.max("best_at").alias("best_epoch"), F.max("best.metric").alias("best_metric"), F.first("stopped_at").alias("stopped_at"))

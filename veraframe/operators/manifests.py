@@ -258,6 +258,13 @@ def official_splits(samples: DataFrame, listed: DataFrame, official: DataFrame)
     return assigned
 
 
+def aligned_margins(crops: DataFrame, scores: DataFrame, keys: list[str], logits: str) -> DataFrame:
+    """``keys``, status and margin (fake less real logit) of crops and scores; what one side lacks is told, not left out."""
+    c, s = crops.select(*keys, F.lit(True).alias("__crop")), scores.select(*keys, logits)
+    status = F.when(F.col(logits).isNull(), "missing_score").when(F.col("__crop").isNull(), "unknown_crop").otherwise("ok")
+    return c.join(s, keys, "full").select(*keys, status.alias("status"), (F.get(logits, F.lit(1)) - F.get(logits, F.lit(0))).alias("margin"))
+
+
 def partition_rows(rows: DataFrame, partitions: DataFrame, name: str, family: str = "family_id") -> DataFrame:
     """The rows whose family is in partition ``name``; a family that is in none fails the job."""
     mapped = rows.join(partitions.select(family, "partition"), family, "left")

@@ -1,7 +1,7 @@
 """Ranking, calibration and abstention metrics over score tables, as aggregates and running sums.
 
-Labels are 0 or 1. Groups are given by ``by``; without groups, running sums are range-partitioned, so no metric brings
-all rows, or all distinct scores, to one task.
+Labels are 0 or 1. Groups are given by ``by``. Running sums are range-partitioned, within groups too, so no metric brings
+all rows, or all distinct scores, of a group to one task.
 """
 
 from __future__ import annotations
@@ -12,14 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veraframe.functions.scalars import nll, sigmoid
-from veraframe.operators.ordering import running
+from veraframe.operators.ordering import percentiles, running
 
 
 def _running(df: DataFrame, order: list[Column], sums: dict[str, Column], by: list[str]) -> DataFrame:
-    if not by:
-        return running(df, order, sums)
-    upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumns({k: F.sum(v).over(upto) for k, v in sums.items()})
+    return running(df, order, sums, by)
 
 
 def average_ranks(df: DataFrame, score: str, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -182,7 +179,7 @@ def aurc(df: DataFrame, y: str, p: str, key: str) -> DataFrame:
 
 def operating_points(df: DataFrame, y: str, z: str, threshold: float = 0.0, tpr: float = 0.9) -> DataFrame:
     """One row: TPR and FPR at a threshold, the threshold that keeps ``tpr`` of the positives, and the FPR there."""
-    cut = df.filter(F.col(y) == 1).agg(F.percentile(z, 1 - tpr).alias("cut"))
+    cut = percentiles(df.filter(F.col(y) == 1), z, {"cut": 1 - tpr}).select("cut")
     return df.crossJoin(F.broadcast(cut)).groupBy("cut").agg(
         F.avg(F.when(F.col(y) == 1, (F.col(z) >= threshold).cast("double"))).alias("tpr"),
         F.avg(F.when(F.col(y) == 0, (F.col(z) >= threshold).cast("double"))).alias("fpr"),
@@ -198,3 +195,11 @@ def confidence_abstention(df: DataFrame, y: str, p: str, key: str, abstention: f
     right = ((F.col(p) >= 0.5).cast("int") == F.col(y)).cast("long")
     rows = running(df.select(conf.alias("conf"), F.col(key).alias("k"), right.alias("right")), [F.col("conf").desc(), F.col("k")], {"hits": F.col("right"), "seen": F.lit(1).cast("long")})
     return rows.filter(F.col("seen") == keep).select((1 - F.col("seen") / n).alias("abstention"), (F.col("hits") / F.col("seen")).alias("selective_accuracy"))
+
+
+def statistics_by(df: DataFrame, value: str, keys: tuple[str, ...]) -> DataFrame:
+    """(key, value, n, mean, low, high): a value's statistics over all rows (key ``all``) and by each of ``keys``."""
+    every = [F.struct(F.lit("all").alias("key"), F.lit("").alias("value"))]
+    every += [F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in keys]
+    rows = df.select(F.col(value).alias("v"), F.explode(F.array(*every)).alias("k"))
+    return rows.groupBy("k.key", "k.value").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))

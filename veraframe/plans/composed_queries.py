@@ -183,3 +183,15 @@ def _(get):
     small = get("thumbs").select("vec_id", SG.as_grey(F.col("embedding")).alias("pixels"))
     mean = F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v) / 64
     return SG.stress_matrix(small, "pixels", 8, ["vec_id"]).groupBy("condition", "severity").agg(F.count(F.lit(1)).alias("n"), F.avg(mean).alias("mean_grey"))
+
+
+@query("p3_whitelisted_rows", "frames", 'SELECT sample_id, slot, y AS "metadata.label", method AS "metadata.method" FROM frames')
+def _(get):
+    rows = get("frames").select("sample_id", "slot", F.struct(F.col("y").alias("label"), "method").alias("metadata"))
+    return S.dotted(S.whitelisted(rows, {"sample_id", "slot", "metadata.label", "metadata.method"}))
+
+
+@query("f13_nested_flatten", "samples", 'SELECT sample_id, source_id AS "origin.source", identity_id AS "origin.who.identity", split AS "origin.who.place.split", label FROM samples')
+def _(get):
+    who = F.struct(F.col("identity_id").alias("identity"), F.struct("split").alias("place"))
+    return S.dotted(get("samples").select("sample_id", F.struct(F.col("source_id").alias("source"), who.alias("who")).alias("origin"), "label"))

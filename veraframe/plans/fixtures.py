@@ -90,7 +90,7 @@ FROM {supplier}""",
     "prov": "SELECT event_id AS asset_id, props AS manifest_json, event_type AS status_raw FROM {events}",
     "docs": "SELECT doc_id, text, source FROM {documents}",
     "epochs": """
-SELECT user_id % 20 AS run, event_id, CAST(row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS INT) AS epoch, value AS metric
+SELECT user_id % 20 AS run, event_id, CAST(row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS INT) AS epoch, CAST(floor(abs(value) / 20.0) AS DOUBLE) AS metric, CAST(event_id % 13 AS DOUBLE) AS nll
 FROM {events}""",
     "raw_lines": """
 SELECT o_orderkey AS line_no,

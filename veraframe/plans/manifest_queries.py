@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veraframe.functions import scalars as S
 from veraframe.operators import manifests as M
 from veraframe.operators.metrics import auroc, mean_ci
+from veraframe.operators.ordering import percentiles
 from veraframe.plans.fixtures import VIEWS
 from veraframe.plans.registry import registry
 
@@ -171,7 +172,8 @@ def _(get):
 @query("a7_split_class_audit", "samples", """, s AS (SELECT source_id, split, label, count(*) AS n FROM samples GROUP BY ALL) SELECT split, label, CAST(sum(n) AS BIGINT) AS samples, count(*) AS sources, round(quantile_cont(n, 0.1), 8) AS p10, round(quantile_cont(n, 0.5), 8) AS p50, round(quantile_cont(n, 0.9), 8) AS p90 FROM s GROUP BY split, label""")
 def _(get):
     s = get("samples").groupBy("source_id", "split", "label").agg(n_rows())
-    return s.groupBy("split", "label").agg(F.sum("n").alias("samples"), F.count(F.lit(1)).alias("sources"), *[F.percentile("n", q).alias(f"p{int(q * 100)}") for q in (0.1, 0.5, 0.9)])
+    sums = s.groupBy("split", "label").agg(F.sum("n").alias("samples"), F.count(F.lit(1)).alias("sources"))
+    return sums.join(percentiles(s, "n", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, ["split", "label"]).drop("n"), ["split", "label"])
 
 
 @query("a11_class_balance_weights", "samples", "SELECT sample_id, round(1.0 / count(*) OVER (PARTITION BY source_id) / count(*) OVER (PARTITION BY label), 8) AS weight FROM samples")

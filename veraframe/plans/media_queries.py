@@ -11,6 +11,7 @@ from veraframe.functions.scoring import score_frames, score_in_waves
 from veraframe.operators import near_duplicates as D
 from veraframe.operators import tracking as T
 from veraframe.operators.decisions import Stage
+from veraframe.operators.ordering import percentiles
 from veraframe.plans.registry import registry
 
 QUERIES, ORACLES, query = registry()
@@ -275,7 +276,7 @@ SELECT CAST(pct AS DOUBLE) AS pct, round(cut, 8) AS cut, round(avg((abs(logit) >
 def _(get):
     s = get("scored").withColumn("conf", F.abs("logit"))
     pcts = [0.0, 0.05, 0.1, 0.2, 0.3, 0.5]
-    cuts = s.agg(F.percentile("conf", F.array(*map(F.lit, pcts))).alias("cuts"))
+    cuts = percentiles(s, "conf", {f"c{i}": q for i, q in enumerate(pcts)}).select(F.array(*[f"c{i}" for i in range(len(pcts))]).alias("cuts"))
     table = cuts.select(F.explode(F.arrays_zip(F.array(*map(F.lit, pcts)).alias("pct"), F.col("cuts").alias("cut"))).alias("c")).select("c.pct", "c.cut")
     kept = F.col("conf") >= F.col("cut")
     right = ((F.col("logit") >= 0).cast("int") == F.col("y")).cast("double")

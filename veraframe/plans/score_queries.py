@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from veraframe.functions import scalars as S
 from veraframe.operators import decisions as D
-from veraframe.operators.manifests import only_splits
 from veraframe.operators import metrics as M
+from veraframe.operators.manifests import aligned_margins, only_splits
+from veraframe.operators.ordering import percentiles
 from veraframe.plans.registry import registry
 
 QUERIES, ORACLES, query = registry()
@@ -165,7 +166,7 @@ def _(get):
 
 @query("m20_threshold_fit", "scored", "SELECT round(quantile_cont(logit, 0.05), 8) AS p05, round(quantile_cont(logit, 0.5), 8) AS p50, round(quantile_cont(logit, 0.95), 8) AS p95 FROM scored")
 def _(get):
-    return get("scored").agg(*[F.percentile("logit", q).alias(f"p{int(q * 100):02d}") for q in (0.05, 0.5, 0.95)])
+    return percentiles(get("scored"), "logit", {f"p{int(q * 100):02d}": q for q in (0.05, 0.5, 0.95)}).drop("n")
 
 
 @query("m9_operating_points", "frames", """, v AS (SELECT sample_id, y, avg(logit) AS z FROM frames GROUP BY ALL), c AS (SELECT quantile_cont(z, 1 - CAST(0.9 AS DOUBLE)) AS cut FROM v WHERE y = 1)
@@ -314,22 +315,23 @@ SELECT count(*) AS n, round(max(abs(a - b)), 8) AS max_logit, round(avg(abs(a -
 def _(get):
     a = get("frames").select("sample_id", "slot", F.col("logit").alias("a"))
     b = get("frames").select("sample_id", "slot", (F.col("logit") + 0.01 * (F.col("slot") - 8)).alias("b"))
-    gap = F.abs(F.col("a") - F.col("b"))
-    return a.join(b, ["sample_id", "slot"]).agg(
-        F.count(F.lit(1)).alias("n"), F.max(gap).alias("max_logit"), F.avg(gap).alias("mean_logit"), F.percentile(gap, 0.99).alias("p99_logit"),
+    both = a.join(b, ["sample_id", "slot"]).withColumn("gap", F.abs(F.col("a") - F.col("b")))
+    sums = both.agg(
+        F.count(F.lit(1)).alias("n"), F.max("gap").alias("max_logit"), F.avg("gap").alias("mean_logit"),
         F.max(F.abs(S.sigmoid("a") - S.sigmoid("b"))).alias("max_p"), F.avg(((F.col("a") >= 0) == (F.col("b") >= 0)).cast("double")).alias("sign_agreement"),
-    )
+    )
+    return sums.crossJoin(percentiles(both, "gap", {"p99_logit": 0.99}).drop("n"))  # one row each
 
 
-@query("j6_score_alignment", "frames", """, b AS (SELECT sample_id, slot, logit + 0.01 * (slot - 8) AS z FROM frames WHERE NOT (slot = 3 AND y = 1) UNION ALL SELECT 'extra', 0, 0.0)
-SELECT coalesce(f.sample_id, b.sample_id) AS sample_id, coalesce(f.slot, b.slot) AS slot, CASE WHEN b.slot IS NULL THEN 'missing_score' WHEN f.slot IS NULL THEN 'unknown_crop' ELSE 'ok' END AS status, round(z, 8) AS margin
-FROM frames f FULL JOIN b ON f.sample_id = b.sample_id AND f.slot = b.slot""")
+@query("j6_score_alignment", "frames", """, f AS (SELECT sample_id, slot, sha256(sample_id || ':' || slot) AS crop FROM frames), b AS (SELECT sample_id, slot, sha256(CASE WHEN slot = 5 AND y = 0 THEN 'other:' ELSE '' END || sample_id || ':' || slot) AS crop, -logit AS l0, 0.01 * (slot - 8) AS l1 FROM frames WHERE NOT (slot = 3 AND y = 1))
+SELECT coalesce(f.sample_id, b.sample_id) AS sample_id, coalesce(f.slot, b.slot) AS slot, CASE WHEN b.slot IS NULL THEN 'missing_score' WHEN f.slot IS NULL THEN 'unknown_crop' ELSE 'ok' END AS status, round(l1 - l0, 8) AS margin
+FROM f FULL JOIN b ON f.sample_id = b.sample_id AND f.slot = b.slot AND f.crop = b.crop""")
 def _(get):
-    f = get("frames").select("sample_id", "slot", F.lit(True).alias("crop"), "logit", "y")
-    b = f.filter(~((F.col("slot") == 3) & (F.col("y") == 1))).select("sample_id", "slot", (F.col("logit") + 0.01 * (F.col("slot") - 8)).alias("margin"))
-    b = b.unionByName(b.sparkSession.sql("SELECT 'extra' AS sample_id, 0 AS slot, 0.0D AS margin"))
-    status = F.when(F.col("margin").isNull(), "missing_score").when(F.col("crop").isNull(), "unknown_crop").otherwise("ok")
-    return f.select("sample_id", "slot", "crop").join(b, ["sample_id", "slot"], "full").select("sample_id", "slot", status.alias("status"), "margin")
+    crop = F.sha2(F.concat_ws(":", "sample_id", F.col("slot").cast("string")), 256)
+    f = get("frames")
+    other = F.when((F.col("slot") == 5) & (F.col("y") == 0), F.sha2(F.concat_ws(":", F.lit("other"), "sample_id", F.col("slot").cast("string")), 256)).otherwise(crop)
+    scores = f.filter(~((F.col("slot") == 3) & (F.col("y") == 1))).select("sample_id", "slot", other.alias("crop"), F.array(-F.col("logit"), 0.01 * (F.col("slot") - 8)).alias("logits"))
+    return aligned_margins(f.select("sample_id", "slot", crop.alias("crop")), scores, ["sample_id", "slot", "crop"], "logits").drop("crop")
 
 
 @query("j21_result_parity", "frames", """SELECT sample_id, slot, round(logit, 2) AS a, round(logit + 0.01 * (slot - 8), 2) AS b FROM frames WHERE round(logit, 2) IS DISTINCT FROM round(logit + 0.01 * (slot - 8), 2)""")
@@ -398,11 +400,13 @@ def _(get):
     return get("frames").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("videos"))
 
 
-@query("a5_detection_statistics", "frames", "SELECT y, method, CAST(grouping(y) * 2 + grouping(method) AS BIGINT) AS level, count(*) AS n, round(avg(q1), 8) AS q1, round(avg(q2), 8) AS q2 FROM frames GROUP BY GROUPING SETS ((), (y), (method))")
+STATISTICS_BY = ("y", "method", "slot", "q2", "q3")
+
+
+@query("a5_detection_statistics", "frames", ", k AS (SELECT 'all' AS key, '' AS value, q1 FROM frames" + "".join(f" UNION ALL SELECT '{c}', CAST(CAST({c} AS INT) AS VARCHAR), q1 FROM frames" if c != "method" else " UNION ALL SELECT 'method', method, q1 FROM frames" for c in STATISTICS_BY) + ") SELECT key, value, count(*) AS n, round(avg(q1), 8) AS mean, min(q1) AS low, max(q1) AS high FROM k GROUP BY ALL")
 def _(get):
-    f = get("frames")
-    stats = (F.count(F.lit(1)).alias("n"), F.avg("q1").alias("q1"), F.avg("q2").alias("q2"))
-    return f.groupingSets([[], [F.col("y")], [F.col("method")]], "y", "method").agg(F.grouping_id().cast("long").alias("level"), *stats)
+    f = get("frames").withColumns({c: F.col(c).cast("int") for c in ("q2", "q3")})
+    return M.statistics_by(f, "q1", STATISTICS_BY)
 
 
 @query("k1_ordered_output", "frames", "SELECT sample_id, slot, row_number() OVER (PARTITION BY sample_id ORDER BY slot) AS nth FROM frames")
@@ -445,12 +449,12 @@ def _(get):
     return running(rows, [F.col("conf").desc(), F.col("row_key")], {"errors": wrong, "seen": F.lit(1).cast("long")}).select("row_key", "seen", "errors")
 
 
-@query("m24_best_epoch", "epochs", """, b AS (SELECT *, max(metric) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS best FROM epochs), l AS (SELECT *, lag(best) OVER (PARTITION BY run ORDER BY epoch) AS prev FROM b),
-s AS (SELECT *, max(CASE WHEN metric = best AND coalesce(prev < metric, true) THEN epoch END) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS best_at FROM l),
+@query("m24_best_epoch", "epochs", """, b AS (SELECT *, struct_pack(m := metric, g := -nll) AS v, max(struct_pack(m := metric, g := -nll)) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS best FROM epochs), l AS (SELECT *, lag(best) OVER (PARTITION BY run ORDER BY epoch) AS prev FROM b),
+s AS (SELECT *, max(CASE WHEN coalesce(prev < v, true) THEN epoch END) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS best_at FROM l),
 t AS (SELECT *, min(CASE WHEN epoch - best_at >= 10 THEN epoch END) OVER (PARTITION BY run) AS stopped_at FROM s)
-SELECT run, max(best_at) AS best_epoch, round(max(best), 8) AS best_metric, max(stopped_at) AS stopped_at FROM t WHERE stopped_at IS NULL OR epoch <= stopped_at GROUP BY run""")
+SELECT run, max(best_at) AS best_epoch, round(max(best.m), 8) AS best_metric, max(stopped_at) AS stopped_at FROM t WHERE stopped_at IS NULL OR epoch <= stopped_at GROUP BY run""")
 def _(get):
-    return D.best_epoch(get("epochs"), "run", "epoch", "metric", 10)
+    return D.best_epoch(get("epochs"), "run", "epoch", "metric", 10, "nll")
 
 
 @query("w5_best_so_far", "epochs", "SELECT run, epoch, round(max(metric) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING), 8) AS best FROM epochs")
@@ -462,17 +466,13 @@ def _(get):
 @query("a15_latency_percentiles", "log", """, r AS (SELECT verdict, total_ms, row_number() OVER (PARTITION BY verdict ORDER BY total_ms) AS k, count(*) OVER (PARTITION BY verdict) AS n FROM log)
 SELECT verdict, count(*) AS n, round(quantile_cont(total_ms, 0.5), 8) AS p50, round(quantile_cont(total_ms, 0.95), 8) AS p95, round(max(total_ms), 8) AS max_ms, round(max(CASE WHEN k = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT) + 1 THEN total_ms END), 8) AS nearest_p95 FROM r GROUP BY verdict""")
 def _(get):
-    nearest = F.get(F.sort_array(F.collect_list("total_ms")), F.bround(0.95 * (F.count(F.lit(1)) - 1)).cast("int"))
     log = get("log")
-    exact = log.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.percentile("total_ms", 0.5).alias("p50"), F.percentile("total_ms", 0.95).alias("p95"), F.max("total_ms").alias("max_ms"))
-    # Nearest rank by counts of distinct values, so no group is gathered in one row.
-    counts = log.groupBy("verdict", "total_ms").agg(F.count(F.lit(1)).alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("verdict").orderBy("total_ms")))
-    n = log.groupBy("verdict").agg(F.count(F.lit(1)).alias("m"))
-    at = upto.join(F.broadcast(n), "verdict").filter(F.col("upto") >= F.bround(0.95 * (F.col("m") - 1)) + 1)
-    return exact.join(at.groupBy("verdict").agg(F.min("total_ms").alias("nearest_p95")), "verdict")
+    exact = percentiles(log, "total_ms", {"p50": 0.5, "p95": 0.95, "max_ms": 1.0}, ["verdict"])
+    return exact.join(percentiles(log, "total_ms", {"nearest_p95": 0.95}, ["verdict"], nearest=True).drop("n"), "verdict")
 
 
 @query("a16_run_costs", "log", "SELECT user_id % 20 AS run, round(sum(total_ms), 6) AS total, round(median(total_ms), 8) AS median_ms, round(max(total_ms), 8) AS max_ms FROM log GROUP BY 1")
 def _(get):
-    return get("log").groupBy((F.col("user_id") % 20).alias("run")).agg(F.round(F.sum("total_ms"), 6).alias("total"), F.percentile("total_ms", 0.5).alias("median_ms"), F.max("total_ms").alias("max_ms"))
+    log = get("log").withColumn("run", F.col("user_id") % 20)
+    total = log.groupBy("run").agg(F.round(F.sum("total_ms"), 6).alias("total"))
+    return total.join(percentiles(log, "total_ms", {"median_ms": 0.5, "max_ms": 1.0}, ["run"]).drop("n"), "run")

@@ -38,6 +38,14 @@ def forbidden_columns(schema: T.StructType, allowed: set[str], prefix: str = "")
     return out
 
 
+def whitelisted(df: DataFrame, allowed: set[str]) -> DataFrame:
+    """``df``, if its columns, nested ones by their dotted names, are all allowed; else the call fails without reading data."""
+    bad = forbidden_columns(df.schema, allowed)
+    if bad:
+        raise ValueError(f"columns that are not allowed: {', '.join(bad)}")
+    return df
+
+
 def dotted(df: DataFrame) -> DataFrame:
     """Nested structs as flat columns with dotted names."""
 
