@@ -54,3 +54,18 @@ def test_empty_tables(spark):
     assert A.against_originals(none, "class", "value", ("m1",)).isEmpty()
     assert A.factor_rank_correlations(none, ["value"], ["flat"]).isEmpty()
     assert A.paired_differences(none.withColumnRenamed("flat", "real"), ["value"], "sample_id", "real", "class").isEmpty()
+
+
+def test_slots_of_members(spark):
+    schema = "video_id long, slot int, mode string, frames array<struct<member: long, frame: int>>"
+    rows = [(1, 0, "planned", [(0, 4), (1, 4)]), (1, 1, "joint", [(0, 9), (1, 9)]), (1, 2, "individual", [(0, 12), (1, 13)]), (1, 3, "failed", [(0, 17), (1, None)])]
+    found = {r.member: tuple(r)[2:] for r in A.slot_audit(spark.createDataFrame(rows, schema), [4, 8, 12, 16]).collect()}
+    assert found == {0: (4, 2, 1, 0, 1, pytest.approx(1 / 3)), 1: (4, 1, 2, 1, 1, pytest.approx(2 / 3))}
+
+
+def test_degraded_conditions_against_clean(spark):
+    matrix = spark.createDataFrame([("clean", "none", 0.9), ("a", "mild", 0.8), ("b", "mild", 0.6), ("c", "severe", 0.6)], "condition string, severity string, auroc double")
+    assert {r.condition: r.delta for r in A.condition_deltas(matrix, "auroc").collect()} == pytest.approx({"a": -0.1, "b": -0.3, "c": -0.3})
+    found = {r.severity: (r["mean"], r.worst, r.worst_condition) for r in A.severity_summary(matrix, "auroc").collect()}
+    assert {k: v[2] for k, v in found.items()} == {"mild": "b", "severe": "c", "all": "b"}
+    assert found["all"][0] == pytest.approx(2 / 3)

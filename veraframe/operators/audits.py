@@ -108,3 +108,38 @@ def crop_problems(crops: DataFrame, official: DataFrame, references: tuple[str,
         return met.filter(~F.col("own").eqNullSafe(F.col("found_split"))).select(F.lit(code).alias("code"), "key")
 
     return reduce(DataFrame.unionByName, [differ, elsewhere(key, "split"), *[elsewhere(c, c) for c in references]])
+
+
+def slot_audit(resolved: DataFrame, planned: list[int], video: str = "video_id") -> DataFrame:
+    """video, member, slots, planned_slots, recovered_slots, individual_slots, failed_slots and mean_offset.
+
+    ``resolved`` has (video, slot, mode, frames) as slot resolution gives it. A member without a frame, or with another
+    frame than the planned one in a slot that failed for its family, has failed; mean_offset is over its other slots.
+    """
+    at = F.element_at(F.array(*map(F.lit, planned)), F.col("slot") + 1)
+    rows = resolved.select(video, "slot", "mode", F.explode("frames").alias("of")).select(video, "slot", "mode", "of.member", "of.frame", at.alias("planned"))
+    mode = F.when(F.col("frame").isNull(), "failed").when(F.col("frame") == F.col("planned"), "planned").otherwise(F.col("mode"))
+    rows = rows.withColumn("member_mode", mode)
+    is_ = lambda *names: F.col("member_mode").isin(*names)
+    return rows.groupBy(video, "member").agg(
+        F.count(F.lit(1)).alias("slots"),
+        F.count_if(is_("planned")).alias("planned_slots"),
+        F.count_if(is_("joint", "individual")).alias("recovered_slots"),
+        F.count_if(is_("individual")).alias("individual_slots"),
+        F.count_if(is_("failed")).alias("failed_slots"),
+        F.avg(F.when(~is_("failed"), (F.col("frame") - F.col("planned")).cast("double"))).alias("mean_offset"),
+    )
+
+
+def condition_deltas(matrix: DataFrame, metric: str, clean: str = "clean") -> DataFrame:
+    """condition, severity, metric and delta to the clean condition, for all degraded conditions of a matrix."""
+    base = matrix.filter(F.col("condition") == clean).agg(F.max(metric).alias("clean"))  # one row
+    rest = matrix.filter(F.col("condition") != clean)
+    return rest.crossJoin(F.broadcast(base)).select("condition", "severity", metric, (F.col(metric) - F.col("clean")).alias("delta"))
+
+
+def severity_summary(matrix: DataFrame, metric: str, clean: str = "clean") -> DataFrame:
+    """severity (and ``all``), mean, worst and worst_condition of the degraded conditions; ties go to the first name."""
+    rest = matrix.filter(F.col("condition") != clean).withColumn("severity", F.explode(F.array("severity", F.lit("all"))))
+    worst = F.min(F.struct(metric, "condition"))
+    return rest.groupBy("severity").agg(F.avg(metric).alias("mean"), worst[metric].alias("worst"), worst["condition"].alias("worst_condition"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from veraframe.operators import audits as A
 from veraframe.operators import manifests as M
+from veraframe.operators import tracking as T
 from veraframe.operators.metrics import auroc, confusion
 from veraframe.plans.manifest_queries import grouped
+from veraframe.plans.media_queries import PLAN_COUNT, PLANNED, TRIES
 from veraframe.plans.registry import registry
 
 QUERIES, ORACLES, query = registry()
@@ -109,3 +111,45 @@ def _(get):
     own = F.when(F.floor(F.col("source_id").cast("bigint") / 2) % 10 < 8, "train").otherwise("val")
     official = clips.select("sample_id", F.col("official_split").alias("split"))
     return A.crop_problems(clips.withColumn("split", own), official, ("parent_sample_id", "paired_sample_id"))
+
+
+@query("a4_slot_audit", "faces", f""", v AS (SELECT DISTINCT video_id, det_key2 % 2 AS m, frame_index AS f FROM faces), mem AS (SELECT DISTINCT video_id, m FROM v), n AS (SELECT video_id, count(*) AS members FROM mem GROUP BY 1),
+h AS (SELECT v.video_id, m, slot, rank, t.f AS f FROM v JOIN {TRIES} ON t.f = v.f), j AS (SELECT h.video_id, slot, min(rank) AS rank, min_by(f, rank) AS f FROM (SELECT video_id, slot, rank, f, count(*) AS have FROM h GROUP BY ALL) h JOIN n ON n.video_id = h.video_id WHERE have = members GROUP BY ALL),
+o AS (SELECT video_id, m, slot, min_by(f, rank) AS f FROM h GROUP BY ALL), e AS (SELECT mem.video_id, mem.m, s.slot, s.p, j.rank, coalesce(j.f, o.f) AS f FROM mem CROSS JOIN (VALUES {", ".join(f"({i}, {p})" for i, p in enumerate(PLANNED))}) s(slot, p) LEFT JOIN j ON j.video_id = mem.video_id AND j.slot = s.slot LEFT JOIN o ON o.video_id = mem.video_id AND o.m = mem.m AND o.slot = s.slot),
+w AS (SELECT video_id, m, p, f, min(rank) OVER fam AS r, count(*) OVER fam - count(f) OVER fam AS without FROM e WINDOW fam AS (PARTITION BY video_id, slot)),
+y AS (SELECT video_id, m, p, f, CASE WHEN f IS NULL THEN 'failed' WHEN f = p THEN 'planned' WHEN r > 0 THEN 'joint' WHEN without = 0 THEN 'individual' ELSE 'failed' END AS k FROM w)
+SELECT video_id, m AS member, count(*) AS slots, count(*) FILTER (k = 'planned') AS planned_slots, count(*) FILTER (k IN ('joint', 'individual')) AS recovered_slots, count(*) FILTER (k = 'individual') AS individual_slots, count(*) FILTER (k = 'failed') AS failed_slots, round(avg(f - p) FILTER (k <> 'failed'), 8) AS mean_offset FROM y GROUP BY video_id, m""")
+def _(get):
+    valid = get("faces").withColumn("member", F.col("det_key2") % 2)
+    return A.slot_audit(T.resolve_slots(valid, PLANNED, PLAN_COUNT), PLANNED)
+
+
+#: Conditions of the robustness matrix: name, severity, and what becomes of a frame's logit.
+CONDITIONS = (
+    ("clean", "none", "logit"),
+    ("dim", "mild", "logit - 0.05 * q1"),
+    ("bright", "mild", "logit + 0.05 * q2"),
+    ("grain", "moderate", "logit - 0.2 * q3 + 0.1 * q1"),
+    ("smear", "severe", "logit * 0.2 + 0.3 * q2"),
+)
+MATRIX = (
+    ", cv AS (" + " UNION ALL ".join(f"SELECT '{n}' AS condition, '{s}' AS severity, sample_id, max(y) AS y, round(avg({e}), 6) AS score FROM frames GROUP BY sample_id" for n, s, e in CONDITIONS) + "), sd AS (SELECT condition || '/' || severity AS grp, y, score FROM cv)" + AREAS
+    + f", ma AS (SELECT split_part(grp, '/', 1) AS condition, split_part(grp, '/', 2) AS severity, {AREA.replace('round(', '(', 1).replace(', 8)', ')')} FROM ar)"
+)
+
+
+def matrix_of(get) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(n).alias("condition"), F.lit(s).alias("severity"), F.expr(e).alias("score")) for n, s, e in CONDITIONS])
+    frames = get("frames").select("sample_id", "y", F.explode(cells).alias("cell")).select("sample_id", "y", "cell.*")
+    videos = frames.groupBy("condition", "severity", "sample_id").agg(F.max("y").alias("y"), F.round(F.avg("score"), 6).alias("score"))
+    return auroc(videos, "y", "score", ["condition", "severity"])
+
+
+@query("a17_condition_deltas", "frames", MATRIX + " SELECT condition, severity, round(auroc, 8) AS auroc, round(auroc - (SELECT auroc FROM ma WHERE condition = 'clean'), 8) AS delta FROM ma WHERE condition <> 'clean'")
+def _(get):
+    return A.condition_deltas(matrix_of(get), "auroc")
+
+
+@query("a17_severity_summary", "frames", MATRIX + ", de AS (SELECT * FROM ma WHERE condition <> 'clean' UNION ALL SELECT condition, 'all', auroc FROM ma WHERE condition <> 'clean') SELECT severity, round(avg(auroc), 8) AS mean, round(min(auroc), 8) AS worst, min_by(condition, struct_pack(a := auroc, c := condition)) AS worst_condition FROM de GROUP BY severity")
+def _(get):
+    return A.severity_summary(matrix_of(get), "auroc")
