@@ -143,3 +143,40 @@ def severity_summary(matrix: DataFrame, metric: str, clean: str = "clean") -> Da
     rest = matrix.filter(F.col("condition") != clean).withColumn("severity", F.explode(F.array("severity", F.lit("all"))))
     worst = F.min(F.struct(metric, "condition"))
     return rest.groupBy("severity").agg(F.avg(metric).alias("mean"), worst[metric].alias("worst"), worst["condition"].alias("worst_condition"))
+
+
+def acquisition_by_class(expected: DataFrame, found: DataFrame, cls: str = "class", stem: str = "stem") -> DataFrame:
+    """A row a class of what should be there and what is: counts of each kind of problem, bytes, and the range of durations.
+
+    ``expected`` has (class, stem); ``found`` has (class, name, bytes, readable, duration_s), a row a file. Only ``.mp4``
+    files count as found. Names that begin with ``tmp`` are partial downloads; other files, and clips that are not expected,
+    are unexpected. Clips without bytes aren't probed; of the others, those that can't be read are counted, and the rest
+    has durations. A class without files has all its clips missing.
+    """
+    name = F.col("name")
+    is_clip, partial = name.endswith(".mp4"), name.startswith("tmp")
+    files = found.select(F.col(cls), "bytes", "duration_s", is_clip.alias("clip"), partial.alias("partial"), F.coalesce("readable", F.lit(False)).alias("readable"), F.when(is_clip, F.regexp_replace(name, r"\.mp4$", "")).alias(stem))
+    both = expected.select(cls, stem).distinct().withColumn("wanted", F.lit(True)).join(files, [cls, stem], "full")
+    clip, wanted, probed = F.coalesce("clip", F.lit(False)), F.coalesce("wanted", F.lit(False)), F.coalesce(F.col("clip") & (F.col("bytes") > 0), F.lit(False))
+    good = F.when(probed & F.col("readable"), F.col("duration_s"))
+    # Expected clips that several files have would count more than once.
+    return both.groupBy(cls).agg(
+        F.count_distinct(F.when(wanted, F.col(stem))).alias("expected"),
+        F.count_if(clip).alias("found"),
+        F.coalesce(F.sum(F.when(clip, F.col("bytes"))), F.lit(0)).alias("total_bytes"),
+        F.count_if(wanted & ~clip).alias("missing"),
+        F.count_if((clip & ~wanted) | (F.col("clip").isNotNull() & ~clip & ~F.col("partial"))).alias("unexpected"),
+        F.count_if(clip & (F.col("bytes") == 0)).alias("zero_byte"),
+        F.count_if(F.coalesce("partial", F.lit(False))).alias("partial_downloads"),
+        F.count_if(probed & ~F.col("readable")).alias("unreadable"),
+        F.min(good).alias("duration_s_min"),
+        F.max(good).alias("duration_s_max"),
+    )
+
+
+def probe_histograms(found: DataFrame, cls: str = "class") -> DataFrame:
+    """(class, measure, value, files): how many readable clips have which resolution and which codec."""
+    read = found.filter(F.col("name").endswith(".mp4") & (F.col("bytes") > 0) & F.col("readable"))
+    size = F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string"))
+    cells = F.array(F.struct(F.lit("resolution").alias("measure"), size.alias("value")), F.struct(F.lit("codec").alias("measure"), F.col("codec").alias("value")))
+    return read.select(cls, F.explode(cells).alias("cell")).groupBy(cls, "cell.measure", "cell.value").agg(F.count(F.lit(1)).alias("files"))

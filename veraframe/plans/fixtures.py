@@ -91,6 +91,20 @@ FROM {supplier}""",
     "docs": "SELECT doc_id, text, source FROM {documents}",
     "epochs": """
 SELECT user_id % 20 AS run, event_id, CAST(row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS INT) AS epoch, CAST(floor(abs(value) / 20.0) AS DOUBLE) AS metric, CAST(event_id % 13 AS DOUBLE) AS nll
+FROM {events}""",
+    "listing": """
+SELECT key, CASE key % 3 WHEN 0 THEN 'original' WHEN 1 THEN 'm1' ELSE 'm2' END AS class, CAST(key AS STRING) AS stem,
+       CASE WHEN key % 23 = 5 THEN concat('tmp', CAST(key AS STRING)) WHEN key % 29 = 7 THEN concat('x', CAST(key AS STRING), '.mp4') WHEN key % 31 = 9 THEN concat(CAST(key AS STRING), '.txt') ELSE concat(CAST(key AS STRING), '.mp4') END AS name,
+       CASE WHEN key % 37 = 11 THEN 0 ELSE 1000 * size END AS bytes, key % 41 <> 13 AS readable, 0.5 * CAST(size AS DOUBLE) AS duration_s,
+       CASE WHEN key % 4 = 0 THEN 1280 ELSE 640 END AS width, CASE WHEN key % 4 = 0 THEN 720 ELSE 480 END AS height, CASE WHEN key % 5 = 0 THEN 'hevc' ELSE 'h264' END AS codec
+FROM (SELECT CAST(p_partkey AS BIGINT) AS key, CAST(p_size AS BIGINT) AS size FROM {part}) t""",
+    "stores": """
+SELECT event_id AS asset_id, event_id % 3 AS kind, event_id % 4 AS timing, user_id % 3 AS org, CASE WHEN event_id % 101 = 17 THEN '{"manifests": broken' ELSE concat('{"active_manifest":"m1","manifests":{"m0":{},"m1":{"title":"',
+       event_type, '","signature_info":{"issuer":"Org ', CAST(user_id % 3 AS STRING), '"', CASE WHEN event_id % 4 = 0 THEN ',"time":"2024"' ELSE '' END,
+       '},"assertions":[{"label":"c2pa.hash","data":{}},{"label":"c2pa.actions.v2","data":{"actions":[{"action":"', CASE WHEN event_id % 2 = 0 THEN 'c2pa.created' ELSE 'made' END,
+       '","softwareAgent":', CASE WHEN event_id % 2 = 0 THEN '{"name":"Tool"}' ELSE '"www.tool"' END, ',"digitalSourceType":"http://cv.iptc.org/newscodes/digitalsourcetype/', CASE event_id % 3 WHEN 0 THEN 'trainedAlgorithmicMedia' WHEN 1 THEN 'digitalCapture' ELSE 'unheard' END,
+       '"},{"action":"c2pa.edited"}]}}],"ingredients":[{"title":"part","relationship":"', CASE WHEN event_id % 5 = 0 THEN 'parentOf' ELSE 'cousinOf' END, '","active_manifest":"m0"}]}},"validation_results":{"activeManifest":{"success":[{"code":"',
+       CASE WHEN event_id % 4 = 1 THEN 'timeStamp.trusted' ELSE 'claimSignature.validated' END, '"}],"failure":[{"code":"', CASE WHEN event_id % 4 = 2 THEN 'timeStamp.mismatch' ELSE 'not a code' END, '"}]}}}') END AS store, event_type
 FROM {events}""",
     "raw_lines": """
 SELECT o_orderkey AS line_no,
