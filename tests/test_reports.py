@@ -7,6 +7,7 @@ import pytest
 
 from veraframe.functions import provenance as P
 from veraframe.functions.augmentation import augmentation_plan
+from veraframe.functions.sampling import family_plans, nested_plans
 from veraframe.operators import audits as A
 from veraframe.operators import decisions as D
 from veraframe.operators import sweeps as W
@@ -88,3 +89,24 @@ def test_calibration_fits_against_plain_python(spark):
     losses = {(r.part, r.scaling): r for r in W.calibration_losses(scores, ["z"], "y", "k", "part").collect()}
     assert losses["temperature", "scaled"].nll <= losses["temperature", "raw"].nll
     assert losses["dev", "raw"].n == len(dev)
+
+
+def test_frame_plans(spark):
+    counts = [None, -3, 0, 1, 2, 15, 16, 17, 100, 3_000_000_000]
+    rows = spark.createDataFrame(list(enumerate(counts)), "id int, n long")
+    for r in nested_plans(rows, "n").collect():
+        n = max(r.n or 0, 0)
+        m = min(16, n)
+        want = [0] * (m == 1) if m < 2 else sorted({round(i * (n - 1) / (m - 1)) for i in range(m)})
+        assert (r.plan_16, r.plan_8, r.plan_4) == (want, want[::2], want[::4])
+    families = spark.createDataFrame([(1, 40), (1, 16), (2, 40), (2, 15), (3, None), (3, 90), (None, 20)], "f int, n int")
+    got = {r.f: (r.members, r.shared, r.plan and len(r.plan)) for r in family_plans(families, "f", "n").collect()}
+    assert got == {1: (2, 16, 16), 2: (2, 15, None), 3: (2, 0, None), None: (1, 20, 16)}
+
+
+def test_decisions_that_agree(spark):
+    schema = "sample_id string, y int, verdict string, frames_used int"
+    a = spark.createDataFrame([("p", 0, D.FAKE, 4), ("q", 0, D.REAL, 8), ("r", 1, D.FAKE, 4), ("only", 0, D.FAKE, 4)], schema)
+    b = spark.createDataFrame([("p", 0, D.FAKE, 4), ("q", 0, D.FAKE, 16), ("r", 1, D.UNCERTAIN, 4)], schema)
+    assert tuple(D.decision_agreement(a, b).first()) == (3, 1, pytest.approx(1 / 3), pytest.approx(2 / 3), 1, 2, 1)
+    assert tuple(D.decision_agreement(a.limit(0), b.limit(0)).first()) == (0, 0, None, None, 0, 0, 0)

@@ -218,3 +218,22 @@ def best_epoch(log: DataFrame, run: str, epoch: str, metric: str, patience: int,
     stop = seen.groupBy(run).agg(F.min(F.when(F.col("since") >= patience, F.col(epoch))).alias("stopped_at"))
     live = seen.join(stop, run).filter(F.col("stopped_at").isNull() | (F.col(epoch) <= F.col("stopped_at")))
     return live.groupBy(run).agg(F.max("best_at").alias("best_epoch"), F.max("best.metric").alias("best_metric"), F.first("stopped_at").alias("stopped_at"))
+
+
+def decision_agreement(a: DataFrame, b: DataFrame, video: str = "sample_id", y: str = "y") -> DataFrame:
+    """One row on two variants' decisions of the same videos: n, how often verdicts and used frames agree, and in how many
+    real videos each, and only the second, sees a fake. Videos that one variant lacks count in ``unmatched`` alone."""
+    left = a.select(video, F.col(y).alias("y"), F.col("verdict").alias("va"), F.col("frames_used").alias("ka"))
+    both = left.join(b.select(video, F.col("verdict").alias("vb"), F.col("frames_used").alias("kb")), video, "full")
+    met, real = F.col("va").isNotNull() & F.col("vb").isNotNull(), F.col("y") == 0
+    share = lambda c: F.avg(F.when(met, c.cast("double")))
+    accused = lambda c: F.col(c) == FAKE
+    return both.agg(
+        F.count_if(met).alias("n"),
+        F.count_if(~met).alias("unmatched"),
+        share(F.col("va") == F.col("vb")).alias("verdict_agreement"),
+        share(F.col("ka") == F.col("kb")).alias("frames_agreement"),
+        F.count_if(met & real & accused("va")).alias("false_accusations_a"),
+        F.count_if(met & real & accused("vb")).alias("false_accusations_b"),
+        F.count_if(met & real & accused("vb") & ~accused("va")).alias("new_false_accusations"),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veraframe.functions import provenance as P
 from veraframe.functions.augmentation import augmentation_plan
+from veraframe.functions.sampling import family_plans, nested_plans
 from veraframe.operators import audits as A
 from veraframe.operators import decisions as D
 from veraframe.operators import manifests as M
@@ -97,3 +98,44 @@ def _(get):
 @query("m17_calibration_losses")
 def _(get):
     return W.calibration_losses(calibration_parts(get), ["score_4", "score_16"], "y", "sample_id", "partition")
+
+
+PLAN_SQL = """, m AS (SELECT {key} AS key, {n} AS n, least(16, {n}) AS m FROM {table}), i AS (SELECT key, n, m, unnest(range(m)) AS i FROM m), p AS (SELECT DISTINCT key, CASE WHEN m = 1 THEN 0 ELSE CAST(round_even(i * (n - 1) / (m - 1), 0) AS BIGINT) END AS f FROM i), k AS (SELECT key, f, row_number() OVER (PARTITION BY key ORDER BY f) - 1 AS pos FROM p)"""
+
+
+def shown(c: str):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+
+
+@query("d9_nested_plans", "media", PLAN_SQL.format(key="media_id", n="frame_count", table="media") + """ SELECT key AS media_id, string_agg(CAST(f AS VARCHAR), ',' ORDER BY f) AS plan_16, string_agg(CAST(f AS VARCHAR), ',' ORDER BY f) FILTER (pos % 2 = 0) AS plan_8, string_agg(CAST(f AS VARCHAR), ',' ORDER BY f) FILTER (pos % 4 = 0) AS plan_4 FROM k GROUP BY key""")
+def _(get):
+    return nested_plans(get("media"), "frame_count").select("media_id", shown("plan_16"), shown("plan_8"), shown("plan_4"))
+
+
+@query("d9_family_plans", "media", ", fa AS (SELECT media_id // 4 AS family, count(*) AS members, CAST(min(frame_count // 4) AS INT) AS shared FROM media GROUP BY 1), ok AS (SELECT family, shared FROM fa WHERE shared >= 16)" + PLAN_SQL.format(key="family", n="shared", table="ok") + """, t AS (SELECT key, string_agg(CAST(f AS VARCHAR), ',' ORDER BY f) AS plan FROM k GROUP BY key)
+SELECT family, members, shared, plan FROM fa LEFT JOIN t ON t.key = fa.family""")
+def _(get):
+    rows = get("media").select(F.expr("media_id div 4").alias("family"), F.expr("cast(frame_count div 4 as int)").alias("frames"))
+    return family_plans(rows, "family", "frames").select("family", "members", "shared", shown("plan"))
+
+
+HYBRID = D.Gate(1.0, 1.0, 3.0, noise_max=0.5)
+
+
+@query("p9_hybrid_flags", "frames", "SELECT sample_id, slot, q1 < 1.0 AS low_sharpness, q2 < 1.0 AS low_resolution, q3 > 3.0 AS high_compression, logit > 0.5 AS high_noise FROM frames")
+def _(get):
+    flags = HYBRID.flags(*[F.col(c) for c in ("q1", "q2", "q3", "logit")])
+    return get("frames").select("sample_id", "slot", *[f.alias(c.lower()) for c, f in flags.items()])
+
+
+SECOND = DECIDE_SQL.lstrip(", ").replace("FROM frames ", "FROM second ")
+
+
+@query("a22_decision_agreement", "frames", DECIDE_SQL + f""", second AS (SELECT * REPLACE (logit + 0.1 * (slot - 8) AS logit) FROM frames), o AS (SELECT sample_id, verdict, frames_used FROM (WITH {SECOND} SELECT * FROM decisions) z),
+j AS (SELECT d.y, d.verdict AS va, o.verdict AS vb, d.frames_used AS ka, o.frames_used AS kb FROM decisions d JOIN o USING (sample_id))
+SELECT count(*) AS n, 0 AS unmatched, round(avg((va = vb)::INT), 8) AS verdict_agreement, round(avg((ka = kb)::INT), 8) AS frames_agreement, count(*) FILTER (y = 0 AND va = 'likely_manipulated') AS false_accusations_a, count(*) FILTER (y = 0 AND vb = 'likely_manipulated') AS false_accusations_b,
+  count(*) FILTER (y = 0 AND vb = 'likely_manipulated' AND va <> 'likely_manipulated') AS new_false_accusations FROM j""")
+def _(get):
+    other = get("frames").withColumn("logit", F.col("logit") + 0.1 * (F.col("slot") - 8))
+    second = D.adaptive(D.stage_scores(other, [4, 8, 16], keep=["y", "method"]), STAGES)
+    return D.decision_agreement(decisions_of(get), second)
