@@ -11,6 +11,7 @@ from veraframe.functions.sampling import family_plans, nested_plans
 from veraframe.operators import audits as A
 from veraframe.operators import decisions as D
 from veraframe.operators import sweeps as W
+from veraframe.operators.metrics import agreement_summary
 
 FILES = "class string, name string, bytes long, readable boolean, duration_s double, width int, height int, codec string"
 
@@ -110,3 +111,9 @@ def test_decisions_that_agree(spark):
     b = spark.createDataFrame([("p", 0, D.FAKE, 4), ("q", 0, D.FAKE, 16), ("r", 1, D.UNCERTAIN, 4)], schema)
     assert tuple(D.decision_agreement(a, b).first()) == (3, 1, pytest.approx(1 / 3), pytest.approx(2 / 3), 1, 2, 1)
     assert tuple(D.decision_agreement(a.limit(0), b.limit(0)).first()) == (0, 0, None, None, 0, 0, 0)
+
+
+def test_agreement_summary(spark):
+    rows = spark.createDataFrame([(0.5,), (0.1,), (-0.2,), (None,)], "rho double")
+    assert tuple(agreement_summary(rows, "rho", 0.1).first()) == (3, pytest.approx(2 / 3), pytest.approx(-0.14), pytest.approx(0.1))
+    assert tuple(agreement_summary(rows.limit(0), "rho", 0.1).first()) == (0, None, None, None)

@@ -203,3 +203,12 @@ def statistics_by(df: DataFrame, value: str, keys: tuple[str, ...]) -> DataFrame
     every += [F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in keys]
     rows = df.select(F.col(value).alias("v"), F.explode(F.array(*every)).alias("k"))
     return rows.groupBy("k.key", "k.value").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
+
+
+def agreement_summary(df: DataFrame, value: str, at_least: float) -> DataFrame:
+    """One row on the rank agreements of items: n, pass_rate (the share of ``at_least`` or more), p10 and median, over those
+    that are not null; without any, n is 0 and the rest null."""
+    known = df.filter(F.col(value).isNotNull())
+    rate = known.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(value) >= at_least).cast("double")).alias("pass_rate"))
+    middle = percentiles(known, value, {"p10": 0.1, "median": 0.5}).drop("n")
+    return rate.join(middle, how="left")  # one row each

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veraframe.functions import provenance as P
@@ -10,6 +11,7 @@ from veraframe.functions.sampling import family_plans, nested_plans
 from veraframe.operators import audits as A
 from veraframe.operators import decisions as D
 from veraframe.operators import manifests as M
+from veraframe.operators import metrics
 from veraframe.operators import sweeps as W
 from veraframe.plans.media_queries import UNIT
 from veraframe.plans.registry import registry
@@ -139,3 +141,14 @@ def _(get):
     other = get("frames").withColumn("logit", F.col("logit") + 0.1 * (F.col("slot") - 8))
     second = D.adaptive(D.stage_scores(other, [4, 8, 16], keep=["y", "method"]), STAGES)
     return D.decision_agreement(decisions_of(get), second)
+
+
+@query("m26_agreement_summary", "thumbs", """, p AS (SELECT a.vec_id, unnest(range(64)) AS i, unnest(a.embedding) AS x, unnest(b.embedding) AS y FROM thumbs a JOIN thumbs b ON b.vec_id = a.vec_id + 1), r AS (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY x, i) AS rx, row_number() OVER (PARTITION BY vec_id ORDER BY y, i) AS ry FROM p),
+c AS (SELECT vec_id, round(corr(rx, ry), 6) AS rho FROM r GROUP BY 1) SELECT count(*) AS n, round(avg((rho >= 0.1)::INT), 8) AS pass_rate, round(quantile_cont(rho, 0.1), 8) AS p10, round(quantile_cont(rho, 0.5), 8) AS median FROM c""")
+def _(get):
+    t = get("thumbs").select("vec_id", "embedding")
+    both = t.join(t.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
+    items = both.select("vec_id", F.explode(F.arrays_zip("embedding", "other", F.sequence(F.lit(0), F.lit(63)).alias("i"))).alias("z")).select("vec_id", "z.*")
+    rank = lambda c: F.row_number().over(Window.partitionBy("vec_id").orderBy(c, "i"))
+    rho = items.withColumns({"rx": rank("embedding"), "ry": rank("other")}).groupBy("vec_id").agg(F.round(F.corr("rx", "ry"), 6).alias("rho"))
+    return metrics.agreement_summary(rho, "rho", 0.1)
