@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veraframe.llm import bpe, exact_dedup, html_extract, jaccard_join, language_id, media_columns, mixing, sharding, token_counts, warc
+from veraframe.llm import bpe, chat_format, exact_dedup, html_extract, importance_resampling, jaccard_join, language_id, media_columns, mixing, prefix_trie, sharding, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_importance_resampling": importance_resampling.op11_importance_resampling,
+    "op12_chat_format": chat_format.op12_chat_format,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES = {
     "op8_mixing": mixing.oracle(),
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op12_chat_format": chat_format.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }
