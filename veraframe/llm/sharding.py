@@ -6,7 +6,7 @@ all three are numbered and take a cell for each such number of rows. Loads are s
 input. In each round every unplaced cell asks the next virtual node clockwise whose shard is not full; a shard takes its
 largest askers that fit under ``(1 + slack) * mean``, and the rest goes on clockwise. Once rounds place little, a shard
 takes askers as long as it is below the bound, so a round that leaves cells over fills a shard: the rounds end, and no
-shard ends above the bound by more than one cell. The few cells that overflow move, all others stay with the owner that plain consistent hashing gives them.
+shard ends above the bound by more than one cell. Cells that are all larger than the bound go that way from the first round. The few cells that overflow move, all others stay with the owner that plain consistent hashing gives them.
 A row's slot is the number of rows in earlier cells of its shard plus its place within its cell.
 
 Only DataFrame functions are used. Defined cases: an empty table gives no rows; a null text has size ``ROW_BYTES``
@@ -64,7 +64,7 @@ def place(loads: DataFrame, shards: int, virtual_nodes: int = VIRTUAL_NODES, sla
     bound = -(-total * (1 + slack) // shards)
     nodes = materialise(ring(spark, shards, virtual_nodes), "ring")
     room = {s: bound for s in range(shards)}  # one number a shard
-    asking, placed, fits = loads.withColumn("from", F.col("cell")), [], True
+    asking, placed, fits = loads.withColumn("from", F.col("cell")), [], left > 0 and bound >= least
     for turn in range(4 * shards):
         if not left:
             break
@@ -86,6 +86,8 @@ def place(loads: DataFrame, shards: int, virtual_nodes: int = VIRTUAL_NODES, sla
         asking = asked.filter("not taken").select("cell", "load", "n", ((F.col("to") + 1) % CELLS).alias("from"))
         least = asking.agg(F.min("load")).first()[0]
         fits = fits and left > 0 and max(room.values()) >= least
+    if left:
+        raise RuntimeError(f"{left} cells were not placed on the ring")
     return reduce(DataFrame.unionByName, placed) if placed else loads.withColumns({"shard": F.lit(0), "turns": F.lit(0)})
 
 
