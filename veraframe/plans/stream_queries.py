@@ -65,6 +65,26 @@ def t3_online_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(jobs.online_tracks(streamed(faces.select("video_id", "frame_index", "det_key", "confidence", "x", "y", "w", "h", *LANDMARKS), "faces")))
 
 
+def closing(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` as a stream, with a row a day later (and -1 in ``key``) that lets the watermark pass all others."""
+    last = df.agg(*[(F.max(c) + F.expr("INTERVAL 1 DAY") if c == "ts" else F.lit(-1).cast(t) if c == key else F.max(c)).alias(c) for c, t in df.dtypes])
+    return streamed(df.unionByName(last).repartition(1), name)
+
+
+def t3_ordered_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames are a second apart; a frame is linked when the watermark has passed it."""
+    faces = view(spark, sf_dir, "faces").select("video_id", "frame_index", "det_key", "confidence", "x", "y", "w", "h", *LANDMARKS, F.timestamp_seconds(F.col("frame_index") + 1_000_000).alias("ts"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return drained(jobs.ordered_tracks(closing(faces, "video_id", "faces"))).filter("video_id <> -1")
+
+
+def t1_timed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every video is decided, those short of frames when the watermark passes their end."""
+    frames = view(spark, sf_dir, "frames").select("sample_id", "slot", "logit", F.timestamp_seconds(F.col("slot") + 1_000_000).alias("ts"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return drained(jobs.timed_decisions(closing(frames, "sample_id", "frames"), STAGES)).filter("sample_id <> '-1'")
+
+
 def t4_incremental_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veraframe.functions.scoring import score_frames
     from veraframe.plans.media_queries import linear_scorer
@@ -88,10 +108,11 @@ def t6_manifest_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(bad).groupBy("issue").agg(F.count(F.lit(1)).alias("n")).unionByName(spark.read.parquet(good).agg(F.lit("ok").alias("issue"), F.count(F.lit(1)).alias("n")))
 
 
-for f in (t1_early_decisions, t2_verdict_monitor, t2_sliding_monitor, t2_user_sessions, t3_online_tracks, t4_incremental_scores, t5_run_log_tables, t6_manifest_intake):
+for f in (t1_early_decisions, t1_timed_decisions, t2_verdict_monitor, t2_sliding_monitor, t2_user_sessions, t3_online_tracks, t3_ordered_tracks, t4_incremental_scores, t5_run_log_tables, t6_manifest_intake):
     QUERIES[f.__name__] = f
 
 ORACLES["t1_early_decisions"] = duck("frames", DECIDE_SQL + "SELECT sample_id, verdict, frames_used FROM decisions WHERE reason NOT LIKE 'insufficient%'")
+ORACLES["t1_timed_decisions"] = duck("frames", DECIDE_SQL + "SELECT sample_id, verdict, reason, frames_used FROM decisions")
 ORACLES["t2_verdict_monitor"] = duck("log", "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start_s, verdict, count(*) AS n, round(avg(total_ms), 8) AS mean_ms FROM log GROUP BY 1, 2")
 ORACLES["t2_sliding_monitor"] = duck("log", "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) - back * 3600 AS start_s, verdict, count(*) AS n, round(avg(total_ms), 8) AS mean_ms FROM log, (VALUES (0), (1)) b(back) GROUP BY 1, 2")
 ORACLES["t2_user_sessions"] = duck("log", ", g AS (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM log) SELECT user_id, CAST(sum(opens) AS BIGINT) AS sessions, count(*) AS events FROM g GROUP BY 1")

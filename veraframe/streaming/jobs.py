@@ -29,6 +29,22 @@ def _stage_verdict(mean: float, s: Stage) -> str | None:
     return (REAL if real else FAKE) if real != fake else None
 
 
+def _decision(stages: list[Stage], logits: dict[int, float], final: bool) -> tuple[str, str, int] | None:
+    """(verdict, reason, frames used) that the frames seen allow; ``final`` decides for want of frames where they allow none."""
+    used = 0
+    for s in stages:
+        slots = range(0, FULL, FULL // s.k)
+        if any(x not in logits for x in slots):
+            return (UNCERTAIN, f"insufficient_frames_for_k{s.k}", used) if final else None
+        used = s.k
+        found = _stage_verdict(sum(logits[x] for x in slots) / s.k, s)
+        if s is stages[-1]:
+            return (found, f"final_k{s.k}_singleton", s.k) if found else (UNCERTAIN, f"final_k{s.k}_uncertain", s.k)
+        if found:
+            return found, f"confident_singleton_k{s.k}", s.k
+    return None
+
+
 def early_decisions(frames: DataFrame, stages: list[Stage], timeout_ms: int | None = None) -> DataFrame:
     """A decision per video as soon as its frames allow one: frames (sample_id, slot, logit) arrive in any order.
 
@@ -36,20 +52,6 @@ def early_decisions(frames: DataFrame, stages: list[Stage], timeout_ms: int | No
     once. With a timeout, a video whose frames stay away is decided as uncertain for want of frames.
     """
 
-    def decide(logits: dict[int, float], final: bool) -> tuple[str, str, int] | None:
-        used = 0
-        for s in stages:
-            slots = range(0, FULL, FULL // s.k)
-            if any(x not in logits for x in slots):
-                return (UNCERTAIN, f"insufficient_frames_for_k{s.k}", used) if final else None
-            used = s.k
-            found = _stage_verdict(sum(logits[x] for x in slots) / s.k, s)
-            if s is stages[-1]:
-                return (found, f"final_k{s.k}_singleton", s.k) if found else (UNCERTAIN, f"final_k{s.k}_uncertain", s.k)
-            if found:
-                return found, f"confident_singleton_k{s.k}", s.k
-        return None
-
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done, slots, values = state.get if state.exists else (False, [], [])
         logits = dict(zip(slots, values, strict=True))
@@ -57,7 +59,7 @@ def early_decisions(frames: DataFrame, stages: list[Stage], timeout_ms: int | No
             for pdf in batches:
                 for slot, logit in zip(pdf["slot"], pdf["logit"], strict=True):
                     logits.setdefault(int(slot), float(logit))
-        found = None if done else decide(logits, state.hasTimedOut)
+        found = None if done else _decision(stages, logits, state.hasTimedOut)
         done = done or found is not None
         if state.hasTimedOut:
             state.remove()
@@ -72,6 +74,61 @@ def early_decisions(frames: DataFrame, stages: list[Stage], timeout_ms: int | No
     return frames.groupBy("sample_id").applyInPandasWithState(step, DECISION, "done boolean, slots array<int>, logits array<double>", "append", timeout)
 
 
+class EarlyDecider(StatefulProcessor):
+    """Decides a video as its frames come, with its end in event time.
+
+    The state is the logits by slot (at most FULL), or a mark once the video is decided. A timer stands ``hold_ms`` after the video's
+    latest frame; when the watermark passes it, a video without a decision is decided for want of frames and the state goes.
+    Frames that old are behind the watermark and dropped, so they can't open a decided video again.
+    """
+
+    def __init__(self, stages: list[Stage], hold_ms: int) -> None:
+        self.stages, self.hold_ms = stages, hold_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("video", "done boolean, until long, slots array<int>, logits array<double>")
+
+    def decided(self, key: tuple, found: tuple[str, str, int]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *found)], columns=["sample_id", "verdict", "reason", "frames_used"]).astype({"frames_used": "int32"})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        done, until, slots, values = self.state.get() if self.state.exists() else (False, None, [], [])
+        logits, latest = dict(zip(slots, values, strict=True)), until
+        for pdf in rows:
+            latest = max(latest or 0, int(pdf["at_ms"].max()) + self.hold_ms)
+            for slot, logit in zip(pdf["slot"], pdf["logit"], strict=True):
+                logits.setdefault(int(slot), float(logit))
+        if latest != until:
+            if until is not None:
+                self.handle.deleteTimer(until)
+            self.handle.registerTimer(latest)
+        found = None if done else _decision(self.stages, logits, False)
+        done = done or found is not None
+        self.state.update((done, latest, [] if done else list(logits), [] if done else list(logits.values())))
+        if found:
+            yield self.decided(key, found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        done, _, slots, values = self.state.get()
+        self.state.clear()
+        if not done:
+            yield self.decided(key, _decision(self.stages, dict(zip(slots, values, strict=True)), True))
+
+    def close(self) -> None:
+        pass
+
+
+def timed_decisions(frames: DataFrame, stages: list[Stage], late: str = "10 minutes", hold_ms: int = 60_000) -> DataFrame:
+    """A decision per video of frames (sample_id, slot, logit, ts) in any order, and none twice; see :class:`EarlyDecider`.
+
+    Of frames with the same slot in one batch, any one counts. A video that goes on more than ``hold_ms`` after its latest frame is a new one.
+    Rows without an id belong to no video and are left out.
+    """
+    marked = timed(frames).filter("sample_id IS NOT NULL").withWatermark("ts", late).withColumn("at_ms", F.unix_millis("ts"))
+    return marked.groupBy("sample_id").transformWithStateInPandas(EarlyDecider(stages, hold_ms), DECISION, "append", "eventTime")
+
+
 def timed(log: DataFrame, ts: str = "ts") -> DataFrame:
     """``log`` with its time as a timestamp, which event time must be; one without a zone is taken in the session's."""
     return log.withColumn(ts, F.col(ts).cast("timestamp"))
@@ -163,3 +220,66 @@ class OnlineTracker(StatefulProcessor):
 def online_tracks(faces: DataFrame, iou_min: float = 0.3, max_gap: int = 2, ttl_ms: int | None = None) -> DataFrame:
     tracker = OnlineTracker(iou_min, max_gap, ttl_ms)
     return faces.groupBy("video_id").transformWithStateInPandas(tracker, "video_id long, frame_index int, det_key long, track int", "append", "none" if ttl_ms is None else "processingTime")
+
+
+class BufferedTracker(OnlineTracker):
+    """An :class:`OnlineTracker` that holds detections back until the watermark passes them, and links frames in order.
+
+    Frames may come shuffled within the watermark's delay. The state is what lies after the watermark, and the open tracks;
+    when the watermark is ``hold_ms`` past a video's last frame, both go. A video has one timer, at its first waiting frame or its end.
+    """
+
+    def __init__(self, iou_min: float = 0.3, max_gap: int = 2, hold_ms: int = 60_000) -> None:
+        super().__init__(iou_min, max_gap)
+        self.hold_ms = hold_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at_ms long, frame_index int, det_key long, " + ", ".join(f"{c} double" for c in self.MEASURES))
+        self.times = handle.getValueState("times", "timer long, until long")
+
+    MEASURES = ("confidence", "x", "y", "w", "h", *LANDMARKS)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = pd.concat(list(rows))
+        held = pdf[["at_ms", "frame_index", "det_key", *self.MEASURES]]
+        self.waiting.appendList([(int(r[0]), int(r[1]), int(r[2]), *map(float, r[3:])) for r in held.itertuples(index=False, name=None)])
+        first, last = int(pdf["at_ms"].min()), int(pdf["at_ms"].max())
+        timer, end = self.times.get() if self.times.exists() else (None, last + self.hold_ms)
+        if timer is not None and first < timer:
+            self.handle.deleteTimer(timer)
+        if timer is None or first < timer:
+            self.handle.registerTimer(first)
+        self.times.update((first if timer is None else min(first, timer), max(end, last + self.hold_ms)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, rows = timerValues.getCurrentWatermarkInMs(), [tuple(r) for r in self.waiting.get()]
+        ready, rest = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
+        _, end = self.times.get()
+        out = []
+        if ready:
+            pdf = pd.DataFrame([(key[0], *r[1:]) for r in ready], columns=["video_id", "frame_index", "det_key", *self.MEASURES])
+            out = list(super().handleInputRows(key, iter([pdf]), timerValues))
+            self.waiting.clear()
+            if rest:
+                self.waiting.appendList(rest)
+        if rest or end > now:
+            following = min([r[0] for r in rest] + [end])
+            self.handle.registerTimer(following)
+            self.times.update((following, end))
+        else:
+            self.state.clear()
+            self.times.clear()
+        yield from out
+
+
+def ordered_tracks(faces: DataFrame, late: str = "10 seconds", iou_min: float = 0.3, max_gap: int = 2, hold_ms: int = 60_000) -> DataFrame:
+    """The batch tracker's tracks of a stream whose frames (with their time ``ts``) come in any order within ``late``.
+
+    Later detections are dropped. A video's frames must be in the order of their times. Rows without a video are left out
+    (a null key's timers were seen to keep those of other keys from firing).
+    """
+    marked = timed(faces).filter("video_id IS NOT NULL").withWatermark("ts", late).withColumn("at_ms", F.unix_millis("ts"))
+    return marked.groupBy("video_id").transformWithStateInPandas(BufferedTracker(iou_min, max_gap, hold_ms), "video_id long, frame_index int, det_key long, track int", "append", "eventTime")
