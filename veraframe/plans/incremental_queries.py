@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veraframe.functions.scoring import score_frames
 from veraframe.plans.media_queries import linear_scorer
 from veraframe.plans.registry import registry
+from veraframe.sources import media_files as MF
 from veraframe.sources import score_cache as SC
 from veraframe.sources.shared import new_path
 from veraframe.streaming import monitoring as MO
@@ -63,3 +64,33 @@ def _(get):
     for _ in range(2):
         SC.fill(t, ["vec_id"], "sha256", path, "linear-1", "v1", score)
     return SC.consolidated(t, ["vec_id"], "sha256", ["vec_id"], path, "linear-1", "v1").select("vec_id", F.round("logit", 6).alias("logit"))
+
+
+#: A file for each part, by its key modulo 12: three formats of pictures and videos, and every fault. Lengths of videos are those of the part's size.
+FILES = """SELECT p_partkey AS media_id, p_size, CONCAT(CASE WHEN p_partkey % 24 < 12 THEN 'a/' ELSE 'b/c/' END, CAST(p_partkey AS STRING),
+  CASE WHEN p_partkey % 12 IN (0, 3, 9) THEN '.JPG' WHEN p_partkey % 12 IN (1, 6) THEN '.png' WHEN p_partkey % 12 = 4 THEN '.txt' WHEN p_partkey % 12 = 10 THEN '.webm' WHEN p_partkey % 12 = 11 THEN '.avi' ELSE '.mp4' END) AS path,
+  unhex(CASE WHEN p_partkey % 12 IN (0, 4) THEN 'FFD8FFE0' WHEN p_partkey % 12 = 1 THEN '89504E470D0A1A0A' WHEN p_partkey % 12 = 3 THEN '' WHEN p_partkey % 12 = 5 THEN '00010203'
+    WHEN p_partkey % 12 = 8 THEN '000000106674797069736F6D00000000' WHEN p_partkey % 12 = 9 THEN CONCAT('FFD8FF', repeat('00', 1000))
+    WHEN p_partkey % 12 = 10 THEN '1A45DFA3801853806701FFFFFFFFFFFFFF1549A9668E2AD7B1830F4240448984459C4000'
+    WHEN p_partkey % 12 = 11 THEN CONCAT('5249464600000000415649204C495354000000006864726C6176696838000000409C0000', repeat('00', 12), lpad(hex(p_size), 2, '0'), '000000')
+    ELSE CONCAT('000000106674797069736F6D00000000000000246D6F6F760000001C6D766864', repeat('00', 12), '000003E8', lpad(hex(p_size * 800), 8, '0')) END) AS content
+FROM parquet.`{at}/part.parquet`"""
+
+
+def s9_media_files(spark, sf_dir: str) -> DataFrame:
+    made, root = spark.sql(FILES.format(at=sf_dir)), new_path(spark, "media")
+    MF.write_files(made.filter("media_id % 12 <> 7"), "path", "content", root)
+    folder = spark.createDataFrame([(-1, "b/c")], "media_id long, path string")
+    expected = made.select(F.col("media_id").cast("long").alias("media_id"), "path").unionByName(folder)
+    got = MF.validated(expected, "path", MF.media_files(spark, root), root, MF.Limits(image_bytes=1000, seconds=30.0))
+    return got.select("media_id", "media_type", "size_bytes", F.round("duration_s", 6).alias("duration_s"), F.array_join("codes", ",").alias("codes"))
+
+
+QUERIES["s9_media_files"] = s9_media_files
+ORACLES["s9_media_files"] = """WITH k AS (SELECT CAST(p_partkey AS BIGINT) AS media_id, p_partkey % 12 AS k, p_size FROM part),
+c AS (SELECT *, CASE WHEN k = 3 THEN 'empty_file' WHEN k = 4 THEN 'unsupported_extension' WHEN k = 5 THEN 'signature_unrecognized' WHEN k = 6 THEN 'signature_extension_mismatch' WHEN k = 7 THEN 'file_not_found'
+  WHEN k = 8 THEN 'video_unreadable' WHEN k = 9 THEN 'file_too_large' WHEN k = 2 AND p_size * 0.8 > 30 THEN 'video_too_long' ELSE '' END AS codes FROM k)
+SELECT media_id, CASE WHEN codes <> '' THEN NULL WHEN k < 2 THEN 'image' ELSE 'video' END AS media_type,
+  CAST(CASE k WHEN 0 THEN 4 WHEN 1 THEN 8 WHEN 3 THEN 0 WHEN 4 THEN 4 WHEN 5 THEN 4 WHEN 7 THEN 0 WHEN 8 THEN 16 WHEN 9 THEN 1003 WHEN 10 THEN 36 WHEN 11 THEN 52 ELSE 52 END AS BIGINT) AS size_bytes,
+  CAST(CASE k WHEN 2 THEN round(p_size * 0.8, 6) WHEN 10 THEN 5.0 WHEN 11 THEN round(p_size * 0.04, 6) END AS DOUBLE) AS duration_s, codes FROM c
+UNION ALL SELECT -1, NULL, 0, NULL, 'not_a_file'"""
