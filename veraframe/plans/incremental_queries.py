@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veraframe.functions.scalars import sigmoid
 from veraframe.functions.scoring import score_frames
+from veraframe.operators import score_counts as CN
 from veraframe.plans.media_queries import linear_scorer
 from veraframe.plans.registry import registry
+from veraframe.plans.score_queries import BIN, P, with_p
 from veraframe.sources import media_files as MF
 from veraframe.sources import score_cache as SC
 from veraframe.sources.shared import new_path
@@ -94,3 +97,26 @@ SELECT media_id, CASE WHEN codes <> '' THEN NULL WHEN k < 2 THEN 'image' ELSE 'v
   CAST(CASE k WHEN 0 THEN 4 WHEN 1 THEN 8 WHEN 3 THEN 0 WHEN 4 THEN 4 WHEN 5 THEN 4 WHEN 7 THEN 0 WHEN 8 THEN 16 WHEN 9 THEN 1003 WHEN 10 THEN 36 WHEN 11 THEN 52 ELSE 52 END AS BIGINT) AS size_bytes,
   CAST(CASE k WHEN 2 THEN round(p_size * 0.8, 6) WHEN 10 THEN 5.0 WHEN 11 THEN round(p_size * 0.04, 6) END AS DOUBLE) AS duration_s, codes FROM c
 UNION ALL SELECT -1, NULL, 0, NULL, 'not_a_file'"""
+
+
+def _counts(df: DataFrame, score: str) -> DataFrame:
+    """Counts of two halves of the rows, merged."""
+    half = F.col("row_key") % 2 == 0
+    return CN.merged(CN.score_counts(df.filter(half), ["method"], "y", score), CN.score_counts(df.filter(~half), ["method"], "y", score))
+
+
+@query("x6_grouped_ap", "scored", """, d AS (SELECT method, logit, sum(y) AS pos, count(*) AS n FROM scored GROUP BY 1, 2), s AS (SELECT *, sum(pos) OVER w AS hits, sum(n) OVER w AS seen FROM d WINDOW w AS (PARTITION BY method ORDER BY logit DESC))
+SELECT method, round(sum(pos * hits / seen) / NULLIF(sum(pos), 0), 8) AS ap FROM s GROUP BY 1""")
+def _(get):
+    return CN.average_precision_of(_counts(get("scored"), "logit"), ["method"])
+
+
+@query("x6_grouped_ece", "scored", f", q AS (SELECT method, y, {P} AS p FROM scored), b AS (SELECT method, {BIN} AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM q GROUP BY 1, 2) SELECT method, round(sum(n * abs(mp - my)) / sum(n), 8) AS ece FROM b GROUP BY 1")
+def _(get):
+    return CN.calibration_error_of(_counts(get("scored"), "logit"), ["method"], sigmoid("score"))
+
+
+@query("x6_grouped_conformal", "scored", f""", s AS (SELECT method, {P} AS s FROM scored), r AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY s) AS k, count(*) OVER (PARTITION BY method) AS n FROM s)
+SELECT method, n, round(coalesce(min(CASE WHEN k >= ceil((n + 1) * CAST(0.9 AS DOUBLE)) THEN s END), 1.0), 8) AS q FROM r GROUP BY method, n""")
+def _(get):
+    return CN.conformal_quantile_of(_counts(with_p(get("scored")), "p"), ["method"], 0.1)
