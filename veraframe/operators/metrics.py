@@ -112,7 +112,7 @@ def conformal_quantile(df: DataFrame, score: str, alpha: float, by: list[str] =
     counts = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("peers"))
     upto = _running(counts, [F.col(score)], {"upto": F.col("peers")}, by)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    joined = upto.join(F.broadcast(sizes), by) if by else upto.crossJoin(F.broadcast(sizes))  # one row a group
+    joined = upto.join(sizes, by) if by else upto.crossJoin(F.broadcast(sizes))  # without groups, one row
     rank = F.ceil((F.col("n") + 1) * F.lit(1 - alpha))
     return joined.groupBy(*by, "n").agg(F.coalesce(F.min(F.when(F.col("upto") >= rank, F.col(score))), F.lit(1.0)).alias("q"))
 
