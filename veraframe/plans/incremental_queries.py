@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veraframe.functions.scalars import sigmoid
+from veraframe.functions import table_functions as TF
 from veraframe.functions.scoring import score_frames
 from veraframe.operators import score_counts as CN
 from veraframe.plans.media_queries import linear_scorer
@@ -120,3 +121,18 @@ def _(get):
 SELECT method, n, round(coalesce(min(CASE WHEN k >= ceil((n + 1) * CAST(0.9 AS DOUBLE)) THEN s END), 1.0), 8) AS q FROM r GROUP BY method, n""")
 def _(get):
     return CN.conformal_quantile_of(_counts(with_p(get("scored")), "p"), ["method"], 0.1)
+
+
+@query("x4_lateral_detections", "thumbs", ", e AS (SELECT vec_id, CAST(unnest(range(64)) AS INT) AS det, CAST(unnest(embedding) AS DOUBLE) AS confidence FROM thumbs) SELECT vec_id, det, round(confidence, 8) AS confidence FROM e WHERE confidence > 0.2")
+def _(get):
+    t = get("thumbs")
+    TF.register_detector(t.sparkSession, "found_in", lambda v: ((i, x) for i, x in enumerate(v) if x > 0.2))
+    return t.sparkSession.sql("SELECT t.vec_id, d.det, d.confidence FROM {t} t, LATERAL found_in(t.embedding) d", t=t)
+
+
+@query("x4_run_table_function", "log", """, s AS (SELECT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour FROM log), g AS (SELECT *, CASE WHEN hour - lag(hour) OVER w <= 24 THEN 0 ELSE 1 END AS opens FROM s WINDOW w AS (PARTITION BY user_id ORDER BY hour)),
+r AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY hour ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT user_id, min(hour) AS "first", max(hour) AS "last", count(*) AS n FROM r GROUP BY user_id, run""")
+def _(get):
+    log = get("log").select("user_id", F.floor(F.unix_timestamp("ts") / 3600).alias("hour"))
+    TF.register_runs(log.sparkSession, "runs_of_hours", "user_id", "hour", 24)
+    return log.sparkSession.sql("SELECT * FROM runs_of_hours(TABLE(SELECT * FROM {log}))", log=log)
