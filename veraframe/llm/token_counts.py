@@ -6,6 +6,11 @@ library version. Documents are joined with the stored counts; only distinct cont
 and their counts are appended, as one committed Parquet write. A failed or repeated write can store a count twice, so
 readers take one entry per digest.
 
+Within a task, the texts to encode are cut into pieces where the tokenizer's own splitting has a boundary whatever stands
+around it (``cut_starts``), and each distinct piece goes to the library once a batch at most; a text's count is the sum
+over its pieces. Texts that hold an added token, batches whose pieces hardly repeat, and all texts of a tokenizer that
+splits otherwise go there whole.
+
 Defined cases: an empty table gives no rows and appends nothing; null and empty texts have no tokens; copies are encoded
 once and counted for every row; repeated rows come out repeated; other columns of the input are ignored.
 """
@@ -15,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import os
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +31,10 @@ from veraframe.llm.common import give_back, keep_rows, materialise, new_path, sm
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
 #: Characters given to the tokenizer at a time, which bounds what it holds.
 SLICE_CHARS = 1_000_000
+#: The same for pieces, for each of which it makes a result; how many counts of pieces a task keeps, and up to which length.
+PIECE_SLICE_CHARS, KEPT_PIECES, KEPT_CHARS = 65_536, 1 << 19, 48
+#: Where more than this share of a batch's pieces would go to the library, its texts go there whole, which costs less.
+MOST_MISSES = 1 / 3
 
 
 def tokenizer_digest(path: str) -> str:
@@ -58,15 +69,96 @@ def slices(texts: list[str], chars: int = SLICE_CHARS):
         yield run
 
 
+def splits_at_cuts(tok) -> bool:
+    """Whether the tokenizer splits by ByteLevel's expression alone, the one that ``CUTS`` is made for."""
+    from tokenizers import models, pre_tokenizers
+
+    split = tok.pre_tokenizer
+    by_bytes = isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space
+    return tok.normalizer is None and by_bytes and isinstance(tok.model, models.BPE) and not tok.model.dropout
+
+
+def cut_table() -> np.ndarray:
+    """By 256 * byte + next byte: 1 if ByteLevel's expression always begins a match between them, 2 if it does unless the
+    first byte ends a white space character, else 0.
+
+    The expression is ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``. No match goes on
+    from another character to white space, or from one of letter, digit and sign to another, but for a contraction's
+    apostrophe. It looks ahead only in white space and never behind, so both sides of a cut split as they do in the text.
+    """
+    blank, letter, digit = (np.isin(np.arange(256), list(c)) for c in (b" \t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"))
+    high = np.arange(256) >= 128
+    sign = (np.arange(256) > 32) & (np.arange(256) < 127) & ~letter & ~digit
+    plain = sign & (np.arange(256) != ord("'"))
+    pairs = [(letter | digit | sign, blank), (letter, digit | sign), (digit, letter | sign), (plain, letter), (sign, digit)]
+    return (sum(np.outer(a, b) for a, b in pairs) > 0).astype(np.uint8).ravel() + 2 * np.outer(high, blank).astype(np.uint8).ravel()
+
+
+CUTS = cut_table()
+#: The last bytes of white space beyond ASCII, in UTF-8 two or three bytes long.
+WIDE_BLANKS = [int.from_bytes(chr(c).encode(), "big") for c in range(128, 0x10000) if chr(c).isspace()]
+
+
+def cut_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces start in ``data``, the UTF-8 of texts that start and end at ``offsets``; texts' starts are among them."""
+    pair = data[:-1].astype(np.uint16) << 8
+    pair |= data[1:]
+    kind = CUTS[pair]
+    at = np.flatnonzero(kind == 2)  # The byte at ``at`` ends a character of two bytes at least.
+    last = [data[np.maximum(at - i, 0)].astype(np.int64) << 8 * i for i in range(3)]
+    kind[at[np.isin(last[0] | last[1], WIDE_BLANKS) | np.isin(last[0] | last[1] | last[2], WIDE_BLANKS)]] = 0
+    starts = np.zeros(len(data), bool)
+    starts[1:] = kind
+    starts[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    return np.flatnonzero(starts)
+
+
+def encoded_lengths(tok, texts: list[str], chars: int = SLICE_CHARS) -> list[int]:
+    return [len(e) for part in slices(texts, chars) for e in tok.encode_batch_fast(part, add_special_tokens=False)]
+
+
+def counts_by_piece(tok, texts: pa.Array, kept: dict[str, int]) -> np.ndarray:
+    """Token counts of texts without added tokens; ``kept`` holds counts of pieces from batch to batch."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if offsets[0] == offsets[-1]:
+        return np.zeros(len(texts), np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    starts = cut_starts(data, offsets)
+    pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)).dictionary_encode()
+    distinct = pieces.dictionary.to_pylist()
+    found = [kept.get(p, -1) for p in distinct]
+    misses = [i for i, n in enumerate(found) if n < 0]
+    if len(misses) > MOST_MISSES * len(pieces):
+        return np.array(encoded_lengths(tok, texts.to_pylist()), np.int64)
+    for i, n in zip(misses, encoded_lengths(tok, [distinct[i] for i in misses], PIECE_SLICE_CHARS), strict=True):
+        found[i] = n
+        if len(kept) < KEPT_PIECES and len(distinct[i]) <= KEPT_CHARS:
+            kept[distinct[i]] = n
+    sums = np.append(0, np.cumsum(np.array(found, np.int64)[pieces.indices.to_numpy()]))
+    return np.diff(sums[np.searchsorted(starts, offsets)])
+
+
+def count_texts(tok, texts: pa.Array, kept: dict[str, int]) -> np.ndarray:
+    """The library's token counts of texts (none null)."""
+    whole = np.full(len(texts), not splits_at_cuts(tok))
+    for added in tok.get_added_tokens_decoder().values():
+        whole |= pc.match_substring(texts, added.content).to_numpy(zero_copy_only=False)
+    counts = np.zeros(len(texts), np.int64)
+    counts[whole] = encoded_lengths(tok, texts.filter(pa.array(whole)).to_pylist())
+    counts[~whole] = counts_by_piece(tok, texts.filter(pa.array(~whole)) if whole.any() else texts, kept)
+    return counts
+
+
 def count_tokens(rows: DataFrame, path: str) -> DataFrame:
     """(digest, n_tokens) of rows (digest, text), encoded in Arrow batches."""
 
     def run(batches):
-        tok = loaded(path)
+        tok, kept = loaded(path), {}
         for b in small_batches(batches, 1):
-            counts = [len(e) for part in slices(b.column(1).to_pylist()) for e in tok.encode_batch_fast(part, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
-        del tok
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count_texts(tok, b.column(1), kept), pa.int64())], names=["digest", "n_tokens"])
+        del tok, kept
         give_back()
 
     return rows.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long")
