@@ -27,8 +27,10 @@ LANDMARK_WEIGHT = 0.001
 
 def _iou(a: tuple, b: tuple) -> float:
     (ax, ay, aw, ah), (bx, by, bw, bh) = a[BOX : BOX + 4], b[BOX : BOX + 4]
-    wide = max(0.0, min(ax + aw, bx + bw) - max(ax, bx))
-    high = max(0.0, min(ay + ah, by + bh) - max(ay, by))
+    ar, br, ab, bb = ax + aw, bx + bw, ay + ah, by + bh
+    wide = (br if br < ar else ar) - (bx if bx > ax else ax)
+    high = (bb if bb < ab else ab) - (by if by > ay else ay)
+    wide, high = (wide if wide > 0.0 else 0.0), (high if high > 0.0 else 0.0)
     union = aw * ah + bw * bh - wide * high
     return wide * high / union if union > 0 else 0.0
 

@@ -6,8 +6,12 @@ Each function takes a streaming (or, for tests, a batch) DataFrame and returns o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, repeat
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -184,49 +188,94 @@ def manifest_intake(lines: DataFrame, good: str, bad: str, checkpoint: str) -> S
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: A detection as the trackers' streams carry it: ``nulls`` has a bit for each of KEYS that is null, so that keys stay integers.
+KEYS = {"video_id": "long", "frame_index": "int", "det_key": "long"}
+BOXES = ("x", "y", "w", "h", *LANDMARKS)
+HELD = [*KEYS, "nulls", "box", "at_ms"]
+LINKED = ", ".join(f"{c} {t}" for c, t in KEYS.items()) + ", nulls int, track int"
+
+
+def _in_buckets(faces: DataFrame, buckets: int, *more: str):
+    """Detections grouped by a hash of their video: a bucket's rows reach a tracker in few large frames, not in one a video."""
+    nulls = sum((F.col(c).isNull().cast("int") * (1 << i) for i, c in enumerate(KEYS)), F.lit(0)).alias("nulls")
+    held = faces.select(F.pmod(F.xxhash64("video_id"), F.lit(buckets)).cast("int").alias("bucket"), *[F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in KEYS.items()], nulls, F.array(*[F.col(c).cast("double") for c in BOXES]).alias("box"), *more)
+    return held.groupBy("bucket")
+
+
+def _unbucketed(linked: DataFrame) -> DataFrame:
+    return linked.select(*[F.when(F.col("nulls").bitwiseAND(1 << i) == 0, F.col(c)).alias(c) for i, c in enumerate(KEYS)], F.when(F.col("track") >= 0, F.col("track")).alias("track"))
+
+
 class OnlineTracker(StatefulProcessor):
-    """Links a video's detections as frames come, by the rule of :func:`track_faces`.
+    """Links the detections of a bucket's videos as frames come, by the rule of :func:`track_faces`.
 
-    The state is the open tracks' last rows, the next number and the last frame: tracks that have seen nothing for more
-    than ``max_gap`` frames leave it, and with ``ttl_ms`` that of a video without new frames expires. Detections of a
-    frame that is not after the last one are late: they come out without a track and change nothing.
+    The state is a map with an entry a video: the open tracks' last rows, the next number and the last frame. Tracks that have
+    seen nothing for more than ``max_gap`` frames leave it, and with ``ttl_ms`` the entry of a video without new frames expires.
+    Only entries of videos with new frames are read and written. Detections of a frame that is not after the last one are
+    late: they come out without a track and change nothing, as do those without a frame.
     """
 
     def __init__(self, iou_min: float = 0.3, max_gap: int = 2, ttl_ms: int | None = None) -> None:
         self.iou_min, self.max_gap, self.ttl_ms = iou_min, max_gap, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tracks", "count int, seen long, tracks array<int>, frames array<long>, rows array<array<double>>", self.ttl_ms)
+        self.state = handle.getMapState("tracks", "video_id long, unknown boolean", "count int, seen long, rows binary", self.ttl_ms)
+
+    def _resumed(self, video: tuple) -> tuple[OpenTracks, int | None]:
+        count, seen, rows = self.state.getValue(video) or (0, None, b"")
+        held = np.frombuffer(rows).reshape(-1, 2 + len(BOXES)).tolist()
+        return OpenTracks(self.iou_min, self.max_gap, {int(t): (video, int(f), None, None, *box) for t, f, *box in held}, count), seen
+
+    def _linked(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        """``pdf`` in the order of videos, frames and detections (of equal keys, in that of their boxes), with ``track`` (-1: none)."""
+        boxes, nulls = np.stack(pdf["box"].to_numpy()), pdf["nulls"].to_numpy()
+        keys = [pdf[c].to_numpy() for c in KEYS]
+        order = np.lexsort((*boxes.T[::-1], *keys[::-1], nulls & 1, nulls & 2))
+        keys, nulls, tracks = [k[order] for k in keys], nulls[order], []
+        placed = order[: int((nulls & 2 == 0).sum())]  # those without a frame come last
+        video, frame, det = (k[: len(placed)].tolist() for k in keys)
+        rows = zip(zip(video, (nulls[: len(placed)] & 1 > 0).tolist(), strict=True), frame, det, repeat(None), *boxes[placed].T.tolist())
+        for video, frames in groupby(rows, itemgetter(0)):
+            linker, seen = self._resumed(video)
+            for at, dets in groupby(frames, itemgetter(1)):
+                dets = list(dets)
+                late = seen is not None and at <= seen
+                tracks += [-1] * len(dets) if late else linker.link(dets)
+                seen = seen if late else at
+            held = [(t, r[1], *r[4:]) for t, r in linker.last.items() if seen - r[1] < self.max_gap]  # the others close at any later frame
+            self.state.updateValue(video, (linker.count, seen, np.array(held, dtype="float64").tobytes()))
+        tracks += [-1] * (len(order) - len(placed))
+        return pd.DataFrame(dict(zip(KEYS, keys, strict=True)) | {"nulls": nulls, "track": tracks})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        count, seen, tracks, frames, boxes = self.state.get() if self.state.exists() else (0, None, [], [], [])
-        last = {int(t): (key[0], int(f), None, None, *map(float, b)) for t, f, b in zip(tracks, frames, boxes, strict=True)}
-        linker, out = OpenTracks(self.iou_min, self.max_gap, last, count), []
-        pdf = pd.concat(list(rows)).sort_values(["frame_index", "det_key"])
-        for at, group in pdf.groupby("frame_index", sort=True):
-            dets = list(group[["video_id", "frame_index", "det_key", "confidence", "x", "y", "w", "h", *LANDMARKS]].itertuples(index=False, name=None))
-            late = seen is not None and at <= seen
-            found = [None] * len(dets) if late else linker.link(dets)
-            seen = seen if late else int(at)
-            out += [(key[0], int(at), int(d[2]), t) for d, t in zip(dets, found, strict=True)]
-        held = list(linker.last.items())
-        self.state.update((linker.count, seen, [t for t, _ in held], [int(r[1]) for _, r in held], [[float(v) for v in r[4:]] for _, r in held]))
-        yield pd.DataFrame(out, columns=["video_id", "frame_index", "det_key", "track"]).astype({"track": "Int32"})
+        yield self._linked(pd.concat(list(rows)))
 
     def close(self) -> None:
         pass
 
 
-def online_tracks(faces: DataFrame, iou_min: float = 0.3, max_gap: int = 2, ttl_ms: int | None = None) -> DataFrame:
+def online_tracks(faces: DataFrame, iou_min: float = 0.3, max_gap: int = 2, ttl_ms: int | None = None, buckets: int = 4096) -> DataFrame:
+    """(video_id, frame_index, det_key, track); see :class:`OnlineTracker`. A bucket's rows of a micro-batch are in a task's memory
+    at once; a checkpoint is bound to the number of buckets it began with.
+    """
     tracker = OnlineTracker(iou_min, max_gap, ttl_ms)
-    return faces.groupBy("video_id").transformWithStateInPandas(tracker, "video_id long, frame_index int, det_key long, track int", "append", "none" if ttl_ms is None else "processingTime")
+    return _unbucketed(_in_buckets(faces, buckets).transformWithStateInPandas(tracker, LINKED, "append", "none" if ttl_ms is None else "processingTime"))
+
+
+def _packed(pdf: pd.DataFrame) -> bytes:
+    """Detections as Arrow's compressed stream, in the columns' types."""
+    batch, out = pa.RecordBatch.from_pandas(pdf, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
 
 
 class BufferedTracker(OnlineTracker):
     """An :class:`OnlineTracker` that holds detections back until the watermark passes them, and links frames in order.
 
-    Frames may come shuffled within the watermark's delay. The state is what lies after the watermark, and the open tracks;
-    when the watermark is ``hold_ms`` past a video's last frame, both go. A video has one timer, at its first waiting frame or its end.
+    Frames may come shuffled within the watermark's delay. The state is what lies after the watermark, packed as it came, the open
+    tracks, and each video's end: when the watermark is ``hold_ms`` past a video's last frame, its tracks go. A bucket has one
+    timer, at its first waiting frame or its first end.
     """
 
     def __init__(self, iou_min: float = 0.3, max_gap: int = 2, hold_ms: int = 60_000) -> None:
@@ -236,50 +285,60 @@ class BufferedTracker(OnlineTracker):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at_ms long, frame_index int, det_key long, " + ", ".join(f"{c} double" for c in self.MEASURES))
-        self.times = handle.getValueState("times", "timer long, until long")
+        self.waiting = handle.getListState("waiting", "first long, rows binary")
+        self.times = handle.getValueState("times", "timer long, videos array<long>, ends array<long>")
 
-    MEASURES = ("confidence", "x", "y", "w", "h", *LANDMARKS)
+    def _times(self) -> tuple[int | None, dict[int, int]]:
+        timer, videos, ends = self.times.get() if self.times.exists() else (None, [], [])
+        return timer, dict(zip(videos, ends, strict=True))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = pd.concat(list(rows))
-        held = pdf[["at_ms", "frame_index", "det_key", *self.MEASURES]]
-        self.waiting.appendList([(int(r[0]), int(r[1]), int(r[2]), *map(float, r[3:])) for r in held.itertuples(index=False, name=None)])
-        first, last = int(pdf["at_ms"].min()), int(pdf["at_ms"].max())
-        timer, end = self.times.get() if self.times.exists() else (None, last + self.hold_ms)
-        if timer is not None and first < timer:
-            self.handle.deleteTimer(timer)
+        timer, ends = self._times()
+        first = None
+        for pdf in rows:
+            here = int(pdf["at_ms"].min())
+            self.waiting.appendValue((here, _packed(pdf[HELD])))
+            first = here if first is None else min(first, here)
+            for video, at in pdf.groupby("video_id")["at_ms"].max().items():
+                ends[int(video)] = max(ends.get(int(video), 0), int(at) + self.hold_ms)
         if timer is None or first < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
             self.handle.registerTimer(first)
-        self.times.update((first if timer is None else min(first, timer), max(end, last + self.hold_ms)))
+            timer = first
+        self.times.update((timer, list(ends), list(ends.values())))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now, rows = timerValues.getCurrentWatermarkInMs(), [tuple(r) for r in self.waiting.get()]
-        ready, rest = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
-        _, end = self.times.get()
+        now, held = timerValues.getCurrentWatermarkInMs(), list(self.waiting.get())
+        due, held = [rows for first, rows in held if first <= now], [(first, rows) for first, rows in held if first > now]
         out = []
-        if ready:
-            pdf = pd.DataFrame([(key[0], *r[1:]) for r in ready], columns=["video_id", "frame_index", "det_key", *self.MEASURES])
-            out = list(super().handleInputRows(key, iter([pdf]), timerValues))
+        if due:
+            pdf = pd.concat([pa.ipc.open_stream(rows).read_pandas() for rows in due])
+            ready, rest = pdf[pdf["at_ms"] <= now], pdf[pdf["at_ms"] > now]
+            out.append(self._linked(ready))
+            held += [(int(rest["at_ms"].min()), _packed(rest))] if len(rest) else []
             self.waiting.clear()
-            if rest:
-                self.waiting.appendList(rest)
-        if rest or end > now:
-            following = min([r[0] for r in rest] + [end])
-            self.handle.registerTimer(following)
-            self.times.update((following, end))
-        else:
-            self.state.clear()
+            if held:
+                self.waiting.appendList(held)
+        _, ends = self._times()
+        for video in [v for v, end in ends.items() if end <= now]:
+            del ends[video]
+            self.state.removeKey((video, False))
+        following = min([first for first, _ in held] + list(ends.values()), default=None)
+        if following is None:
             self.times.clear()
+        else:
+            self.handle.registerTimer(following)
+            self.times.update((following, list(ends), list(ends.values())))
         yield from out
 
 
-def ordered_tracks(faces: DataFrame, late: str = "10 seconds", iou_min: float = 0.3, max_gap: int = 2, hold_ms: int = 60_000) -> DataFrame:
+def ordered_tracks(faces: DataFrame, late: str = "10 seconds", iou_min: float = 0.3, max_gap: int = 2, hold_ms: int = 60_000, buckets: int = 4096) -> DataFrame:
     """The batch tracker's tracks of a stream whose frames (with their time ``ts``) come in any order within ``late``.
 
     Later detections are dropped. A video's frames must be in the order of their times. Rows without a video are left out
-    (a null key's timers were seen to keep those of other keys from firing).
+    (a null key's timers were seen to keep those of other keys from firing). Buckets are those of :func:`online_tracks`.
     """
     marked = timed(faces).filter("video_id IS NOT NULL").withWatermark("ts", late).withColumn("at_ms", F.unix_millis("ts"))
-    return marked.groupBy("video_id").transformWithStateInPandas(BufferedTracker(iou_min, max_gap, hold_ms), "video_id long, frame_index int, det_key long, track int", "append", "eventTime")
+    return _unbucketed(_in_buckets(marked, buckets, "at_ms", "ts").transformWithStateInPandas(BufferedTracker(iou_min, max_gap, hold_ms), LINKED, "append", "eventTime"))
