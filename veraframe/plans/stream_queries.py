@@ -68,7 +68,7 @@ def t3_online_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def closing(df: DataFrame, key: str, name: str) -> DataFrame:
     """``df`` as a stream, with a row a day later (and -1 in ``key``) that lets the watermark pass all others."""
     last = df.agg(*[(F.max(c) + F.expr("INTERVAL 1 DAY") if c == "ts" else F.lit(-1).cast(t) if c == key else F.max(c)).alias(c) for c, t in df.dtypes])
-    return streamed(df.unionByName(last).repartition(1), name)
+    return streamed(df.unionByName(last), name)
 
 
 def t3_ordered_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
