@@ -83,10 +83,10 @@ FROM parquet.`{at}/part.parquet`"""
 
 def s9_media_files(spark, sf_dir: str) -> DataFrame:
     made, root = spark.sql(FILES.format(at=sf_dir)), new_path(spark, "media")
-    MF.write_files(made.filter("media_id % 12 <> 7"), "path", "content", root)
+    MF.write_files(made.filter("media_id % 12 <> 7").repartition("path"), "path", "content", root)
     folder = spark.createDataFrame([(-1, "b/c")], "media_id long, path string")
     expected = made.select(F.col("media_id").cast("long").alias("media_id"), "path").unionByName(folder)
-    got = MF.validated(expected, "path", MF.media_files(spark, root), root, MF.Limits(image_bytes=1000, seconds=30.0))
+    got = MF.validated(expected, "path", MF.media_files_at(expected, "path", root), root, MF.Limits(image_bytes=1000, seconds=30.0))
     return got.select("media_id", "media_type", "size_bytes", F.round("duration_s", 6).alias("duration_s"), F.array_join("codes", ",").alias("codes"))
 
 

@@ -46,8 +46,11 @@ def write_files(rows: DataFrame, path: str, content: str, root: str) -> None:
 
     def run(part: Iterator) -> None:
         fs, base = pyarrow.fs.FileSystem.from_uri(root)
+        folder = None
         for name, data in part:
-            fs.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
+            if (needed := f"{base}/{name}".rsplit("/", 1)[0]) != folder:
+                fs.create_dir(needed, recursive=True)
+                folder = needed
             with fs.open_output_stream(f"{base}/{name}") as out:
                 out.write(bytes(data))
 
@@ -55,7 +58,11 @@ def write_files(rows: DataFrame, path: str, content: str, root: str) -> None:
 
 
 def media_files(spark: SparkSession, root: str, most: int = 1 << 30) -> DataFrame:
-    """path (relative to ``root``), length and content (null beyond ``most`` bytes, which are not read) of all files below ``root`` that are not empty."""
+    """path (relative to ``root``), length and content (null beyond ``most`` bytes, which are not read) of all files below ``root`` that are not empty.
+
+    Spark lists them, which takes driver memory for each file, and leaves out names that begin with ``_`` or a dot. Where the paths are
+    known, :func:`media_files_at` does without the list.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     at = "/" + root.split(":", 1)[-1].strip("/") + "/"
     path = F.substring_index(F.col("path"), at, -1).alias("path")
@@ -63,6 +70,39 @@ def media_files(spark: SparkSession, root: str, most: int = 1 << 30) -> DataFram
     return small.unionByName(found.filter(F.col("length") > most).select(path, "length", F.lit(None).cast("binary").alias("content")))
 
 
+#: Bytes of files that a task holds at once, one file aside.
+AT_ONCE = 32 << 20
+
+
+def media_files_at(expected: DataFrame, path: str, root: str, most: int = 1 << 30) -> DataFrame:
+    """The rows of :func:`media_files` for the files at ``expected``'s paths.
+
+    A path is looked up and read by the task that holds it, on any file system that Arrow knows; nothing of it goes through the driver.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(root)
+        framed = lambda rows: pd.DataFrame(rows, columns=["path", "length", "content"]).astype({"length": "int64"})
+        for pdf in batches:
+            rows, held = [], 0
+            for name, info in zip(pdf["path"], fs.get_file_info([f"{base}/{p}" for p in pdf["path"]]), strict=True):
+                if info.type != pyarrow.fs.FileType.File or not info.size:
+                    continue
+                content = None
+                if info.size <= most:
+                    with fs.open_input_stream(info.path) as file:
+                        content = file.read()
+                rows.append((name, info.size, content))
+                held += len(content or b"")
+                if held >= AT_ONCE:
+                    yield framed(rows)
+                    rows, held = [], 0
+            yield framed(rows)
+
+    paths = expected.select(F.col(path).alias("path")).filter("path IS NOT NULL").distinct()
+    return paths.mapInPandas(read, "path string, length long, content binary")
+
+
 def sniffed(content: Column) -> Column:
     """``image``, ``video`` or null, by the first bytes."""
     out = F.lit(None).cast("string")
@@ -167,10 +207,10 @@ def _unread(root: str):
 
 
 def validated(expected: DataFrame, path: str, files: DataFrame, root: str, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
-    """``expected``'s columns with media_type, size_bytes, duration_s and codes (an array) of the file at ``path``, as read by :func:`media_files`.
+    """``expected``'s columns with media_type, size_bytes, duration_s and codes (an array) of the file at ``path``, as read by :func:`media_files_at` or :func:`media_files`.
 
-    Bytes are looked at where they are read; what is joined to the expected paths is narrow. Spark's scans leave empty files out, so
-    expected paths that the scan did not give are looked up below ``root``, in the tasks that hold them.
+    Bytes are looked at where they are read; what is joined to the expected paths is narrow. Neither gives empty files, so
+    expected paths that ``files`` does not have are looked up below ``root``, in the tasks that hold them.
     """
     by_name = by_name_of(F.col("path"), limits)
     kind = sniffed(F.col("content"))
